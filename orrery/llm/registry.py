@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe
-from orrery.llm.common import table
+from orrery.llm import bpe, tokenfile
+from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
 VOCABULARY = "word_bpe_49k.json"
@@ -16,5 +16,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = shared_folder(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), to)
+    return tokenfile.read_all(spark, to)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op9_token_files": op9_token_files,
+}
 ORACLES: dict[str, str] = {}
