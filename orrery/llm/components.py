@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         links = written(_small_star(_large_star(links)))
         mark, before = _mark(links), mark
         if mark == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def _mark(links: DataFrame):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, tokenfile
+from orrery.llm import bpe, simhash, tokenfile
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = shared_folder(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), to)
@@ -24,6 +28,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_simhash": op3_simhash,
     "op9_token_files": op9_token_files,
 }
 ORACLES: dict[str, str] = {}
