@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, simhash, tokenfile
+from orrery.llm import bpe, linededup, simhash, tokenfile
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -20,6 +20,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = shared_folder(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), to)
@@ -29,6 +33,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.ORACLE,
+}
