@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, linededup, simhash, tokenfile
+from orrery.llm import bpe, linededup, simhash, tokenfile, toxicity
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -30,11 +30,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_all(spark, to)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op8_line_dedup": linededup.ORACLE,
