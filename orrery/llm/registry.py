@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, linededup, quality, secrets, simhash, tokenfile, toxicity
+from orrery.llm import bpe, decontam, linededup, quality, secrets, simhash, tokenfile, toxicity
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -24,6 +24,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_simhash": op3_simhash,
     "op5_secrets": op5_secrets,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
