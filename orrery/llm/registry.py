@@ -5,17 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, linededup, quality, secrets, simhash, tokenfile, toxicity
+from orrery.llm import bpe, decontam, linededup, pii, quality, secrets, simhash, tokenfile, toxicity
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
 VOCABULARY = "word_bpe_49k.json"
+#: The key of the registered query; a real job passes a secret of its own.
+PSEUDONYM_KEY = "registered-query"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
