@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, linededup, pii, quality, secrets, simhash, tokenfile, toxicity
+from orrery.llm import bpe, decontam, licenses, linededup, pii, quality, secrets, simhash, tokenfile, toxicity
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
