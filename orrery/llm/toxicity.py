@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,3 +308,16 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return found.select(
         "doc_id", F.coalesce(in_fold("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``limit``, all columns as they were; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights[2], replace(model, weights=[])))
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, model = _scorer(shared), shared.value[1]
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(*scorer.best(t)[:2]) < limit for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
