@@ -10,6 +10,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PRICE = "decimal(12,2)"
 
@@ -129,7 +130,7 @@ def site_label(url: Column) -> Column:
     return F.nullif(F.coalesce(F.nullif(F.regexp_extract(h, rf"([^.]+)\.(?:{two})$", 1), F.lit("")), F.regexp_extract(h, r"([^.]+)\.[^.]+$", 1)), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     """HTML entities to characters, one pass."""
     return texts.map(html.unescape, na_action="ignore")

@@ -23,11 +23,12 @@ def responses(raw: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumn("__item", F.explode(items)).select(*(c for c in raw.columns if c != body), "__item.*")
 
 
-def normalized(items: DataFrame) -> DataFrame:
+def normalized(items: DataFrame, *more: str) -> DataFrame:
     """Results (columns of ``ITEM``, site_domain, site_name) in the common schema.
 
     A price may be text or a JSON object with value and currency. The id is a
     hash of the link, so that a result fetched twice is known as the same.
+    Columns named in ``more`` stay.
     """
     amount, unit = F.get_json_object("price", "$.value"), F.get_json_object("price", "$.currency")
     is_object = F.coalesce(F.trim("price").startswith("{"), F.lit(False))
@@ -45,6 +46,7 @@ def normalized(items: DataFrame) -> DataFrame:
         shop.alias("shop"),
         F.coalesce("link", F.lit("")).alias("source_url"),
         F.lit(None).cast("string").alias("image_vector"),
+        *more,
     )
 
 

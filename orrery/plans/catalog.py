@@ -1,4 +1,495 @@
-"""Registered queries of the catalog operators and their DuckDB counterparts."""
+"""Registered queries of the catalog operators and their DuckDB counterparts.
+
+The tables at hand stand in for a catalog: parts are products, suppliers shops,
+orders with their lines saves, customers users.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import normalize as N
+from orrery.functions import vectors as V
+from orrery.operators import brands, events, federated, feed, merge, search
+from orrery.schemas import seed_shops
+from orrery.sources import html
+from orrery.sources.captured import item_records, listing_items, table
+from orrery.sources.shared import new_folder
+from orrery.streaming import ingest
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+USER = 7
+WORDS = "red"
+ACTIONS = ["click", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def day(c) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def products(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("product_id"), F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("source_url"), F.col("p_name").alias("title"),
+        F.col("p_retailprice").cast(N.PRICE).alias("price"), F.lit("KRW").alias("currency"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
+        F.lit(None).cast("boolean").alias("is_soldout"), F.lit("").alias("image_url"), (F.col("p_partkey") % 10).alias("shop_id"), F.lit("UNKNOWN").alias("gender"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).alias("created_at"),
+    )
+
+
+def shops(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
+def saves(spark: SparkSession, sf: str) -> DataFrame:
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+        F.col("l_partkey").alias("product_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus", "l_returnflag"
+    )
+
+
+# Feed and catalog
+
+
+@query(f"""
+SELECT p_partkey AS product_id, p_name AS title, p_retailprice AS price, p_brand AS brand, p_type AS category, s_name AS shop, strftime(o_orderdate, '%Y-%m-%d') AS saved_on
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = p_partkey % 10 WHERE o_custkey = {USER}""")
+def saved_feed(spark: SparkSession, sf: str) -> DataFrame:
+    out = feed.saved_feed(saves(spark, sf), products(spark, sf), shops(spark, sf), USER)
+    return out.select("product_id", "title", F.col("price").cast("double").alias("price"), "brand", "category", "shop", day("created_at").alias("saved_on"))
+
+
+@query("""
+SELECT p_partkey AS product_id, p_name AS title, p_retailprice AS price, p_brand AS brand, p_type AS category, s_name AS shop,
+strftime(DATE '2024-01-01' + p_size, '%Y-%m-%d') AS created_on FROM part JOIN supplier ON s_suppkey = p_partkey % 10""")
+def catalog_list(spark: SparkSession, sf: str) -> DataFrame:
+    out = feed.newest_first(products(spark, sf), shops(spark, sf))
+    return out.select("product_id", "title", F.col("price").cast("double").alias("price"), "brand", "category", "shop", day("created_at").alias("created_on"))
+
+
+@query(f"SELECT count(*) AS n_saves FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = {USER}")
+def save_count(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.save_count(saves(spark, sf), USER)
+
+
+@query("SELECT lower(p_type) AS folder, min(p_partkey) AS first_seen FROM part WHERE upper(trim(p_type)) <> 'PROCESSING' GROUP BY 1")
+def folder_list(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.folders(products(spark, sf), "product_id")
+
+
+@query("SELECT lower(p_type) AS folder, count(*) AS n_items, sum((p_type = lower(p_type))::INT)::BIGINT AS n_strict FROM part GROUP BY 1")
+def folder_counts(spark: SparkSession, sf: str) -> DataFrame:
+    items = products(spark, sf)
+    return feed.folder_counts(items).join(feed.folder_counts(items, strict=True).withColumnRenamed("n_items", "n_strict"), "folder")
+
+
+@query("""
+SELECT c_mktsegment AS folder, CASE WHEN f IN ('outer', 'top', 'outerwear', 'tops') THEN 'hanging' WHEN f IN ('bottom', 'bottoms', 'pants') THEN 'drawer'
+WHEN f IN ('shoes', 'accessories', 'jewelry') THEN 'side' ELSE 'other' END AS bucket, count(*) AS n FROM (SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'top'
+WHEN 'MACHINERY' THEN 'pants' WHEN 'HOUSEHOLD' THEN 'shoes' ELSE lower(c_mktsegment) END AS f FROM customer) GROUP BY 1, 2""")
+def folder_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    segment = F.col("c_mktsegment")
+    folder = F.when(segment == "BUILDING", "Top").when(segment == "MACHINERY", "PANTS").when(segment == "HOUSEHOLD", "shoes").otherwise(segment)
+    return table(spark, sf, "customer").groupBy(segment.alias("folder"), feed.bucket(folder).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name), '{WORDS}') OR contains(lower(p_brand), '{WORDS}') OR contains(lower(p_type), '{WORDS}')""")
+def any_field_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return search.any_field_contains(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "Red")
+
+
+# Search
+
+TEXT = f"""SELECT p_partkey AS product_id, p_name AS title, CASE WHEN lower(p_name) = '{WORDS}' THEN 0 WHEN lower(p_name) LIKE '{WORDS}%' THEN 1 ELSE 2 END AS text_rank,
+p_size FROM part WHERE lower(p_name) LIKE '%{WORDS}%' ORDER BY text_rank, p_size DESC, p_partkey LIMIT 20"""
+NEAR = """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity
+FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 20"""
+
+
+@query(f"SELECT product_id, title, text_rank FROM ({TEXT})")
+def text_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.text_search(products(spark, sf), f" {WORDS.upper()} ").select("product_id", "title", "text_rank")
+
+
+def probe(spark: SparkSession, sf: str) -> list[float]:
+    """One vector, as a user's query."""
+    return [float(x) for x in table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+@query(NEAR)
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.vector_search(table(spark, sf, "embeddings"), probe(spark, sf), 20, "vec_id", "embedding")
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+SELECT query, vec_id, rank, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query, e.vec_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS rank
+FROM embeddings q, embeddings e, LATERAL (SELECT list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s) WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
+def vector_topk_many(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    found = V.topk_many(vectors.where("vec_id % 20 = 0"), vectors, 10, "vec_id", "vec_id")
+    return found.select("query", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+WITH t AS (SELECT product_id, 0 AS src, row_number() OVER (ORDER BY text_rank, p_size DESC, product_id) AS pos, NULL::DOUBLE AS similarity FROM ({TEXT})),
+v AS (SELECT vec_id AS product_id, 1 AS src, row_number() OVER (ORDER BY s DESC, vec_id) AS pos, round(s, 6) AS similarity FROM (SELECT vec_id,
+list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings JOIN part ON p_partkey = vec_id) ORDER BY s DESC, vec_id LIMIT 20),
+u AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY src, pos) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM v))
+SELECT product_id, position, similarity FROM (SELECT product_id, similarity, row_number() OVER (ORDER BY src, pos) AS position FROM u WHERE n = 1) WHERE position <= 24""")
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("title_vector"))
+    items = products(spark, sf).join(vectors, "product_id", "left")
+    found = search.hybrid_search(items, WORDS, probe(spark, sf), limit=24)
+    return found.select("product_id", F.col("position").cast("long").alias("position"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+WITH p AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+s AS (SELECT vec_id, p.label, list_cosine_similarity(embedding::DOUBLE[], v) AS c FROM embeddings, p)
+SELECT vec_id, 'c' || label AS category FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS n FROM s) WHERE n = 1""")
+def category_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    prototypes = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).orderBy("label").collect()  # one a category
+    return vectors.select("vec_id", V.nearest_label([(f"c{r['label']}", r["v"]) for r in prototypes]).alias("category"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def vector_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", F.round(V.normalized(F.col("embedding"))[0], 6).alias("first"))
+
+
+# Upserts, deletes and references
+
+
+@query("""
+SELECT coalesce(p.k, o.k) AS source_url, CASE WHEN o.k IS NOT NULL THEN o.title ELSE p.title END AS title, CASE WHEN o.k IS NOT NULL THEN o.price ELSE p.price END AS price,
+CASE WHEN o.k IS NOT NULL THEN o.brand ELSE p.brand END AS brand, coalesce(p.created_on, o.created_on) AS created_on
+FROM (SELECT 'https://shop.example/p/' || p_partkey AS k, p_name AS title, p_retailprice AS price, p_brand AS brand, strftime(DATE '2024-01-01' + p_size, '%Y-%m-%d') AS created_on FROM part) p
+FULL JOIN (SELECT 'https://shop.example/p/' || o_orderkey AS k, o_orderpriority AS title, o_totalprice AS price, o_orderstatus AS brand, strftime(o_orderdate, '%Y-%m-%d') AS created_on FROM orders) o
+ON p.k = o.k""")
+def product_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    existing = products(spark, sf).select("source_url", "title", "price", "brand", "created_at")
+    incoming = table(spark, sf, "orders").select(
+        F.concat(F.lit("https://shop.example/p/"), F.col("o_orderkey").cast("string")).alias("source_url"), F.col("o_orderpriority").alias("title"),
+        F.col("o_totalprice").cast(N.PRICE).alias("price"), F.col("o_orderstatus").alias("brand"), F.col("o_orderdate").cast("date").alias("created_at"),
+    )
+    out = merge.upsert_products(existing, incoming)
+    return out.select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", day("created_at").alias("created_on"))
+
+
+@query("""
+WITH i AS (SELECT user_id AS k, max_by(event_type, event_id) AS title, max_by(value, event_id) FILTER (WHERE event_type = 'purchase') AS v FROM events GROUP BY user_id)
+SELECT coalesce(vec_id, k) AS source_url, CASE WHEN k IS NOT NULL THEN title ELSE 'label ' || label END AS title, round(coalesce(v, embedding[1]::DOUBLE), 6) AS first
+FROM embeddings FULL JOIN i ON vec_id = k""")
+def batch_upsert_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    existing = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("source_url"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), V.doubles(F.col("embedding")).alias("title_vector")
+    )
+    incoming = table(spark, sf, "events").select(
+        F.col("user_id").alias("source_url"), F.col("event_type").alias("title"), F.when(F.col("event_type") == "purchase", F.array("value")).alias("title_vector"), F.col("event_id").alias("seq")
+    )
+    out = merge.upsert_products(existing, incoming, refresh_title_vector=True, seq="seq")
+    return out.select("source_url", "title", F.round(F.col("title_vector")[0], 6).alias("first"))
+
+
+@query("""
+WITH l AS (SELECT l_partkey AS product_id, o_custkey AS user_id, o_orderstatus, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT product_id, user_id, min(o_orderdate) AS d FROM l WHERE o_orderstatus = 'F' GROUP BY 1, 2), n AS (SELECT product_id, user_id, min(o_orderdate) AS d FROM l GROUP BY 1, 2)
+SELECT product_id, user_id, strftime(d, '%Y-%m-%d') AS saved_on FROM (SELECT * FROM e UNION ALL SELECT n.* FROM n ANTI JOIN e USING (product_id, user_id))""")
+def save_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    lines = saves(spark, sf)
+    existing = lines.where("o_orderstatus = 'F'").groupBy("product_id", "user_id").agg(F.min("created_at").alias("created_at"))
+    out = merge.insert_ignore(existing, lines.select("product_id", "user_id", "created_at"), ["product_id", "user_id"], "created_at")
+    return out.select("product_id", "user_id", day("created_at").alias("saved_on"))
+
+
+@query("""
+WITH l AS (SELECT l_partkey AS product_id, o_custkey AS user_id, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT product_id, user_id, count(*) AS n FROM l ANTI JOIN (SELECT DISTINCT product_id, user_id FROM l WHERE l_returnflag = 'R') USING (product_id, user_id) GROUP BY 1, 2""")
+def save_delete(spark: SparkSession, sf: str) -> DataFrame:
+    lines = saves(spark, sf)
+    gone = lines.where("l_returnflag = 'R'").select("product_id", "user_id").distinct()
+    return merge.delete_keys(lines.select("product_id", "user_id"), gone).groupBy("product_id", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH i AS (SELECT user_id, arg_max(event_type, event_id) AS name, arg_max(struct_pack(x := CASE WHEN value > 50 THEN NULL ELSE 'image' END), event_id).x AS image FROM events GROUP BY user_id)
+SELECT coalesce(c_custkey, user_id) AS oauth_user_id, CASE WHEN user_id IS NOT NULL THEN 'u' || user_id ELSE c_name || '@example.com' END AS email,
+CASE WHEN user_id IS NOT NULL THEN i.name ELSE c_name END AS name, CASE WHEN user_id IS NOT NULL THEN image ELSE c_mktsegment END AS profile_image FROM customer FULL JOIN i ON c_custkey = user_id""")
+def user_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    existing = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("oauth_user_id"), F.concat(F.col("c_name"), F.lit("@example.com")).alias("email"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("profile_image")
+    )
+    logins = table(spark, sf, "events").select(
+        F.col("user_id").alias("oauth_user_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"), F.col("event_type").alias("name"),
+        F.when(F.col("value") > 50, F.lit(None)).otherwise("image").alias("profile_image"), "event_id",
+    )
+    return merge.upsert_users(existing, merge.last_by(logins, ["oauth_user_id"], "event_id").drop("event_id"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return merge.cascade(table(spark, sf, "orders"), gone, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL ELSE user_id::VARCHAR END AS user_id FROM events")
+def set_null(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return merge.set_null(table(spark, sf, "events"), gone, "user_id").select("event_id", F.col("user_id").cast("string").alias("user_id"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders)")
+def restrict_check(spark: SparkSession, sf: str) -> DataFrame:
+    gone = table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey")
+    return merge.restricted(gone, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""
+SELECT c_custkey, coalesce(s_suppkey, 0) AS shop_id FROM customer LEFT JOIN supplier ON s_name = 'Supplier#' || lpad(c_custkey::VARCHAR, 9, '0')""")
+def shop_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    named = shops(spark, sf).withColumn("name", F.when(F.col("id") == 0, "UNKNOWN").otherwise(F.col("name")))
+    items = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("shop"))
+    return merge.shop_ids(items, named.withColumn("id", F.col("id").cast("int"))).select("c_custkey", F.col("shop_id").cast("long").alias("shop_id"))
+
+
+@query("SELECT * FROM (VALUES ('UNKNOWN'), ('FRUITS FAMILY'), ('FETCHING'), ('EMPTY'), ('WORKSOUT'), ('8DIVISION'), ('IAMSHOP'), ('THE BOUNCE'), ('THE X SHOP'), ('COLLECTIV'), ('KREAM'), ('MUSINSA'), ('EQL'), ('29CM'), ('Bunjang'), ('Danggeun Market'), ('Joonggonara'), ('ZARA')) t(name)")
+def shop_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return seed_shops(spark).select("name")
+
+
+# Normalisation
+
+
+def amounts(spark: SparkSession, sf: str, text) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", text(F.format_number("l_extendedprice", 2)).alias("t"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(l_extendedprice, 2) AS price FROM lineitem")
+def price_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = amounts(spark, sf, lambda x: F.concat(F.lit(" ₩"), x, F.lit(" ~ 1,500")))
+    return rows.withColumn("price", N.price(F.col("t")).cast("double")).drop("t")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(l_extendedprice, 2) AS price FROM lineitem")
+def price_parse_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return amounts(spark, sf, lambda x: F.concat(x, F.lit("원"))).withColumn("price", N.price_batch(F.col("t")).cast("double")).drop("t")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, round(l_extendedprice * 100)::BIGINT::VARCHAR AS price FROM lineitem")
+def price_parse_html(spark: SparkSession, sf: str) -> DataFrame:
+    return amounts(spark, sf, lambda x: F.concat(F.lit("₩"), x)).withColumn("price", N.price_html(F.col("t"))).drop("t")
+
+
+def chosen(key: str, values: list[str | None]) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query("SELECT n_nationkey, (['KRW', 'USD', 'GBP', 'KRW', 'EUR', 'KRW', 'JPY'])[n_nationkey % 7 + 1] AS currency FROM nation")
+def currency_norm(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", N.currency(chosen("n_nationkey", ["₩", "usd", " gbp ", "GB", "€", None, "¥"])).alias("currency"))
+
+
+@query("SELECT s_suppkey, (['MUSINSA', 'THE BOUNCE', 'UNKNOWN', 'UNKNOWN', 'UNKNOWN', 'Joonggonara'])[s_suppkey % 6 + 1] AS shop FROM supplier")
+def shop_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select("s_suppkey", N.shop(chosen("s_suppkey", [" Musinsa ", "the bounce", "FRUITS FAMILY", "nope", None, "joongna"])).alias("shop"))
+
+
+@query("SELECT p_partkey, ([true, false, true, NULL, NULL])[p_partkey % 5 + 1] AS is_soldout FROM part")
+def soldout_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", N.soldout(chosen("p_partkey", ["Yes", "0", " 1 ", "maybe", None])).alias("is_soldout"))
+
+
+@query("""SELECT o_orderkey, ([false, false, true, true, false, true, false, true])[o_orderkey % 8 + 1] AS available,
+([true, true, false, false, true, false, true, false])[o_orderkey % 8 + 1] AS is_soldout FROM orders""")
+def availability(spark: SparkSession, sf: str) -> DataFrame:
+    text = chosen("o_orderkey", [None, "", "In Stock", "https://schema.org/InStock", "https://schema.org/OutOfStock", "unavailable", "품절", "PreOrder"])
+    return table(spark, sf, "orders").select("o_orderkey", N.available(text).alias("available"), N.soldout_from_offer(text, F.lit(None).cast("string")).alias("is_soldout"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^(.*?)www\.', '\1') AS domain FROM pages")
+def url_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", N.domain(F.col("url")).alias("domain"))
+
+
+@query(r"SELECT page_id, regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '([^.]+)\.[^.]+$', 1) AS site FROM pages")
+def site_label(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", N.site_label(F.col("url")).alias("site"))
+
+
+@query("SELECT page_id, 'https://i.example/' || page_id || '?a=1&b=<2>' AS image_url FROM pages")
+def image_url_norm(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit(" //i.example/"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=&lt;2&gt; "))
+    return table(spark, sf, "pages").select("page_id", N.image_url(raw).alias("image_url"))
+
+
+@query("""SELECT page_id, (['https://x.example/a.png', 'https://cdn.example/b.png', '/api/images/c.png', '/api/images/d/e.png', 'none'])[page_id % 5 + 1] AS shown,
+(['https:/x.example/a.png', 'cdn.example/b.png', 'c.png', 'd/e.png', ''])[page_id % 5 + 1] AS path FROM pages""")
+def display_image_url(spark: SparkSession, sf: str) -> DataFrame:
+    image = chosen("page_id", ["https://x.example/a.png", "//cdn.example/b.png", "/images/c.png", "d/e.png", ""])
+    paths = F.replace(N.image_path(image), F.lit("//"), F.lit("/"))
+    return table(spark, sf, "pages").select("page_id", N.display_image(image, F.lit(None).cast("string"), "none").alias("shown"), paths.alias("path"))
+
+
+@query("""SELECT p_partkey, concat_ws(' ', nullif(p_brand, ''), CASE WHEN p_size > 25 THEN p_type END, p_name) AS query,
+upper(p_type[1]) || lower(p_type[2:]) AS label FROM part""")
+def detail_query(spark: SparkSession, sf: str) -> DataFrame:
+    parts = N.detail_query(F.col("p_brand"), F.lit(""), F.when(F.col("p_size") > 25, F.col("p_type")), F.lit(None).cast("string"), F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", parts.alias("query"), N.category_label(F.col("p_type")).alias("label"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN n_name || ' -inurl:search -inurl:category -inurl:snap'
+ELSE n_name || ' site:s' || n_regionkey || '.example (> products) -inurl:search -inurl:category -inurl:snap' END AS query FROM nation""")
+def query_builder(spark: SparkSession, sf: str) -> DataFrame:
+    site = F.when(F.col("n_nationkey") == 3, "google.com").otherwise(F.concat(F.lit("s"), F.col("n_regionkey").cast("string"), F.lit(".example")))
+    return table(spark, sf, "nation").select("n_nationkey", N.site_query(F.col("n_name"), site).alias("query"))
+
+
+@query("SELECT o_orderkey, (greatest(1, o_custkey % 12) - 1) // 3 AS batch FROM orders")
+def search_batches(spark: SparkSession, sf: str) -> DataFrame:
+    page = F.when(F.col("o_custkey") % 12 == 1, "x").otherwise((F.col("o_custkey") % 12).cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", N.search_batch(page).cast("long").alias("batch"))
+
+
+# Pages
+
+
+@query(r"""
+WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS a, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS b FROM pages)
+SELECT page_id, replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS page_title, replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM t""")
+def html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", "url").join(html.parsed(pages).select("url", "page_title", "heading").dropDuplicates(["url"]), "url").select("page_id", "page_title", "heading")
+
+
+@query("SELECT url AS source_url, 'Unknown' AS title, 'UNKNOWN' AS brand, 'PRODUCT' AS category, 'UNKNOWN' AS shop FROM pages")
+def page_records(spark: SparkSession, sf: str) -> DataFrame:
+    return html.records(html.products(table(spark, sf, "pages"))).select("source_url", "title", "brand", "category", "shop")
+
+
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), CASE WHEN toxic = 1 THEN 'toxic' END, source) AS title,
+coalesce(CASE WHEN quality = 0 THEN false END, toxic = 1) AS is_soldout FROM documents LEFT JOIN labels USING (doc_id)""")
+def field_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    first = F.struct(F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("title"), F.when(F.col("quality") == 0, False).alias("is_soldout"))
+    second = F.struct(F.when(F.col("toxic") == 1, "toxic").alias("title"), (F.col("toxic") == 1).alias("is_soldout"))
+    third = F.struct(F.col("source").alias("title"), F.lit(None).cast("boolean").alias("is_soldout"))
+    named = rows.select("doc_id", first.alias("f1"), second.alias("f2"), third.alias("f3"))
+    return named.select("doc_id", *html.merged([F.col("f1"), F.col("f2"), F.col("f3")], ["title", "is_soldout"]))
+
+
+# Brands, events, federated results
+
+
+@query("""
+SELECT p_name AS brand_name, arg_min(p_name, p_partkey) AS brand_name_eng, 'https://brands.example/brand/' || min(p_partkey) AS link FROM part
+WHERE p_name NOT IN (SELECT p_brand FROM part) GROUP BY p_name""")
+def brand_expand(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part")
+    edges = parts.select(F.col("p_brand").alias("brand_name"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("name_kr"))
+    return brands.expanded(parts.select(F.col("p_brand").alias("brand_name")), edges, "https://brands.example/brand")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT p_brand AS n, CASE WHEN p_size > 25 THEN p_type END AS l FROM part)
+SELECT n AS brand_name, l AS link FROM e WHERE l IS NOT NULL UNION ALL SELECT p_brand, NULL FROM part WHERE p_size <= 25
+UNION ALL SELECT DISTINCT c_mktsegment, 'x' FROM customer""")
+def brand_insert(spark: SparkSession, sf: str) -> DataFrame:
+    existing = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("brand_name"), F.lit("x").alias("link")).distinct()
+    new = table(spark, sf, "part").select(F.col("p_brand").alias("brand_name"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("link"))
+    return brands.inserted(existing, new)
+
+
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("action"), F.lit("SITE").alias("entity_type"), F.when(F.col("event_type") != "view", F.col("props")).alias("metadata"), F.col("ts").alias("occurred_at")
+    )
+
+
+EVENTS = """SELECT event_id, event_type AS action, CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS k,
+CASE WHEN event_type <> 'view' THEN props ELSE '{}' END AS metadata FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view')"""
+
+
+@query(EVENTS)
+def event_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = event_rows(spark, sf).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    return events.ingested(rows, ACTIONS).select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata")
+
+
+@query("SELECT event_id, event_type AS action FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')")
+def event_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return events.split(event_rows(spark, sf), ACTIONS)[1].select("event_id", "action")
+
+
+@query(EVENTS)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "stream")
+    event_rows(spark, sf).repartition(4).write.parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    ingest.append(ingest.event_stream(spark, f"{folder}/in", schema, ACTIONS, events.ENTITIES, 2), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata")
+
+
+LISTING = """SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_name AS title, p_retailprice AS price, p_brand AS brand, p_size > 25 AS is_soldout FROM part"""
+
+
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as listing pages, one for each brand and type."""
+    item = F.struct(
+        F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("goodsLinkUrl"), F.col("p_name").alias("goodsName"), F.lit("0").alias("price"),
+        F.concat(F.format_number("p_retailprice", 2), F.lit("원")).alias("normalPrice"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, "Y").otherwise("false").alias("isSoldOut"),
+    )
+    pages = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.collect_list(item).alias("list"))
+    return pages.select(F.to_json(F.struct(F.struct("list").alias("data"))).alias("body"))
+
+
+@query(LISTING)
+def listing_records(spark: SparkSession, sf: str) -> DataFrame:
+    out = item_records(listing_items(listing_pages(spark, sf)))
+    return out.select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
+
+
+@query(LISTING)
+def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "catalog")
+    listing_pages(spark, sf).repartition(4).write.text(f"{folder}/in")
+    q = ingest.catalog_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", 2)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out/version={q.lastProgress['batchId']}")
+    return out.select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
+
+
+@query("""
+WITH a AS (SELECT 'https://e.example/' || user_id AS link, arg_min(event_type, event_id) AS title, arg_min(value, event_id) AS v FROM events WHERE event_type <> 'error' GROUP BY user_id),
+b AS (SELECT url AS link, min(page_id) AS page_id FROM pages GROUP BY url)
+SELECT sha256(link) AS product_id, title, v::VARCHAR AS price, 'USD' AS currency, 'events' AS shop, link AS source_url FROM a
+UNION ALL SELECT sha256(link), '상품명 없음', '가격 미상', 'KRW', '알 수 없는 샵', link FROM b""")
+def federated_union(spark: SparkSession, sf: str) -> DataFrame:
+    text = lambda v: F.lit(v).cast("string")
+    first = table(spark, sf, "events").select(
+        F.col("event_type").alias("title"), F.when(F.col("event_type") == "error", "").otherwise("t").alias("thumbnail"), text(None).alias("original"),
+        F.concat(F.lit("https://e.example/"), F.col("user_id").cast("string")).alias("link"), text(None).alias("source"), text(None).alias("snippet"),
+        F.to_json(F.struct(F.col("value").alias("value"), F.lit("USD").alias("currency"))).alias("price"), text(None).alias("currency"), text(None).alias("category"),
+        F.lit("e.example").alias("site_domain"), F.lit("events").alias("site_name"), F.col("event_id").alias("position"),
+    )
+    second = table(spark, sf, "pages").select(
+        text(None).alias("title"), F.lit("t").alias("thumbnail"), F.lit("o").alias("original"), F.col("url").alias("link"), F.lit("").alias("source"), text(None).alias("snippet"),
+        text(None).alias("price"), text(None).alias("currency"), text(None).alias("category"), text(None).alias("site_domain"), text(None).alias("site_name"), F.col("page_id").alias("position"),
+    )
+    found = federated.union([federated.with_image(federated.normalized(s, "position")) for s in (first, second)])
+    return federated.unique(found).select("product_id", "title", "price", "currency", "shop", "source_url")

@@ -1,21 +1,20 @@
-"""Declared schemas of the catalog's tables and the projections that queries return."""
+"""Declared schemas (as DDL) of the catalog's tables and the projections that queries return."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-SHOPS = StructType.fromDDL("id int not null, name string not null, domain string, url string")
-USERS = StructType.fromDDL("id int not null, oauth_user_id string not null, email string not null, name string, profile_image string, created_at timestamp")
-PRODUCTS = StructType.fromDDL(
+SHOPS = "id int not null, name string not null, domain string, url string"
+USERS = "id int not null, oauth_user_id string not null, email string not null, name string, profile_image string, created_at timestamp"
+PRODUCTS = (
     "id int not null, source_url string not null, title string not null, title_vector array<float>, price decimal(12,2), currency string, "
     "brand string not null, category string not null, is_soldout boolean, image_url string not null, image_vector array<float>, "
     "shop_id int not null, gender string not null, created_at timestamp not null"
 )
-SAVES = StructType.fromDDL("product_id int not null, user_id int not null, created_at timestamp")
-EVENTS = StructType.fromDDL("id int not null, user_id int, action string, entity_type string, entity_id string, metadata string, occurred_at timestamp, created_at timestamp")
-BRANDS = StructType.fromDDL("id int, brand_name string not null, brand_name_eng string, keywords string, link string, target_group string, mean_price string, created_at timestamp_ntz")
+SAVES = "product_id int not null, user_id int not null, created_at timestamp"
+EVENTS = "id int not null, user_id int, action string, entity_type string, entity_id string, metadata string, occurred_at timestamp, created_at timestamp"
+BRANDS = "id int, brand_name string not null, brand_name_eng string, keywords string, link string, target_group string, mean_price string, created_at timestamp_ntz"
 
 #: The shops that a catalog starts with; the first one takes what no other name fits.
 SEED_SHOPS = [
