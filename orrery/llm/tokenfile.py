@@ -142,8 +142,8 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: str = "d
 
 
 def _row(held: list, state: dict, digest: bytes, width: int) -> tuple:
-    n = sum(d[1] for d in held)
-    out = (state["part"], state["block"], held[0][0], held[-1][0], len(held), n, state["start"], pack(held, digest, width))
+    n, known = sum(d[1] for d in held), [d[0] for d in held if d[0] is not None] or [None]
+    out = (state["part"], state["block"], known[0], known[-1], len(held), n, state["start"], pack(held, digest, width))
     state["block"] += 1
     state["start"] += n
     return out
