@@ -216,3 +216,49 @@ def records(facts: DataFrame) -> DataFrame:
         N.falsy(F.col("brand"), F.lit("UNKNOWN")).alias("brand"), N.falsy(F.col("category"), F.lit("PRODUCT")).alias("category"), "is_soldout",
         F.coalesce("image_url", F.lit("")).alias("image_url"), N.shop(F.col("shop")).alias("shop"), "gender",
     )
+
+
+class Anchors(HTMLParser):
+    """Links of a class within list items of a class."""
+
+    def __init__(self, item: str, link: str):
+        super().__init__(convert_charrefs=True)
+        self.item, self.link, self.depth = item, link, []
+        self.found: list[list] = []
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        classes = a.get("class", "").split()
+        if tag == "br" and self.inside:
+            self.found[-1][0] += "\n"
+        if tag == "li":
+            self.depth.append(self.item in classes)
+        if tag == "a" and self.link in classes and self.depth and self.depth[-1]:
+            self.found.append(["", a.get("href")])
+            self.inside = True
+
+    def handle_endtag(self, tag):
+        if tag == "li" and self.depth:
+            self.depth.pop()
+        if tag in ("a", "li"):
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.found[-1][0] += data
+
+
+def anchors(pages: DataFrame, item: str = "menu", link: str = "view") -> DataFrame:
+    """(url, text, href) of the links with class ``link`` in list items with class ``item``; line breaks stay in the text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for url, text in zip(*(c.to_pylist() for c in batch.columns)):
+                reader = Anchors(item, link)
+                reader.feed(text or "")
+                rows += [(url, t.strip(), href) for t, href in reader.found]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["url", "text", "href"])
+
+    return pages.select("url", "html").mapInArrow(run, "url string, text string, href string")

@@ -2,6 +2,8 @@
 
 import json
 
+from orrery.functions import hooks
+from orrery.operators import brands, notices
 from orrery.sources import captured, html
 
 MARKED = '<h1 class="Product-title"> A <b>b</b></h1><div class="big Product-price">₩1,000</div><h2 class="Product-brand">X</h2><img class="Product-image" src="i.png"><div class="Product-buy">구매하기</div>'
@@ -43,3 +45,34 @@ def test_state_items(spark):
     df = spark.createDataFrame([(json.dumps(state),), (None,), ("{}",)], "body string")
     row = captured.item_records(captured.state_items(df)).collect()
     assert [(r["source_url"], int(r["price"]), r["is_soldout"]) for r in row] == [("u", 5000, True)]
+
+
+def test_brand_anchors(spark):
+    page = '<ul><li class="menu"><a class="view" href="/b1">비<br>B</a></li><li class="menu"><a href="/no">x</a></li><li><a class="view" href="/no">y</a></li></ul>'
+    got = html.anchors(spark.createDataFrame([("u", page), ("v", None)], "url string, html string"))
+    assert [tuple(r) for r in got.collect()] == [("u", "비\nB", "/b1")]
+    assert tuple(brands.from_lines(got, "https://x").first()) == ("비", "B", "https://x/b1")
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "index int, t string")
+    v = {r[0]: r[1] for r in df.select("index", hooks.encoder(hooks.hashed_encoder(8))("t")).collect()}
+    assert len(v[1]) == 8 and v[1] == v[3] and v[2] is None
+
+    def upper(text):
+        if text == "bad":
+            raise RuntimeError
+        return text.upper()
+
+    words = spark.createDataFrame([("a",), ("bad",), (None,)], "t string")
+    assert [r[0] for r in words.select(hooks.translator(upper)("t")).collect()] == ["A", "bad", None]
+    assert [r[0] for r in words.select(hooks.translator()("t")).collect()] == ["a", "bad", None]
+    vectors = spark.createDataFrame([(1, [1.0])], "index int, vector array<double>")
+    assert {r["index"]: r["vector"] for r in hooks.scattered(df, vectors).collect()} == {1: [1.0], 2: None, 3: None}
+
+
+def test_notices(spark):
+    items = spark.createDataFrame([("p", "i"), ("q", "")], "product_id string, image_url string")
+    assert [r["type"] for r in notices.search_notices(items, 1, 2, failed=True).orderBy("position").collect()] == ["SEARCH_SUCCESS", "SEARCH_ERROR", "SEARCH_FINISHED"]
+    results = spark.createDataFrame([(-1, None, 5), (-2, "gone", None)], "placeholder_id long, error string, product_id int")
+    assert {r["placeholder_id"]: (r["type"], r["payload"]) for r in notices.crawl_notices(results).collect()} == {-1: ("CRAWL_SUCCESS", '{"product_id":5}'), -2: ("CRAWL_ERROR", '{"error":"gone"}')}
