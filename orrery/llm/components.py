@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(links)
     while True:
-        links = written(_small_star(_large_star(links)))
+        links = written(_small_star(written(_large_star(links))))
         mark, before = _mark(links), mark
         if mark == before:
             roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -35,7 +35,7 @@ def _mark(links: DataFrame):
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours link to its smallest one."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")))  # so that the join below deals both sides itself and can split a hub's links
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).union(
         links.groupBy("a").agg(F.min("b").alias("b"))
     )
@@ -43,6 +43,6 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and itself, link to its smallest one."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
