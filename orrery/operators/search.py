@@ -71,6 +71,11 @@ def exists(table: DataFrame, keys: DataFrame, key: str = "product_id") -> DataFr
     return keys.join(there, keys[key] == there["__key"], "left").withColumn("found", F.col("__key").isNotNull()).drop("__key")
 
 
+def lookup(table: DataFrame, key: str, value) -> DataFrame:
+    """The row with a key, by a filter that reaches the scan."""
+    return table.where(F.col(key) == value).limit(1)
+
+
 def suggestions(table: DataFrame, n: int = 6, seed: int = 0) -> DataFrame:
     return table.orderBy(F.rand(seed)).limit(n)
 

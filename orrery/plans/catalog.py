@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import normalize as N
 from orrery.functions import vectors as V
-from orrery.operators import brands, events, federated, feed, merge, search
+from orrery.operators import brands, events, federated, feed, merge, notices, search
 from orrery.schemas import seed_shops
 from orrery.sources import html
 from orrery.sources.captured import item_records, listing_items, table
@@ -173,9 +173,50 @@ def vector_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(V.normalized(F.col("embedding"))[0], 6).alias("first"))
 
 
+@query("SELECT o_orderkey AS product_id, o_orderkey IN (SELECT p_partkey FROM part) AS found FROM orders")
+def product_exists(spark: SparkSession, sf: str) -> DataFrame:
+    return search.exists(products(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("product_id")))
+
+
+@query(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey = {USER}")
+def user_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return search.lookup(table(spark, sf, "customer"), "c_custkey", USER).select("c_custkey", "c_name")
+
+
+@query("""SELECT p_partkey AS product_id, 'seen' AS origin FROM part UNION ALL
+SELECT l_orderkey, 'new' FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part)""")
+def append_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    seen = products(spark, sf).select("product_id", F.lit("seen").alias("origin"))
+    return feed.appended_unseen(seen, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("product_id"), F.lit("new").alias("origin")))
+
+
+@query("SELECT p_partkey, 'p_name=' || p_name || ', p_brand=' || p_brand AS card FROM part")
+def card_fields(spark: SparkSession, sf: str) -> DataFrame:
+    cards = search.card_fields(table(spark, sf, "part"), ["p_partkey", "p_size"])
+    return cards.select("p_partkey", F.array_join(F.transform("card", lambda c: F.concat_ws("=", c["name"], c["value"])), ", ").alias("card"))
+
+
+@query("SELECT page_id, (['url', 'url', 'data', 'text', NULL])[page_id % 5 + 1] AS kind FROM pages")
+def input_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", N.input_kind(chosen("page_id", ["https://a", "//a", "data:image/png;base64,AA", "red coat", ""])).alias("kind"))
+
+
+@query("""SELECT type, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE 'SEARCH_SUCCESS' END AS type FROM events
+UNION ALL SELECT 'SEARCH_FINISHED') WHERE type IS NOT NULL GROUP BY type""")
+def search_notices(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "").otherwise("i").alias("image_url"))
+    return notices.search_notices(items, USER, 1).groupBy("type").agg(F.count("*").alias("n"))
+
+
 # Upserts, deletes and references
 
 
+@query("""SELECT s_name, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_name) AS id FROM supplier""")
+def new_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").select(F.lit(None).cast("long").alias("id"), "s_name")
+    return merge.with_new_ids(rows, table(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", ["s_name"])
+
+
 @query("""
 SELECT coalesce(p.k, o.k) AS source_url, CASE WHEN o.k IS NOT NULL THEN o.title ELSE p.title END AS title, CASE WHEN o.k IS NOT NULL THEN o.price ELSE p.price END AS price,
 CASE WHEN o.k IS NOT NULL THEN o.brand ELSE p.brand END AS brand, coalesce(p.created_on, o.created_on) AS created_on
