@@ -81,3 +81,20 @@ def appended_unseen(seen: DataFrame, incoming: DataFrame, key: str = "product_id
 
 def toggled(selected: Column, item: Column) -> Column:
     return F.when(F.array_contains(selected, item), F.array_except(selected, F.array(item))).otherwise(F.array_union(selected, F.array(item)))
+
+
+PAYLOAD = ["title", "source_url", "category", "image_url", "image_vector", "price", "currency", "brand", "is_soldout", "shop"]
+
+
+def save_payload(items: DataFrame) -> DataFrame:
+    """What is sent to save items; ids that aren't numbers, as those of federated results, become null, so that the item is inserted."""
+    return items.select(F.col("product_id").cast("string").try_cast("long").alias("product_id"), *(c for c in PAYLOAD if c in items.columns))
+
+
+def user_view(users: DataFrame) -> DataFrame:
+    return users.select("id", "email", F.col("name").alias("username"), "profile_image")
+
+
+def guest(spark) -> DataFrame:
+    """The row that guests share, to be upserted like any user's."""
+    return spark.createDataFrame([("guest", "guest@example.invalid", "Guest", None)], "oauth_user_id string, email string, name string, profile_image string")

@@ -218,6 +218,11 @@ def records(facts: DataFrame) -> DataFrame:
     )
 
 
+def marked(facts: DataFrame, source: str = "feed_add") -> DataFrame:
+    """Facts with where they come from; the mark isn't part of a record."""
+    return facts.withColumn("_source", F.lit(source))
+
+
 class Anchors(HTMLParser):
     """Links of a class within list items of a class."""
 

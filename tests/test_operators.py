@@ -157,3 +157,12 @@ def test_brands(spark):
     assert got == [("C", "C", "https://b/brand/2"), ("비", "B", "https://b/brand/1")]
     lines = brands.from_lines(spark.createDataFrame([("비\n B ", "/b")], "text string, href string"), "https://x").first()
     assert tuple(lines) == ("비", "B", "https://x/b")
+
+
+def test_payloads_and_guests(spark):
+    found = spark.createDataFrame([("12", "t", "x"), ("9f-uuid", "t", "x"), (None, "t", "x")], "product_id string, title string, text_rank string")
+    out = feed.save_payload(found)
+    assert out.columns == ["product_id", "title"] and [r[0] for r in out.collect()] == [12, None, None]
+    users = merge.upsert_users(feed.guest(spark).limit(0), feed.guest(spark))
+    assert merge.upsert_users(users, feed.guest(spark)).count() == 1
+    assert feed.user_view(users.withColumn("id", F.lit(1))).first()["username"] == "Guest"
