@@ -25,7 +25,9 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,13 +163,15 @@ class Encoder:
         inner = self.inner
         ids = [inner[x] for x in b]
         ids[-1] = self.final[b[-1]]
-        return np.array(self.merge(ids), "<u4").tobytes()
+        return _packed(self.merge(ids))
 
     def run(self, run: str) -> bytes:
         """The ids of a run without blanks, for runs that ``young`` doesn't have."""
         if (out := self.old.get(run)) is None:
-            words = LATIN_WORDS.findall(run)
-            out = self.word(run) if len(words) < 2 else b"".join(map(self.young.__getitem__, words))
+            if run.isalpha() or len(words := LATIN_WORDS.findall(run)) < 2:
+                out = self.word(run)
+            else:
+                out = b"".join(map(self.young.__getitem__, words))
         if len(self.young) >= REMEMBERED:
             self.old, self.young = dict(self.young), Remembered(self)
         if len(run) <= 40:
@@ -269,6 +273,14 @@ class Remembered(dict):
         return self.encoder.run(run)
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def _latin(part: str) -> bool:
     try:
         part.encode("latin-1")
@@ -305,12 +317,12 @@ class WordStream:
         stable = int(np.searchsorted(ends, upto, side="right"))
         if stable:
             self.held = self.held[int(ends[stable - 1]) :]
-        return np.array(ids[:stable], "<u4").tobytes()
+        return _packed(ids[:stable])
 
     def close(self) -> bytes:
         e, b = self.encoder, self.held
         self.held = b""
-        return np.array(e.merge([*(e.inner[x] for x in b[:-1]), e.final[b[-1]]]), "<u4").tobytes() if b else b""
+        return _packed(e.merge([*(e.inner[x] for x in b[:-1]), e.final[b[-1]]])) if b else b""
 
 
 def _length(self: Encoder, token: int) -> int:

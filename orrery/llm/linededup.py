@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches
+from orrery.llm.common import map_batches, written
 
 STRIP = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -157,7 +157,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             for i in np.flatnonzero(hit):
                 yield found[i][0], found[i][1].decode()
 
-    suspects = map_batches(docs, rows, "doc_id long, key string")
+    suspects = written(map_batches(docs, rows, "doc_id long, key string"))  # read twice below
     kept = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).select("key", "keep")
     # a key that a third of all documents hold meets its row in many tasks; a kept key has five holders or more, so that the copies stay in proportion
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

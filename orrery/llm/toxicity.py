@@ -118,7 +118,7 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float = LEAST_DRIFT) -> li
 class Scorer:
     """Scores texts with one table of weights; remembers the weights of words."""
 
-    def __init__(self, weights: np.ndarray, drift: float, remembered: int = 400_000):
+    def __init__(self, weights: np.ndarray, drift: float, remembered: int = 150_000):
         self.weights, self.drift, self.remembered, self.known = weights, drift, remembered, {}
 
     def gain(self, word: str) -> float:
@@ -163,22 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = written(training_rows(docs, labels, id_col, text_col))
 
     def count(columns):
-        held = ([], []), ([], [])
+        docs_of, tokens_of = np.zeros((2, BUCKETS), np.int64), np.zeros((2, BUCKETS), np.int64)
         n_docs, n_tokens = [0, 0], [0, 0]
         for text, toxic in zip(*columns):
-            words = WORD.findall((text or "").lower())
+            words, c = WORD.findall((text or "").lower()), int(toxic == 1)
             tokens = Counter(b for w, n in Counter(words).items() for b in buckets(w) * n)
-            held[toxic == 1][0].append(np.fromiter(tokens.keys(), np.int64, len(tokens)))
-            held[toxic == 1][1].append(np.fromiter(tokens.values(), np.int64, len(tokens)))
-            n_docs[toxic == 1] += 1
-            n_tokens[toxic == 1] += len(words)
+            at = np.fromiter(tokens.keys(), np.int64, len(tokens))
+            docs_of[c, at] += 1
+            tokens_of[c, at] += np.fromiter(tokens.values(), np.int64, len(tokens))
+            n_docs[c] += 1
+            n_tokens[c] += len(words)
         yield -1, *n_docs, *n_tokens
-        found = []
-        for places, counts in held:
-            at = np.concatenate(places) if places else np.zeros(0, np.int64)
-            found += [np.bincount(at, minlength=BUCKETS), np.bincount(at, np.concatenate(counts) if counts else None, minlength=BUCKETS)]
-        for b in np.flatnonzero(found[0] + found[2]).tolist():
-            yield b, int(found[0][b]), int(found[2][b]), int(found[1][b]), int(found[3][b])
+        at = np.flatnonzero(docs_of.any(axis=0))
+        yield from zip(at.tolist(), *docs_of[:, at].tolist(), *tokens_of[:, at].tolist())
 
     names = ["other", "toxic", "other_tokens", "toxic_tokens"]
     counts = map_batches(rows, count, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
