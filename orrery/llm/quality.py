@@ -135,3 +135,55 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered double, longest_repeat long"
     return map_batches(docs.select(id_col, text_col), rows, schema)
+
+
+def oracle(levels: int = 20) -> str:
+    """DuckDB SQL with the same rows, for texts of fewer than 2^``levels`` words.
+
+    ``w{k}`` has the windows of 2^k words that their text holds twice or more,
+    each named after its first place; it is made from pairs in ``w{k-1}``.
+    ``best{k}`` has a text's windows of the greatest repeated length that is a
+    multiple of 2^k, tried from long to short.
+    """
+    twice = "SELECT doc_id, pos, name{more} FROM (SELECT doc_id, pos, min(pos) OVER g AS name, count(*) OVER g AS n{more} FROM ({rows}) WINDOW g AS (PARTITION BY doc_id, a, b)) WHERE n > 1"
+    steps = ["w0 AS MATERIALIZED (" + twice.format(more="", rows="SELECT doc_id, pos, word AS a, 0 AS b FROM words") + ")"]
+    for k in range(1, levels):
+        pairs = f"SELECT x.doc_id, x.pos, x.name AS a, y.name AS b FROM w{k - 1} x JOIN w{k - 1} y ON x.doc_id = y.doc_id AND y.pos = x.pos + {1 << k - 1}"
+        steps.append(f"w{k} AS MATERIALIZED ({twice.format(more='', rows=pairs)})")
+    steps.append(f"best{levels} AS (SELECT doc_id, pos, name, 0 AS size FROM w0 WHERE false)")
+    for k in reversed(range(levels)):
+        old = f"best{k + 1}"
+        pairs = f"SELECT x.doc_id, x.pos, x.name AS a, y.name AS b, x.size + {1 << k} AS size FROM {old} x JOIN w{k} y ON x.doc_id = y.doc_id AND y.pos = x.pos + x.size"
+        steps.append(f"longer{k} AS MATERIALIZED ({twice.format(more=', size', rows=pairs)} UNION ALL SELECT doc_id, pos, name, {1 << k} FROM w{k} WHERE doc_id NOT IN (SELECT doc_id FROM {old}))")
+        steps.append(f"best{k} AS MATERIALIZED (SELECT * FROM longer{k} UNION ALL SELECT * FROM {old} WHERE doc_id NOT IN (SELECT doc_id FROM longer{k}))")
+    blank = r"[\x20\x09-\x0D]"
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), words AS MATERIALIZED (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM texts
+), {", ".join(steps)}, fives AS (
+  SELECT a.doc_id, a.pos, a.name AS a, b.word AS b FROM w2 a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 4
+), inside AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + {LEAST_REPEAT})) AS pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b) AS n FROM fives) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM inside JOIN words USING (doc_id, pos) GROUP BY doc_id
+), longest AS (
+  SELECT doc_id, max(size) AS size FROM best0 GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM texts
+), measured AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{blank}', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, CASE WHEN length(regexp_replace(text, '{blank}', '', 'g')) > 0
+      THEN coalesce(chars, 0)::DOUBLE / length(regexp_replace(text, '{blank}', '', 'g')) ELSE 0.0::DOUBLE END AS covered,
+    CASE WHEN size >= {LEAST_REPEAT} THEN size ELSE 0 END::BIGINT AS longest_repeat
+  FROM texts JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN longest USING (doc_id)
+)
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND covered <= {MOST_COVERED} AND longest_repeat <= {MOST_LONGEST} AS kept
+FROM measured
+"""
+
+
+ORACLE = oracle()

@@ -69,5 +69,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op7_quality": quality.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }
