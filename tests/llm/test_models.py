@@ -137,6 +137,17 @@ def test_paraphrases_and_edge_rows(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_sums_of_many_tasks(spark):
+    def partial(batch, total):
+        for i in batch.column(0).to_pylist():
+            total[i % 700, i % 3] += i
+
+    want = np.zeros((700, 3))
+    for i in range(1300):
+        want[i % 700, i % 3] += i
+    assert (decontam._summed(spark.range(0, 1300, 1, 2 * decontam.FIRST_ROUND + 2), partial, (700, 3)) == want).all()
+
+
 def test_recall_of_the_latent_search(spark, monkeypatch):
     """Against brute force over the whole space: passages with a cosine of 0.6 to an item are found in the latent one."""
     kept = {}
