@@ -82,14 +82,14 @@ def _hashes(keys: set[bytes]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k) for k in keys]
 
 
-def bits_for(docs: DataFrame, text_col: str, least: int) -> int:
-    """A power of two from the most lines of ``least`` characters that all texts can hold."""
+def bits_for(docs: DataFrame, text_col: str, least: int, most_bits: int = MOST_BITS) -> int:
+    """A power of two from the most lines of ``least`` characters that all texts can hold, 2^``most_bits`` at most."""
     chars = docs.agg(F.sum(F.length(text_col) + 1)).first()[0] or 0
-    return 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_A_LINE * chars // (least + 1)).bit_length()))
+    return 1 << min(most_bits, max(LEAST_BITS, (BITS_A_LINE * chars // (least + 1)).bit_length()))
 
 
 def seen_twice(docs: DataFrame, text_col: str, bits: int, least: int) -> np.ndarray:
-    """The merged filter of keys that two documents or more hold; at most 2^28 bits reach the driver."""
+    """The merged filter of keys that two documents or more hold; no more than ``bits`` bits reach the driver."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -139,14 +139,15 @@ def seen_twice(docs: DataFrame, text_col: str, bits: int, least: int) -> np.ndar
     return filter_
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, drop array of keys): the keys that each document loses.
 
     A key counts once for each row that holds it. The row with the largest
-    doc_id keeps it; a null doc_id is smaller than any other.
+    doc_id keeps it; a null doc_id is smaller than any other. ``most_bits`` bounds
+    the broadcast filter: what is too full for it makes suspects, never losses.
     """
     docs = docs.select(id_col, text_col)
-    filter_ = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, text_col, bits_for(docs, text_col, least_chars), least_chars))
+    filter_ = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, text_col, bits_for(docs, text_col, least_chars, most_bits), least_chars))
 
     def rows(columns):
         found = []
@@ -166,8 +167,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int) -> DataFrame:
-    drops = repeats(docs, id_col, text_col, least_chars, least_docs).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+def _with_drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, most_bits: int) -> DataFrame:
+    drops = repeats(docs, id_col, text_col, least_chars, least_docs, most_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     return docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left")
 
 
@@ -180,7 +181,7 @@ def _kept(text: str | None, drop: list[str] | None, least: int) -> tuple[int, in
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for each row.
 
     A null or empty text is one empty line; repeated rows count as documents of
@@ -192,13 +193,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             n, lost, kept = _kept(text, drop, least_chars)
             yield doc, n, lost, hashlib.sha256(kept.encode()).hexdigest()
 
-    joined = _with_drops(docs.select(id_col, text_col), id_col, text_col, least_chars, least_docs)
+    joined = _with_drops(docs.select(id_col, text_col), id_col, text_col, least_chars, least_docs, most_bits)
     return map_batches(joined.select(id_col, text_col, "__drop"), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text_col``; a text that loses none stays as it was, null too."""
-    joined = _with_drops(docs, id_col, text_col, least_chars, least_docs)
+    joined = _with_drops(docs, id_col, text_col, least_chars, least_docs, most_bits)
     text = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__drop", _lower(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")))), "\n")
     return joined.withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(text)).select(docs.columns)
 

@@ -136,6 +136,8 @@ def test_line_dedup_against_brute_force(spark):
     assert got.columns == docs.columns
     assert sorted(((r[0], r[1] or "") for r in got.collect()), key=str) == texts
     assert linededup.digests(docs.limit(0)).count() == 0
+    # a filter that is full makes all lines suspects and changes nothing
+    assert sorted(map(tuple, linededup.digests(docs, most_bits=6).collect()), key=str) == want
 
 
 def test_filters_hold_every_key_seen_twice():
