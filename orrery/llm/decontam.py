@@ -2,11 +2,13 @@
 
 Texts are cut into overlapping passages of words, weighted by term frequency
 and inverse document frequency over all documents, in the vocabulary of each
-benchmark item's rarest words. A passage whose norm is below the least share of
-any item's norm can't reach the cosine threshold and goes no further. On those left, a
-randomised SVD is computed over all partitions; items and passages are compared
-by cosine in its space, and what is found is checked by the longest common
-subsequence of words and by the words of the item's end, its answer.
+benchmark item's rarest words. A passage whose greatest inner product with any
+item is too small for the cosine threshold goes no further. On those left, a
+randomised SVD is computed over all partitions. The space compared in is spanned
+by its leading directions and by the items themselves, so that no part of an item
+is lost and its cosines are those of the full space, whatever the corpus's size.
+What is found is checked by the longest common subsequence of words and by the
+words of the item's end, its answer.
 
 Inverse document frequency is taken as sqrt(N / df): every word then has the
 same energy in the corpus, and the leading directions of the SVD are groups of
@@ -35,12 +37,15 @@ WORD = re.compile(r"[^\W_]+")
 HALF = 16
 #: Words of each item that make up the vocabulary, the rarest ones.
 RAREST = 8
-#: Directions kept: some, and for each item; added for the randomised start; power iterations.
-RANK, RANK_AN_ITEM, MORE, POWER, SEED = 64, 2, 16, 2, 11
-#: Cosine that a passage's norm must allow, and the one to reach in the latent space, where a part of it is lost.
-COSINE, LATENT = 0.35, 0.2
+#: Leading directions kept beside the items' own; added for the randomised start; power iterations.
+RANK, MORE, POWER, SEED = 64, 16, 2, 11
 #: Contaminated: so much of the item's words in order, or less with so much of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
+#: Cosine that a passage's words must allow: none with as much is lost.
+COSINE = 0.35
+#: Cosine from which a passage is checked: that of the least share of an item's energy beside other words with so many times the item's.
+BESIDE = 5
+LATENT = LCS_WITH_ANSWER / (LCS_WITH_ANSWER + BESIDE) ** 0.5
 #: The answer is the item's last share of words; items of fewer words aren't searched.
 ANSWER_SHARE, LEAST_WORDS = 0.25, 5
 BLOCK_ITEMS, BLOCK_WORDS = 256, 50_000
@@ -206,6 +211,12 @@ def directions(passages: DataFrame, weights: np.ndarray, rank: int, more: int =
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def spanning(vectors: np.ndarray, weights: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """Orthonormal columns whose space holds every item and ``vectors``."""
+    own = np.stack([np.bincount(i, weights[i], len(weights)) for i in items], axis=1)
+    return np.linalg.qr(np.hstack([own / np.linalg.norm(own, axis=0), vectors]))[0]
+
+
 def _candidates(passages: DataFrame, weights: np.ndarray, items: list[list[int]], vectors: np.ndarray, cosine: float) -> DataFrame:
     """(doc_id, item, at, cosine) of passages near an item in the latent space; lengths are those in the full space."""
     weighted = (vectors * weights[:, None]).astype(np.float32)
@@ -240,20 +251,21 @@ def _search_block(docs: DataFrame, block: list[tuple[int, list[str]]], cosine: f
     vocabulary, weights, items = prepared(docs, block)
     floor = cosine * min(float(np.sqrt((weights[i] ** 2).sum())) for i in items)
     squares = weights**2
+    most = squares * np.max([np.bincount(i, minlength=len(weights)) for i in items], axis=0)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, squares.tolist()))
+    shared = context.broadcast((vocabulary, squares.tolist(), most.tolist()))
 
     def cut(columns):
-        vocabulary, squares = shared.value
+        vocabulary, squares, most = shared.value
         find = vocabulary.get
         for doc, text in zip(*columns):
             for at, feats in _passages([find(w, -1) for w in words_of(text)]):
-                # no inner product exceeds this, tokens counted as often as they occur
-                if sum(squares[f] for f in feats) >= floor * floor:
+                # no inner product with an item exceeds the first sum, and the passage's norm is the second's root at least
+                if sum(most[f] for f in feats) ** 2 >= floor * floor * sum(squares[f] for f in feats):
                     yield doc, at, np.array(feats, "<i4").tobytes()
 
     passages = written(map_batches(docs, cut, "doc_id long, at int, feats binary"))
-    vectors = directions(passages, weights, RANK + RANK_AN_ITEM * len(block))
+    vectors = spanning(directions(passages, weights, RANK), weights, items)
     found = written(_candidates(passages, weights, items, vectors, latent))
     listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found"))
     texts = docs.join(listed.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "found")

@@ -167,6 +167,39 @@ def test_recall_of_the_latent_search(spark, monkeypatch):
     assert len(near) > 20 and len(near & found) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("copies", [1, 4, 12])
+def test_single_paraphrases_at_several_sizes(spark, monkeypatch, copies):
+    """One changed leak an item in a corpus that grows by shuffled copies: found whatever its size, as by the search over the whole space."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    share = [1 / (i + 20) for i in range(1500)]
+    text = lambda n: rng.choices(vocabulary, share, k=n)
+    items = [(i, text(rng.randint(15, 40))) for i in range(150)]
+    base = [text(200) for _ in range(400)]
+    rows = [(k, " ".join(rng.sample(d, len(d)) if k >= len(base) else d)) for k, d in enumerate(base * copies)]
+    for i, own in items:
+        gone = set(rng.sample(range(len(own)), len(own) // 4))
+        rows.append((10**6 + i, " ".join([*text(40), *("changed" if k in gone else w for k, w in enumerate(own)), *text(40)])))
+    kept = {}
+    original = decontam._candidates
+
+    def spy(passages, weights, items, vectors, latent):
+        kept.update(weights=weights, items=items, found=original(passages, weights, items, vectors, latent))
+        return kept["found"]
+
+    monkeypatch.setattr(decontam, "_candidates", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    block = [(i, w) for i, w in items]
+    words, w, _ = decontam.prepared(docs, block)
+    got = {r[0] for r in decontam.contaminated(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()}
+    unit = lambda f: (v := np.bincount(f, w[f], len(w))) / np.linalg.norm(v)
+    own = {i: unit(f) for i, f in enumerate(kept["items"])}
+    near = {(d, at, d - 10**6) for d, t in rows[-150:] for at, f in decontam._passages([words.get(x, -1) for x in t.split()]) if unit(f) @ own[d - 10**6] >= decontam.COSINE}
+    found = {(r["doc_id"], r["at"], r["item"]) for r in kept["found"].collect()}
+    assert len({d for d, _, _ in near}) > 120 and near <= found
+    assert {d for d, _, _ in near} <= got
+
+
 def test_pipeline(spark):
     """Each stage on its own input; ``run`` gives what they give one after another."""
     sf = "/root/testdata/sf0.01"
