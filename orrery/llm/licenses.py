@@ -43,9 +43,31 @@ NAMES = {
         }.items()
     },
 }
+#: License id -> phrases, each as alternatives, that its header or text must hold, and those that it must not.
+_ONLY = {"lesser general", "library general", "affero general"}
+TELLING = {
+    "GPL-2.0": ([["version 2 of the license", "version 2 as published", "license version 2"]], _ONLY),
+    "GPL-3.0": ([["version 3 of the license", "version 3 as published", "license version 3"]], _ONLY),
+    "LGPL-2.1": ([["lesser"], ["version 2 1"]], {"affero general"}),
+    "LGPL-3.0": ([["lesser"], ["version 3 of the license", "version 3 as published", "license version 3"]], {"affero general"}),
+    "AGPL-3.0": ([["affero"], ["version 3 of the license", "version 3 as published", "license version 3"]], {"lesser general", "library general"}),
+    "BSD-2-Clause": ([], {"neither", "endorse", "advertising"}),
+    "BSD-3-Clause": ([["neither the name", "names of its contributors", "name of the author may not"], ["endorse or promote"]], set()),
+    "MPL-2.0": ([["mozilla"], ["2 0"]], set()),
+    "CC0-1.0": ([["cc0"]], set()),
+}
+#: Words after a window that may still tell, as the third clause of BSD-3-Clause does after the second.
+AFTER = 12
+
 NOTICES = ["licensed under {}", "licensed under the {}", "released under the {}", "this work is licensed under the {}", "distributed under the terms of the {}"]
 
-#: Texts of short public licenses, without their names and copyright lines.
+#: The header of the GNU licenses, which differs in name and version alone.
+GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the
+Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+#: Texts of short public licenses and standard headers, without their names and copyright lines.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -72,10 +94,21 @@ that the following conditions are met: 1. Redistributions of source code must re
 of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.""",
+    **{i: GNU.format(f"GNU {kind} General Public License".replace("  ", " "), n) for i, kind, n in (
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"),
+    )},
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "CC0-1.0": """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to
+this software to the public domain worldwide. This software is distributed without any warranty. You should have received a
+copy of the CC0 Public Domain Dedication along with this software. If not, see
+http://creativecommons.org/publicdomain/zero/1.0/.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
 purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
@@ -88,6 +121,23 @@ def templates() -> list[tuple[str, str]]:
     return [(i, n.format(name)) for i, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items())
 
 
+#: Templates of fewer words are one-line notices, told by their own versions and kinds.
+LINE = 25
+KINDS = {"lesser", "affero", "cc0", "zero", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives"}
+
+
+def told(license_id: str, own: list[str], words: list[str], start: int, end: int) -> bool:
+    """Whether the words of a window tell the license of the template ``own`` from those with nearly the same text."""
+    if len(own) < LINE:
+        return {w for w in own if w in KINDS or w.isdigit()} <= set(words[start:end])
+    if license_id not in TELLING:
+        return True
+    needed, barred = TELLING[license_id]
+    near = words[start : end + (AFTER if license_id == "BSD-2-Clause" else 0)]
+    text = f" {' '.join(near)} "
+    return not any(f" {x} " in text for x in barred) and all(any(f" {x} " in text for x in some) for some in needed)
+
+
 class Scanner:
     """Templates as bigrams of numbered words, shortest first."""
 
@@ -95,6 +145,7 @@ class Scanner:
         words = sorted(((i, WORD.findall(t.lower())) for i, t in given), key=lambda x: len(x[1]))
         self.ids, self.sizes = [i for i, w in words if len(w) > 1], [len(w) for _, w in words if len(w) > 1]
         words = [(i, w) for i, w in words if len(w) > 1]
+        self.words = [w for _, w in words]
         self.known = {w: k for k, w in enumerate(sorted({w for _, ws in words for w in ws}))}
         self.base = len(self.known)
         self.threshold = threshold
@@ -128,7 +179,7 @@ class Scanner:
         taken: list[tuple[int, int, int, float]] = []
         used = np.zeros(len(words), bool)
         for k, dice, start, end in sorted(found, key=lambda x: (-x[1], -self.sizes[x[0]], x[2], x[0])):
-            if not used[start:end].any():
+            if not used[start:end].any() and told(self.ids[k], self.words[k], words, start, end):
                 used[start:end] = True
                 taken.append((k, start, end, dice))
         if not taken:

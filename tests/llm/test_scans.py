@@ -138,6 +138,25 @@ def test_licenses(spark):
     assert got == {(1, "MIT"): 4, (1, "Apache-2.0"): 2, (None, "CC-BY-NC-4.0"): 1}
 
 
+def test_licenses_with_nearly_the_same_text():
+    scanner = licenses.Scanner(licenses.templates())
+    ids = lambda text: [f[0] for f in scanner.find(f"Copyright someone. {text} and more after it")]
+    for name, text in licenses.TEXTS.items():
+        assert ids(text) == [name]
+    header = """This program is free software; you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software
+Foundation; either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be
+useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."""
+    gnu = "GNU {}General Public License".format
+    for kind, version, want in (("", "2", ["GPL-2.0"]), ("", "3", ["GPL-3.0"]), ("Lesser ", "2.1", ["LGPL-2.1"]), ("Lesser ", "3", ["LGPL-3.0"]), ("Affero ", "3", ["AGPL-3.0"]), ("", "1", []), ("Library ", "2", [])):
+        assert ids(header.format(gnu(kind), version)) == want
+        assert ids(header.format(gnu(kind), version).replace("This program", "This library")) == want
+    two = licenses.TEXTS["BSD-2-Clause"]
+    assert ids(two + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS") == ["BSD-2-Clause"]
+    assert ids(two + " 3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.") == ["BSD-3-Clause"]
+    assert ids(two + " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement:") == []
+    assert ids("licensed under the GNU General Public License, version 1") == []
+
+
 def test_license_windows_against_brute_force():
     rng = random.Random(8)
     given = [("a", "one two three four five six seven"), ("b", "two three nine ten"), ("c", "one one one two")]
