@@ -1,21 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval (operator 6).
 
-Texts are cut into overlapping passages of words, weighted by term frequency
-and inverse document frequency over all documents, in the vocabulary of each
-benchmark item's rarest words. A passage whose greatest inner product with any
-item is too small for the cosine threshold goes no further. On those left, a
-randomised SVD is computed over all partitions. The space compared in is spanned
-by its leading directions and by the items themselves, so that no part of an item
-is lost and its cosines are those of the full space, whatever the corpus's size.
-What is found is checked by the longest common subsequence of words and by the
-words of the item's end, its answer.
-
-Inverse document frequency is taken as sqrt(N / df): every word then has the
-same energy in the corpus, and the leading directions of the SVD are groups of
-words that occur together, as those of a leaked item do, however rare they are.
-
-The benchmark is read in blocks of bounded size, each searched against all
-documents; only a block's vocabulary and matrices are held by the driver.
+Texts are read once into numbers of the benchmark's words, all of them, and cut
+into overlapping passages, which are weighted by term frequency and inverse
+document frequency over all documents. A randomised SVD of all passages is
+computed over all partitions. The space compared in is spanned by its leading
+directions and by the items themselves, so that no part of an item is lost and
+its cosines are those of the full space, whatever the corpus's size. What is
+found is checked where it stands, by the longest common subsequence of words and
+by the words of the item's end, its answer: the numbers of a text that the check
+needs are those of the row at hand, so that no text is ever shuffled.
+
+Inverse document frequency is logarithmic. A leak whose rarest words were all
+replaced keeps most of its weight then, which it wouldn't if a word's energy
+fell in proportion to its frequency.
+
+The benchmark is read in groups of bounded vocabulary, one pass over all texts
+for each, and a group in blocks, whose matrices are small.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +34,70 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import map_batches, written
 
-WORD = re.compile(r"[^\W_]+")
+#: Characters of scripts without blanks are words of their own (Thai, Lao, Burmese, Khmer, kana, Han).
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+WORD = re.compile(rf"(?=[^\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 #: Words of half a passage; passages overlap by half.
 HALF = 16
-#: Words of each item that make up the vocabulary, the rarest ones.
-RAREST = 8
 #: Leading directions kept beside the items' own; added for the randomised start; power iterations.
-RANK, MORE, POWER, SEED = 64, 16, 2, 11
-#: Contaminated: so much of the item's words in order, or less with so much of its answer.
+RANK, MORE, POWER, SEED = 32, 8, 1, 11
+#: Contaminated: so much of the item's words in order, or less with so much of its answer and a cosine of ``COSINE``.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
-#: Cosine that a passage's words must allow: none with as much is lost.
+#: Cosine that answers need, as those of frequent words alone are found anywhere.
 COSINE = 0.35
-#: Cosine from which a passage is checked: that of the least share of an item's energy beside other words with so many times the item's.
-BESIDE = 5
+#: Cosine from which a passage is checked: that of the least share of an item's weight beside other words with so many times the item's.
+BESIDE = 4
 LATENT = LCS_WITH_ANSWER / (LCS_WITH_ANSWER + BESIDE) ** 0.5
 #: The answer is the item's last share of words; items of fewer words aren't searched.
 ANSWER_SHARE, LEAST_WORDS = 0.25, 5
-BLOCK_ITEMS, BLOCK_WORDS = 256, 50_000
-STEP = 2048
+#: Items of a block; words of a block and of a group of blocks.
+BLOCK_ITEMS, BLOCK_WORDS, GROUP_WORDS = 256, 16_384, 200_000
+#: Words of texts that are worked on at once, a multiple of ``HALF``.
+STEP = 1 << 15
+#: Passages that are checked at once.
+HITS = 1 << 10
 #: Tasks whose matrices are added up in the first of two rounds.
 FIRST_ROUND = 64
 
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer double"
+Block = list[tuple[int, list[str]]]
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
+#: For texts of Latin-1 characters the same words as bytes: letters and digits in lower case, blanks for all else.
+LATIN = bytes(ord(chr(b).lower()) if WORD.fullmatch(chr(b)) else 0x20 for b in range(256))
+
+
+class Vocabulary:
+    """Numbers of words, -1 for words that aren't in it."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = sorted(set(words))
+        number = {w: i for i, w in enumerate(self.words)}
+        self.find = (number | {w.encode("latin-1"): i for w, i in number.items() if _latin(w)}).get
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __reduce__(self):
+        return Vocabulary, (self.words,)
+
+    def codes(self, text: str | None) -> np.ndarray:
+        try:
+            words = (text or "").encode("latin-1").translate(LATIN).split()
+        except UnicodeEncodeError:
+            words = words_of(text)
+        return np.fromiter(map(self.find, words, repeat(-1)), np.int32, len(words))
+
+
+def _latin(word: str) -> bool:
+    return all(ord(c) < 256 for c in word)
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     """Items as (id, words), in blocks; null ids, and null, empty and very short texts are left out."""
     held, size = [], 0
     for item, text in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
@@ -76,13 +113,26 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield held
 
 
-def lcs(item: list[str], other: list[str]) -> int:
+def groups(found: Iterable[Block]) -> Iterator[list[Block]]:
+    """Blocks whose vocabulary is looked up in one pass over the texts."""
+    held, size = [], 0
+    for block in found:
+        n = sum(len(ws) for _, ws in block)
+        if held and size + n > GROUP_WORDS:
+            yield held
+            held, size = [], 0
+        held.append(block)
+        size += n
+    if held:
+        yield held
+
+
+def lcs(item: list, other: list) -> int:
     """Length of the longest common subsequence, by bits of one long integer."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(item):
         where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    state = full
+    state = full = (1 << len(item)) - 1
     for w in other:
         if m := where.get(w):
             u = state & m
@@ -91,54 +141,223 @@ def lcs(item: list[str], other: list[str]) -> int:
 
 
 class Passages:
-    """Sparse passages, scaled to length one if ``unit``: where each starts in the row of features, and norms."""
-
-    def __init__(self, starts: np.ndarray, feats: np.ndarray, weights: np.ndarray, unit: bool = True):
-        self.starts, self.feats, self.weights = starts, feats, weights
-        self.norm = np.sqrt(np.add.reduceat(weights[feats].astype(np.float64) ** 2, starts)) if unit else np.ones(len(starts))
+    """All passages of some texts: each is a half and the next one of the same text, and a text of one half has an empty one after it."""
+
+    def __init__(self, texts: list[np.ndarray], weights: np.ndarray):
+        self.sizes = np.array([max(2, -(-len(t) // HALF)) for t in texts])
+        self.first = np.cumsum(np.r_[0, self.sizes])
+        codes = np.full(self.first[-1] * HALF, -1, np.int32)
+        for at, t in zip((self.first * HALF).tolist(), texts):
+            codes[at : at + len(t)] = t
+        known = np.flatnonzero(codes >= 0)
+        self.codes, self.half = codes[known], known // HALF
+        self.weights = weights
+        last = np.zeros(self.first[-1], bool)
+        last[self.first[1:] - 1] = True
+        self.lead = np.flatnonzero(~last)
+        self.starts = np.flatnonzero(np.r_[True, self.half[1:] != self.half[:-1]]) if len(known) else known
+
+    def lengths(self) -> np.ndarray:
+        """Of each passage."""
+        n = len(self.weights)
+        words, counts = np.unique(np.r_[self.half * n + self.codes, (self.half - 1) * n + self.codes], return_counts=True)
+        half = words // n  # -1 for the second place of the first half, which leads nothing
+        square = np.bincount(half + 1, (counts * self.weights[words - half * n]) ** 2, minlength=self.first[-1] + 1)
+        return np.sqrt(square[self.lead + 1])
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
-        """The passages times a matrix with a row for each feature (already weighted)."""
-        return np.add.reduceat(matrix[self.feats], self.starts, axis=0) / self.norm[:, None].astype(np.float32)
+        """The passages times a matrix with a row for each word (already weighted)."""
+        out = np.zeros((self.first[-1], matrix.shape[1]), np.float32)
+        if len(self.codes):
+            out[self.half[self.starts]] = np.add.reduceat(matrix[self.codes], self.starts, axis=0)
+        return out[self.lead] + out[self.lead + 1]
 
     def add_transposed(self, x: np.ndarray, to: np.ndarray) -> None:
         """Adds the transpose of the passages times ``x`` to ``to``."""
-        owner = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, len(self.feats)]))
-        by = np.argsort(self.feats, kind="stable")
-        f = self.feats[by]
+        if not len(self.codes):
+            return
+        halves = np.zeros((self.first[-1], x.shape[1]), np.float32)
+        halves[self.lead] = x
+        halves[self.lead + 1] += x
+        by = np.argsort(self.codes, kind="stable")
+        f = self.codes[by]
         first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        rows = np.add.reduceat((x / self.norm[:, None].astype(np.float32))[owner[by]], first, axis=0)
-        to[f[first]] += rows * self.weights[f[first]][:, None]
+        to[f[first]] += np.add.reduceat(halves[self.half[by]], first, axis=0) * self.weights[f[first], None].astype(np.float32)
+
+    def near(self, space: Space, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, cosine) of all pairs that reach ``cosine``."""
+        n, some = len(space.items), space.size[self.codes]
+        at = np.repeat(space.start[self.codes] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum()) if len(self.codes) else self.codes
+        sums = np.bincount(np.repeat(self.half, some) * n + space.item[at], space.product[at], minlength=self.first[-1] * n).reshape(-1, n)
+        sums = sums[self.lead] + sums[self.lead + 1]
+        lengths = self.lengths()
+        row, item = np.nonzero(sums >= np.maximum(cosine * lengths, 1e-9)[:, None])
+        return row, item, sums[row, item] / lengths[row]
+
+
+@dataclass
+class Space:
+    """A block of items in the latent space: for each word of the vocabulary its products with the items, those that aren't zero."""
+
+    items: list[tuple[int, np.ndarray]]
+    weights: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+    product: np.ndarray
+    #: Numbers of the group's vocabulary to those of the block's, -1 for others.
+    local: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[int, np.ndarray]], weights: np.ndarray, vectors: np.ndarray, local: np.ndarray) -> Space:
+        """``vectors`` are orthonormal columns; an item's length is that within their space."""
+        own = np.stack([np.bincount(i, minlength=len(weights)) * weights for _, i in items], axis=1)
+        within = vectors @ (vectors.T @ own)
+        products = weights[:, None] * within / np.maximum(np.linalg.norm(within, axis=0), 1e-12)
+        word, item = np.nonzero(np.abs(products) > 1e-6 * weights[:, None])
+        size = np.bincount(word, minlength=len(weights))
+        return cls(items, weights, np.r_[0, np.cumsum(size)[:-1]], size, item, products[word, item], local)
+
+
+def chunks(texts: Iterable[np.ndarray]) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
+    """Pieces of about ``STEP`` words together, and for each the text and the half that it starts with.
+
+    A longer text is cut into pieces that share a half, so that each of its passages is in one of them.
+    """
+    held: list[np.ndarray] = []
+    of: list[tuple[int, int]] = []
+    size = 0
+    for number, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - HALF), STEP):
+            piece = text[at : at + STEP + HALF]
+            if held and size + len(piece) > STEP:
+                yield held, of
+                held, of, size = [], [], 0
+            held.append(piece)
+            of.append((number, at // HALF))
+            size += len(piece) + HALF
+    if held:
+        yield held, of
+
+
+class Search:
+    """Finds and checks the items of some blocks in texts given as codes."""
+
+    def __init__(self, spaces: list[Space], latent: float = LATENT):
+        self.spaces, self.latent = spaces, latent
+        self.checks = [Check([own for _, own in s.items], len(s.weights)) for s in spaces]
+
+    def __reduce__(self):
+        return Search, (self.spaces, self.latent)
+
+    def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, and in arrays text, item, number of the first half, cosine) of passages near an item."""
+        for b, space in enumerate(self.spaces):
+            for some, of in chunks(space.local[t] for t in texts):  # -1 takes the last one, which is -1
+                p = Passages(some, space.weights)
+                row, item, cosine = p.near(space, self.latent)
+                half = p.lead[row]
+                piece = np.searchsorted(p.first, half, side="right") - 1
+                text, start = np.array(of)[piece].T
+                yield b, text, item, start + half - p.first[piece], cosine
+
+    def found(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text, item id, cosine, share of the longest common subsequence, share of the answer), the best place of each item."""
+        best: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+        first = np.cumsum([0, *map(len, texts)])
+        codes = np.concatenate([*texts, np.array([-1], np.int32)])
+        for b, text, item, at, cosine in self.hits(texts):
+            for i in range(0, len(text), HITS):
+                some = slice(i, i + HITS)
+                of = text[some]
+                for k, share, answer in self.checks[b](codes, self.spaces[b].local, first[of], first[of + 1], first[of] + at[some] * HALF, item[some]):
+                    near = min(1.0, float(cosine[i + k]))
+                    if share >= LCS or answer >= ANSWER and near >= COSINE:
+                        key = b, int(of[k]), int(item[i + k])
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, near))
+        for (b, text, item), (share, answer, near) in best.items():
+            yield text, self.spaces[b].items[item][0], near, share, answer
+
+
+class Check:
+    """Longest common subsequences of many passages with their items at once, an item's places being the bits of a number."""
+
+    def __init__(self, items: list[np.ndarray], words: int):
+        self.items = [i.tolist() for i in items]
+        self.size = np.array([len(i) for i in items])
+        self.tails = [Counter(i[-max(1, round(ANSWER_SHARE * len(i))) :]) for i in self.items]
+        self.bits = np.zeros((words + 1, len(items)), np.uint64)  # the last row is for words that no item has
+        for k, own in enumerate(items):
+            if len(own) <= 64:
+                np.bitwise_or.at(self.bits[:, k], own, np.left_shift(np.uint64(1), np.arange(len(own), dtype=np.uint64)))
+        self.full = np.array([(1 << min(n, 64)) - 1 for n in self.size.tolist()], np.uint64)
+
+    def __call__(self, codes: np.ndarray, local: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, float, float]]:
+        """(hit, share of the subsequence, share of the answer) of hits that can be a leak.
+
+        A hit is a passage that starts at ``at`` in a text from ``low`` to
+        ``high``; so many words as the item has before and after it count too.
+        """
+        size = self.size[item]
+        reach = int(size.max(initial=0))
+        offset = np.arange(-reach, 2 * HALF + reach)[:, None]
+        place = at + offset
+        inside = (place >= low) & (place < high) & (offset >= -size) & (offset < 2 * HALF + size)
+        near = np.where(inside, local[codes[np.clip(place, 0, len(codes) - 1)]], -1)
+        state = self.full[item]
+        for row in self.bits[near, item]:
+            both = state & row
+            state = (state + both) | (state - both)
+        length = size - np.bitwise_count(state & self.full[item])
+        for k in np.flatnonzero(size > 64).tolist():
+            own = self.items[item[k]]
+            length[k] = lcs(own, near[:, k].tolist())
+        for k in np.flatnonzero(length >= LCS_WITH_ANSWER * size).tolist():
+            tail = self.tails[item[k]]
+            yield k, float(length[k] / size[k]), (tail & Counter(near[:, k].tolist())).total() / tail.total()
+
+
+def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, codes) of every document, written once: the one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def rows(columns):
+        for doc, text in zip(*columns):
+            yield doc, shared.value.codes(text).tobytes()
 
-def _passages(known: list[int]) -> Iterator[tuple[int, list[int]]]:
-    """(number of the first half, features) of each passage with any; ``known`` has -1 for words out of the vocabulary."""
-    halves = [[f for f in known[i : i + HALF] if f >= 0] for i in range(0, len(known), HALF)]
-    for i in range(max(1, len(halves) - 1)):
-        if feats := [f for h in halves[i : i + 2] for f in h]:
-            yield i, feats
+    return written(map_batches(docs, rows, "doc_id long, codes binary", most=1 << 10))
 
 
-def frequencies(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """The documents that hold each word of the vocabulary, and the number of documents; over all of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _codes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<i4") for b in batch.column("codes").to_pylist()]
+
 
-    def count(columns):
-        known = shared.value
-        seen = Counter(f for text in columns[0] for f in {known[w] for w in set(words_of(text)) if w in known})
-        yield -1, len(columns[0])
-        yield from seen.items()
+def frequencies(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The documents that hold each word of the vocabulary, and the number of documents; over all of them."""
 
-    df = np.zeros(len(vocabulary))
-    n = 0
-    for f, k in map_batches(docs.select(text_col), count, "feature int, n long").groupBy("feature").agg(F.sum("n")).collect():
-        if f < 0:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = 0, np.zeros(size, np.int64)
+        for batch in batches:
+            for codes in _codes(batch):
+                held = np.unique(codes)
+                seen[held[held >= 0]] += 1
+            n += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, seen[at]])], names=["word", "n"])
+
+    df, n = np.zeros(size), 0
+    for word, k in texts.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n")).collect():
+        if word < 0:
             n = k
         else:
-            df[f] = k
+            df[word] = k
     return df, n
 
 
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n + 1) / (df + 1))
+
+
 def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512) -> np.ndarray:
     """The sum of one matrix of this shape from each task, in chunks of rows: first of some dozens of tasks, then of those sums."""
     schema = "chunk int, part int, data binary"
@@ -177,120 +396,63 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
     return out
 
 
-def _read(batch: pa.RecordBatch, weights: np.ndarray, unit: bool = True) -> Iterator[tuple[slice, Passages]]:
-    """Passages of a batch with the column ``feats``, some at a time."""
-    column = batch.column("feats").to_pylist()
-    for i in range(0, len(column), STEP):
-        feats = [np.frombuffer(b, "<i4") for b in column[i : i + STEP]]
-        yield slice(i, i + STEP), Passages(np.cumsum([0, *map(len, feats[:-1])]), np.concatenate(feats), weights, unit)
-
-
-def directions(passages: DataFrame, weights: np.ndarray, rank: int, more: int = MORE, power_steps: int = POWER) -> np.ndarray:
+def directions(texts: DataFrame, weights: np.ndarray, local: np.ndarray, rank: int = RANK, more: int = MORE, power_steps: int = POWER) -> np.ndarray:
     """The leading right singular vectors of all passages, not scaled to length one, a column each."""
     n = len(weights)
     width = min(n, rank + more)
-    context = passages.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     basis = np.random.default_rng(SEED).standard_normal((n, width))
     weighted = weights.astype(np.float32)[:, None]
+
+    def passages(batch: pa.RecordBatch) -> Iterator[Passages]:
+        return (Passages(some, weights) for some, _ in chunks(local[c] for c in _codes(batch)))
+
     for _ in range(power_steps):
         shared = context.broadcast((basis * weighted).astype(np.float32))
 
         def power(batch, total, shared=shared):
-            for _, p in _read(batch, weights, unit=False):
+            for p in passages(batch):
                 p.add_transposed(p.times(shared.value), total)
 
-        basis, _ = np.linalg.qr(_summed(passages, power, (n, width)))
+        basis, _ = np.linalg.qr(_summed(texts, power, (n, width)))
     shared = context.broadcast((basis * weighted).astype(np.float32))
 
     def gram(batch, total):
-        for _, p in _read(batch, weights, unit=False):
+        for p in passages(batch):
             x = p.times(shared.value)
             total += x.T @ x
 
-    values, vectors = np.linalg.eigh(_summed(passages, gram, (width, width)))
+    values, vectors = np.linalg.eigh(_summed(texts, gram, (width, width)))
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
 def spanning(vectors: np.ndarray, weights: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """Orthonormal columns whose space holds every item and ``vectors``."""
-    own = np.stack([np.bincount(i, weights[i], len(weights)) for i in items], axis=1)
+    own = np.stack([np.bincount(i, minlength=len(weights)) * weights for i in items], axis=1)
     return np.linalg.qr(np.hstack([own / np.linalg.norm(own, axis=0), vectors]))[0]
 
 
-def _candidates(passages: DataFrame, weights: np.ndarray, items: list[list[int]], vectors: np.ndarray, cosine: float) -> DataFrame:
-    """(doc_id, item, at, cosine) of passages near an item in the latent space; lengths are those in the full space."""
-    weighted = (vectors * weights[:, None]).astype(np.float32)
-    starts = np.cumsum([0, *map(len, items[:-1])])
-    queries = Passages(starts, np.concatenate(items), weights).times(weighted).T
-    shared = passages.sparkSession.sparkContext.broadcast((weighted, queries))
+def space_of(block: Block, texts: DataFrame, vocabulary: Vocabulary, df: np.ndarray, n: int) -> Space:
+    """A block's latent space, from all texts."""
+    own = [(i, np.array([vocabulary.find(w) for w in ws], np.int32)) for i, ws in block]
+    used = np.unique(np.concatenate([c for _, c in own]))
+    local = np.full(len(vocabulary) + 1, -1, np.int32)
+    local[used] = np.arange(len(used))
+    weights = idf(df[used], n)
+    items = [(i, local[c]) for i, c in own]
+    vectors = spanning(directions(texts, weights, local), weights, [c for _, c in items])
+    return Space.of(items, weights, vectors, local)
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, queries = shared.value
-        for batch in batches:
-            for where, p in _read(batch, weights):
-                near = p.times(weighted) @ queries
-                row, item = np.nonzero(near >= cosine)
-                part = batch.slice(where.start, STEP)
-                yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(item, pa.int32()), part.column("at").take(pa.array(row)), pa.array(near[row, item].astype(np.float64))], names=["doc_id", "item", "at", "cosine"])
-
-    return passages.mapInArrow(search, "doc_id long, item int, at int, cosine double")
-
-
-def prepared(docs: DataFrame, block: list[tuple[int, list[str]]]) -> tuple[dict[str, int], np.ndarray, list[np.ndarray]]:
-    """The vocabulary of a block of items, the weights of its words, and each item's words in it."""
-    every = {w: i for i, w in enumerate(sorted({w for _, ws in block for w in ws}))}
-    df, n = frequencies(docs, "text", every)
-    rare = {w for _, ws in block for w in sorted(set(ws), key=lambda w: (df[every[w]], w))[:RAREST]}
-    vocabulary = {w: i for i, w in enumerate(sorted(rare))}
-    weights = np.sqrt((n + 1) / (df[[every[w] for w in vocabulary]] + 1))
-    return vocabulary, weights, [np.array([vocabulary[w] for w in ws if w in vocabulary]) for _, ws in block]
-
-
-def _search_block(docs: DataFrame, block: list[tuple[int, list[str]]], cosine: float, latent: float) -> DataFrame:
-    """Contaminated documents of one block of items; ``docs`` has doc_id and text."""
-    vocabulary, weights, items = prepared(docs, block)
-    floor = cosine * min(float(np.sqrt((weights[i] ** 2).sum())) for i in items)
-    squares = weights**2
-    most = squares * np.max([np.bincount(i, minlength=len(weights)) for i in items], axis=0)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary, squares.tolist(), most.tolist()))
-
-    def cut(columns):
-        vocabulary, squares, most = shared.value
-        find = vocabulary.get
-        for doc, text in zip(*columns):
-            for at, feats in _passages([find(w, -1) for w in words_of(text)]):
-                # no inner product with an item exceeds the first sum, and the passage's norm is the second's root at least
-                if sum(most[f] for f in feats) ** 2 >= floor * floor * sum(squares[f] for f in feats):
-                    yield doc, at, np.array(feats, "<i4").tobytes()
-
-    passages = written(map_batches(docs, cut, "doc_id long, at int, feats binary"))
-    vectors = spanning(directions(passages, weights, RANK), weights, items)
-    found = written(_candidates(passages, weights, items, vectors, latent))
-    listed = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "at", "cosine")).alias("found"))
-    texts = docs.join(listed.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "found")
-    known = context.broadcast(block)
-
-    def check(columns):
-        for doc, text, found in zip(*columns):
-            words = words_of(text)
-            best: dict[int, tuple] = {}
-            for hit in found:
-                item, own = known.value[hit["item"]]
-                start = hit["at"] * HALF
-                near = words[max(0, start - len(own)) : start + 2 * HALF + len(own)]
-                share = lcs(own, near) / len(own)
-                tail = Counter(own[-max(1, round(ANSWER_SHARE * len(own))) :])
-                answer = (tail & Counter(near)).total() / tail.total()
-                best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (share, answer, hit["cosine"]))
-            for item, (share, answer, near) in best.items():
-                if share >= LCS or share >= LCS_WITH_ANSWER and answer >= ANSWER:
-                    yield doc, item, near, share, answer
-
-    return written(map_batches(texts, check, RESULT))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, latent: float = LATENT) -> DataFrame:
+
+def _prepared(docs: DataFrame, group: list[Block]) -> tuple[DataFrame, Vocabulary, list[Space]]:
+    """The texts in codes of a group's vocabulary, and the spaces of its blocks."""
+    vocabulary = Vocabulary(w for block in group for _, ws in block for w in ws)
+    texts = coded(docs, vocabulary)
+    df, n = frequencies(texts, len(vocabulary))
+    return texts, vocabulary, [space_of(block, texts, vocabulary, df, n) for block in group]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", latent: float = LATENT) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): the documents that hold a benchmark item, and which.
 
     Null or empty texts hold nothing; an item of fewer than five words isn't
@@ -300,12 +462,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], RESULT)
-    for block in blocks(benchmark, item_col, item_text):
-        out = out.union(_search_block(docs, block, cosine, latent))
+    for group in groups(blocks(benchmark, item_col, item_text)):
+        texts, _, spaces = _prepared(docs, group)
+        shared = docs.sparkSession.sparkContext.broadcast(Search(spaces, latent))
+
+        def check(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[text], *found) for text, *found in shared.value.found(_codes(batch))]
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
+
+        out = out.union(written(texts.mapInArrow(check, RESULT)))
     return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows whose text holds an item, all columns as they were; nothing of them is shuffled.
+
+    Each row is judged by its own text: one that shares its id with a
+    contaminated row stays. Null and empty texts stay, and so do all rows of a
+    table without items to compare with; repeated rows share their fate.
+    """
+    place = docs.columns.index(text_col)
+    for group in groups(blocks(benchmark, "item_id", "text")):
+        _, vocabulary, spaces = _prepared(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), group)
+        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Search(spaces)))
+
+        def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, search = shared.value
+            for batch in batches:
+                found = search.found([vocabulary.codes(t) for t in batch.column(place).to_pylist()])
+                clean = np.ones(batch.num_rows, bool)
+                clean[list({text for text, *_ in found})] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -148,28 +149,40 @@ def test_sums_of_many_tasks(spark):
     assert (decontam._summed(spark.range(0, 1300, 1, 2 * decontam.FIRST_ROUND + 2), partial, (700, 3)) == want).all()
 
 
-def test_recall_of_the_latent_search(spark, monkeypatch):
-    """Against brute force over the whole space: passages with a cosine of 0.6 to an item are found in the latent one."""
-    kept = {}
-    original = decontam._candidates
+def windows(words, size):
+    """The words around each passage that its check looks at."""
+    for at in range(0, max(1, len(words) - decontam.HALF), decontam.HALF):
+        yield words[max(0, at - size) : at + 2 * decontam.HALF + size]
 
-    def spy(passages, weights, items, vectors, latent):
-        kept.update(passages=passages, weights=weights, items=items, found=original(passages, weights, items, vectors, latent))
-        return kept["found"]
 
-    monkeypatch.setattr(decontam, "_candidates", spy)
-    decontam.contaminated(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))).count()
-    w, n = kept["weights"], len(kept["weights"])
-    unit = lambda f: (v := np.bincount(f, w[f], n)) / np.linalg.norm(v)
-    items = np.stack([unit(i) for i in kept["items"]])
-    near = {(r["doc_id"], r["at"], int(i)) for r in kept["passages"].collect() for i in np.flatnonzero(items @ unit(np.frombuffer(r["feats"], "<i4")) >= 0.6)}
-    found = {(r["doc_id"], r["at"], r["item"]) for r in kept["found"].collect()}
-    assert len(near) > 20 and len(near & found) >= 0.9 * len(near)
+def brute_lcs(docs, items):
+    """Pairs with a window that holds so much of an item in order; the windows of all documents with all items, but where the words alone are too few."""
+    out = set()
+    for doc, text in docs:
+        words = decontam.words_of(text)
+        held = set(words)
+        for item, own in items:
+            least = decontam.LCS * len(own)
+            if sum(w in held for w in own) >= least and any(decontam.lcs(own, near) >= least for near in windows(words, len(own)) if sum(n for n in (Counter(own) & Counter(near)).values()) >= least):
+                out.add((doc, item))
+    return out
+
+
+def test_recall_against_lcs_of_all_documents_and_items(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r[0], r[1]) for r in decontam.contaminated(docs, items).collect()}
+    want = brute_lcs(docs.select("doc_id", "text").collect(), [(i, w) for i, t in items.select("item_id", "text").collect() if len(w := decontam.words_of(t)) >= decontam.LEAST_WORDS])
+    assert len(want) > 20 and len(want & got) >= 0.9 * len(want)
+
+
+def replaced(own, share, rng, vocabulary):
+    gone = set(rng.sample(range(len(own)), round(share * len(own))))
+    return [rng.choice(vocabulary) if k in gone else w for k, w in enumerate(own)]
 
 
 @pytest.mark.parametrize("copies", [1, 4, 12])
-def test_single_paraphrases_at_several_sizes(spark, monkeypatch, copies):
-    """One changed leak an item in a corpus that grows by shuffled copies: found whatever its size, as by the search over the whole space."""
+def test_single_paraphrases_at_several_sizes(spark, copies):
+    """Changed leaks of each item in a corpus that grows by shuffled copies: by single words, and by all of the rarest ones."""
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(1500)]
     share = [1 / (i + 20) for i in range(1500)]
@@ -177,27 +190,85 @@ def test_single_paraphrases_at_several_sizes(spark, monkeypatch, copies):
     items = [(i, text(rng.randint(15, 40))) for i in range(150)]
     base = [text(200) for _ in range(400)]
     rows = [(k, " ".join(rng.sample(d, len(d)) if k >= len(base) else d)) for k, d in enumerate(base * copies)]
+    frequency = Counter(w for d in base for w in set(d))
+    leaks = {}
     for i, own in items:
-        gone = set(rng.sample(range(len(own)), len(own) // 4))
-        rows.append((10**6 + i, " ".join([*text(40), *("changed" if k in gone else w for k, w in enumerate(own)), *text(40)])))
-    kept = {}
-    original = decontam._candidates
-
-    def spy(passages, weights, items, vectors, latent):
-        kept.update(weights=weights, items=items, found=original(passages, weights, items, vectors, latent))
-        return kept["found"]
-
-    monkeypatch.setattr(decontam, "_candidates", spy)
+        kinds = [replaced(own, x, rng, vocabulary) for x in (0.1, 0.25, 0.35)]
+        rare = set(sorted(set(own), key=lambda w: (frequency[w], w))[:8])
+        kinds.append(["changed" if w in rare else w for w in own])
+        for kind, words in enumerate(kinds):
+            doc = 10**6 + 4 * i + kind
+            leaks[doc] = (kind, i, decontam.lcs(own, words) >= decontam.LCS * len(own))
+            rows.append((doc, " ".join(text(40) + words + text(40))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    block = [(i, w) for i, w in items]
-    words, w, _ = decontam.prepared(docs, block)
-    got = {r[0] for r in decontam.contaminated(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()}
-    unit = lambda f: (v := np.bincount(f, w[f], len(w))) / np.linalg.norm(v)
-    own = {i: unit(f) for i, f in enumerate(kept["items"])}
-    near = {(d, at, d - 10**6) for d, t in rows[-150:] for at, f in decontam._passages([words.get(x, -1) for x in t.split()]) if unit(f) @ own[d - 10**6] >= decontam.COSINE}
-    found = {(r["doc_id"], r["at"], r["item"]) for r in kept["found"].collect()}
-    assert len({d for d, _, _ in near}) > 120 and near <= found
-    assert {d for d, _, _ in near} <= got
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r[0], r[1]) for r in decontam.contaminated(docs, bench).collect()}
+    for kind, least in enumerate((0.99, 0.99, 0.95, 0.9)):
+        true = {(d, i) for d, (k, i, leak) in leaks.items() if leak and k == kind}
+        assert len(true) > 80 and len(true & got) >= least * len(true), (kind, len(true), len(true & got))
+
+
+def test_no_passage_near_an_item_is_lost(spark):
+    """Against cosines over the whole space, computed word by word."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = docs.select(F.col("doc_id"), F.col("text"))
+    (group,) = decontam.groups(decontam.blocks(items, "item_id", "text"))
+    coded, vocabulary, (space,) = decontam._prepared(texts, group)
+    rows = texts.where("text is not null").collect()
+    df = Counter(w for _, t in rows for w in set(decontam.words_of(t)))
+    weight = lambda w: np.log1p((coded.count() + 1) / (df[w] + 1))
+    weights = {w: weight(w) for w in vocabulary.words}
+    unit = lambda words: {w: n * weights[w] / size for w, n in c.items()} if (c := Counter(w for w in words if w in weights)) and (size := sum((n * weights[w]) ** 2 for w, n in c.items()) ** 0.5) else {}
+    own = [unit(ws) for _, ws in group[0]]
+    want = set()
+    for d, (_, t) in enumerate(rows):
+        words = decontam.words_of(t)
+        for at in range(max(1, -(-len(words) // decontam.HALF) - 1)):
+            p = unit(words[at * decontam.HALF : (at + 2) * decontam.HALF])
+            want |= {(d, k, at) for k, o in enumerate(own) if sum(x * o.get(w, 0) for w, x in p.items()) >= decontam.LATENT + 1e-6}
+    codes = [vocabulary.codes(t) for _, t in rows]
+    got = {hit for _, *arrays in decontam.Search([space]).hits(codes) for hit in zip(*(a.tolist() for a in arrays[:3]))}
+    assert len(want) > 20 and want <= got and len(got) <= 1.01 * len(want) + 5
+
+
+def test_subsequences_of_many_passages():
+    rng = random.Random(5)
+    items = [np.array([rng.randrange(30) for _ in range(rng.choice([5, 12, 63, 64, 65, 90]))]) for _ in range(12)]
+    check = decontam.Check(items, 30)
+    for _ in range(200):
+        text = np.array([rng.randrange(-1, 30) for _ in range(rng.randint(1, 200))], np.int32)
+        k, at = rng.randrange(12), rng.randrange(0, len(text), 16)
+        n = len(items[k])
+        near = text[max(0, at - n) : at + 2 * decontam.HALF + n].tolist()
+        want = decontam.lcs(items[k].tolist(), near)
+        found = list(check(np.r_[text, -1], np.r_[np.arange(30), -1], np.array([0]), np.array([len(text)]), np.array([at]), np.array([k])))
+        assert bool(found) == (want >= decontam.LCS_WITH_ANSWER * n) and all(abs(f[1] - want / n) < 1e-9 for f in found)
+
+
+def test_words_of_latin_texts_and_scripts_without_blanks():
+    vocabulary = decontam.Vocabulary(["straße", "é2", "µ", "日", "本"])
+    for text in ("Straße_É2 µ×", "straße É2—µ", "日本、é2", None, ""):
+        assert vocabulary.codes(text).tolist() == [vocabulary.find(w, -1) for w in decontam.words_of(text)]
+    assert decontam.words_of("日本語 ok") == ["日", "本", "語", "ok"]
+
+
+def test_long_texts_lose_no_passage(spark, monkeypatch):
+    """Texts are cut into pieces that share a half."""
+    monkeypatch.setattr(decontam, "STEP", 4 * decontam.HALF)
+    rng = random.Random(3)
+    text = [rng.randrange(9) for _ in range(1000)]
+    for n in (0, 1, 16, 17, 32, 33, 80, 81, 96, 97, 1000):
+        codes = np.array(text[:n], np.int32)
+        got = [(h + k, some.codes.tolist()) for pieces, of in decontam.chunks([codes]) for p, (_, h) in zip(pieces, of) for k in range(max(1, -(-len(p) // 16) - 1)) for some in [decontam.Passages([p[16 * k : 16 * k + 32]], np.ones(9))]]
+        assert got == [(at // 16, text[at : min(n, at + 32)]) for at in range(0, max(1, n - 16), 16)]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    leak = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(5, leak, "x"), (5, "clean words of another text", "y"), (6, "clean words too", "z")], "doc_id long, text string, __id string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decontam.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r[2] for r in left.collect()) == ["y", "z"]
 
 
 def test_pipeline(spark):
