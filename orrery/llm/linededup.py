@@ -5,21 +5,26 @@ again; the tasks' filters are merged segment by segment, where what two tasks
 saw once each counts as seen twice. A key that two documents hold is always in
 the merged second filter, whose size is fixed and which is broadcast. Second
 pass: only lines found in it are shuffled, by the whole key, to be counted
-exactly. Third pass: documents lose the lines that others keep.
+exactly. Third pass: documents lose the lines that others keep. The keys in
+question are sent to all tasks if they are few, so that no text moves; if they
+are many, the texts that hold suspects, and no others, are joined with what they
+lose.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from orrery.llm.common import map_batches, written
+from orrery.llm.common import map_batches, slices, written
 
 STRIP = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -28,8 +33,10 @@ BITS_A_LINE, LEAST_BITS, MOST_BITS = 4, 16, 28
 HASHES = 3
 #: Bytes of a segment; task filters merged in the first of two rounds.
 SEGMENT, FIRST_ROUND = 1 << 19, 64
-#: Tasks that the holders of one key are spread over.
-SALTS = 16
+#: Repeated keys that are sent to all tasks; more are joined.
+MOST_KEYS = 1 << 18
+#: Holders of one key that one task joins; the tasks that they are spread over, at least and at most.
+SALT_ROWS, LEAST_SALTS, MOST_SALTS = 1 << 17, 16, 1024
 
 
 def key_of(line: str, least: int = LEAST_CHARS) -> bytes | None:
@@ -139,74 +146,128 @@ def seen_twice(docs: DataFrame, text_col: str, bits: int, least: int) -> np.ndar
     return filter_
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, drop array of keys): the keys that each document loses.
-
-    A key counts once for each row that holds it. The row with the largest
-    doc_id keeps it; a null doc_id is smaller than any other. ``most_bits`` bounds
-    the broadcast filter: what is too full for it makes suspects, never losses.
-    """
-    docs = docs.select(id_col, text_col)
-    filter_ = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, text_col, bits_for(docs, text_col, least_chars, most_bits), least_chars))
+def suspected(docs: DataFrame, filter_, least: int) -> DataFrame:
+    """(doc_id, key) of the lines whose hash was seen twice; ``docs`` has an id and a text."""
 
     def rows(columns):
         found = []
         for doc, text in zip(*columns):
-            found += [(doc, k) for k in keys_of(text, least_chars)]
+            found += [(doc, k) for k in keys_of(text, least)]
         if found:
             hit = holds(filter_.value, np.array(_hashes([k for _, k in found]), np.uint64))
             for i in np.flatnonzero(hit):
                 yield found[i][0], found[i][1].decode()
 
-    suspects = written(map_batches(docs, rows, "doc_id long, key string"))  # read twice below
-    kept = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs).select("key", "keep")
-    # a key that a third of all documents hold meets its row in many tasks; a kept key has five holders or more, so that the copies stay in proportion
-    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    lost = salted.join(kept, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    return written(map_batches(docs, rows, "doc_id long, key string"))
+
+
+def lost_by_join(suspects: DataFrame, kept: DataFrame) -> DataFrame:
+    """(doc_id, drop array of keys): the keys that each document loses."""
+    most = kept.agg(F.max("n")).first()[0] or 0
+    salts = min(MOST_SALTS, max(LEAST_SALTS, -(-most // SALT_ROWS)))
+    # a key that a third of all documents hold meets its row in many tasks
+    spread = kept.select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    lost = salted.join(spread, ["key", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, most_bits: int) -> DataFrame:
-    drops = repeats(docs, id_col, text_col, least_chars, least_docs, most_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    return docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]), "left")
+def _digest(key: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(key)
+
+
+def _sent(kept: DataFrame, most: int) -> dict[bytes, int | None] | None:
+    """Digests of the keys and who keeps them, or None if there are more than ``most``."""
+    if kept.limit(most + 1).count() > most:
+        return None
+
+    def rows(columns):
+        return ((_digest(key.encode()), keep) for key, keep in zip(*columns))
+
+    return {bytes(r[0]): r[1] for r in map_batches(kept.select("key", "keep"), rows, "digest binary, keep long").collect()}
+
+
+#: What comes of a batch and, for each of its rows, the lines, the lines lost, and the text left.
+Emit = Callable[[pa.RecordBatch, list[tuple[int, int, str]]], pa.RecordBatch]
 
 
-def _kept(text: str | None, drop: list[str] | None, least: int) -> tuple[int, int, str]:
+def _rewritten(docs: DataFrame, id_col: str, text_col: str, emit: Emit, schema, least_chars: int, least_docs: int, most_bits: int, most_keys: int) -> DataFrame:
+    texts = docs.select(id_col, text_col)
+    filter_ = docs.sparkSession.sparkContext.broadcast(seen_twice(texts, text_col, bits_for(texts, text_col, least_chars, most_bits), least_chars))
+    suspects = suspected(texts, filter_, least_chars)
+    kept = written(suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs))
+    names = docs.columns
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    if (known := _sent(kept, most_keys)) is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keeper = shared.value.get
+            for batch in batches:
+                for some in slices(batch):
+                    rows = zip(some.column(id_at).to_pylist(), some.column(text_at).to_pylist())
+                    yield emit(some, [_kept(text, lambda key, doc=doc: keeper(_digest(key), doc) != doc, least_chars) for doc, text in rows])
+
+        return docs.mapInArrow(run, schema)
+    mark, drop = f"__{uuid.uuid4().hex}", f"__{uuid.uuid4().hex}"
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [keys_of(t, least_chars) for t in batch.column(text_at).to_pylist()]
+            hit = iter(holds(filter_.value, np.array([h for keys in held for h in _hashes(keys)], np.uint64)).tolist())
+            yield batch.append_column(mark, pa.array([any([next(hit) for _ in keys]) for keys in held], pa.bool_()))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch):
+                rows = zip(some.column(text_at).to_pylist(), some.column(-1).to_pylist())
+                yield emit(some.select(names), [_kept(text, {k.encode() for k in gone or ()}.__contains__, least_chars) for text, gone in rows])
+
+    flagged = docs.mapInArrow(flag, StructType([*docs.schema.fields, StructField(mark, BooleanType())]))
+    drops = written(lost_by_join(suspects, kept)).toDF(f"{drop}id", drop)
+    joined = flagged.where(mark).join(drops, F.col(id_col).eqNullSafe(F.col(f"{drop}id")), "left").select(*names, drop)
+    return joined.union(flagged.where(~F.col(mark)).select(*names, F.lit(None).cast("array<string>"))).mapInArrow(run_joined, schema)
+
+
+def _kept(text: str | None, lost: Callable[[bytes], bool], least: int) -> tuple[int, int, str]:
     lines = (text or "").split("\n")
-    if not drop:
-        return len(lines), 0, text or ""
-    gone = {k.encode() for k in drop}
-    kept = [x for x in lines if len(x) < least or key_of(x, least) not in gone]
+    kept = [x for x in lines if len(x) < least or (k := key_of(x, least)) is None or not lost(k)]
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS, most_keys: int = MOST_KEYS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for each row.
 
     A null or empty text is one empty line; repeated rows count as documents of
-    their own but share an id, so all of them keep what the largest id keeps.
+    their own but share an id, so all of them keep what the largest id keeps; a
+    null id is smaller than any other. An empty table gives an empty one; other
+    columns are left out, whatever their names. ``most_bits`` bounds the
+    broadcast filter: what is too full for it makes suspects, never losses.
     """
+    names, types = ["doc_id", "n_lines", "n_dropped", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
-    def rows(columns):
-        for doc, text, drop in zip(*columns):
-            n, lost, kept = _kept(text, drop, least_chars)
-            yield doc, n, lost, hashlib.sha256(kept.encode()).hexdigest()
+    def emit(batch: pa.RecordBatch, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        columns = [batch.column(0).to_pylist(), [f[0] for f in found], [f[1] for f in found], [hashlib.sha256(f[2].encode()).hexdigest() for f in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return _rewritten(docs.select(id_col, text_col), id_col, text_col, emit, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", least_chars, least_docs, most_bits, most_keys)
 
-    joined = _with_drops(docs.select(id_col, text_col), id_col, text_col, least_chars, least_docs, most_bits)
-    return map_batches(joined.select(id_col, text_col, "__drop"), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS, most_keys: int = MOST_KEYS) -> DataFrame:
+    """``docs`` with the repeated lines gone from ``text_col``; a text that loses none stays as it was, null too.
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs`` with the repeated lines gone from ``text_col``; a text that loses none stays as it was, null too."""
-    joined = _with_drops(docs, id_col, text_col, least_chars, least_docs, most_bits)
-    text = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__drop", _lower(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(text)).select(docs.columns)
+    Which lines go is as in ``digests``; the other columns pass through, whatever
+    their names, and an empty table stays empty.
+    """
+    place = docs.columns.index(text_col)
 
+    def emit(batch: pa.RecordBatch, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        texts = [kept if lost else text for text, (_, lost, kept) in zip(batch.column(place).to_pylist(), found)]
+        return batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.column(place).type))
 
-def _lower(c):
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(c, upper, upper.lower())
+    return _rewritten(docs, id_col, text_col, emit, docs.schema, least_chars, least_docs, most_bits, most_keys)
 
 
 ORACLE = r"""

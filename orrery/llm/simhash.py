@@ -14,6 +14,7 @@ links of a spanning forest, never all its pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches, written
+from orrery.llm.common import map_batches, without, written
 from orrery.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -142,17 +143,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One row for each row of ``docs``, repeated ones too. Null, empty and blank
     texts have fingerprint zero and link like any other. A null doc_id never is
-    a component's id, unless all of its members' ids are null. Other columns
-    are left out, whatever their names.
+    a component's id, unless all of its members' ids are null. An empty table
+    gives an empty one. Other columns are left out, whatever their names.
+    """
+    return _components(written(fingerprints(docs, id_col, text_col, shingle)), radius).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """``marked`` (doc_id, fp and others) with ``root`` and ``component_id``, both null for a fingerprint of one row without links.
+
+    Where ids repeat, two components can have one ``component_id``; their roots tell them apart.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle))
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(fps, radius))
     # fingerprints of one document without links need no look-up below
     shared = fps.join(roots, fps["fp"] == roots["node"], "left").where("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     shared = written(shared)
     least = shared.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = shared.join(least, "root").select("fp", "component_id")
-    return marked.join(found, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return marked.join(shared.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, and of several with this id the one with the smallest text hash.
+
+    Rows are told apart by id and hash of the text, so that none goes for
+    another one's sake; of repeated rows one stays. Rows with a null id stay.
+    All columns are as they were, whatever their names.
+    """
+    name = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keys = [F.col(id_col).cast("long"), name]
+
+    def rows(columns):
+        for doc, text, hash_ in zip(*columns):
+            yield doc, signed(fingerprint(text, shingle)), hash_
+
+    marked = written(map_batches(docs.select(keys[0], text_col, name), rows, "doc_id long, fp long, name long"))
+    linked = _components(marked, radius).where("root is not null and doc_id is not null").groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
+    linked = written(linked)
+    kept = linked.groupBy("root").agg(F.min(F.struct("doc_id", "name")).alias("kept"))
+    gone = linked.join(kept, "root").where("doc_id <> kept.doc_id or name <> kept.name").select("doc_id", "name")
+    left = without(docs, written(gone), keys)
+    again = written(linked.where("n > 1").select("doc_id", "name"))
+    if again.isEmpty():
+        return left
+    mark = f"__{uuid.uuid4().hex}"
+    once = without(left, again, keys, inside=True).withColumn(mark, name).dropDuplicates([id_col, mark]).drop(mark)
+    return without(left, again, keys).unionByName(once)

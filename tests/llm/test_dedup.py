@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from orrery.llm import linededup, simhash
+from orrery.llm import common, linededup, simhash
 from orrery.llm.components import components
 
 
@@ -36,6 +36,19 @@ def roots_of(values, linked):
     return [find(i) for i in range(len(values))]
 
 
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    """Ids that stand on several texts: no row goes for another one's sake, and of repeated rows one stays."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a"), "x"), (5, text("a"), "x"), (5, text("b"), "x"), (7, text("b"), "x"), (5, text("c"), "x"), (8, text("c"), "x"), (9, text("d"), "x"), (9, text("d"), "x"),
+            (None, text("a"), "x"), (None, text("e"), "x"), (10, None, "x"), (11, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    want = sorted([rows[i] for i in (0, 2, 4, 6, 8, 9, 10)], key=str)
+    assert sorted(map(tuple, simhash.without_near_duplicates(docs).collect()), key=str) == want
+    monkeypatch.setattr(common.without, "__defaults__", (False, 0))  # by shuffle, as beyond the limit
+    left = simhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == want
+
+
 def test_masks_cover():
     rng = random.Random(0)
     masks = simhash.masks()
@@ -136,6 +149,12 @@ def test_line_dedup_against_brute_force(spark):
     assert got.columns == docs.columns
     assert sorted(((r[0], r[1] or "") for r in got.collect()), key=str) == texts
     assert linededup.digests(docs.limit(0)).count() == 0
+    # by join, as where more keys repeat than are sent to all tasks
+    assert sorted(map(tuple, linededup.digests(docs, most_keys=0).collect()), key=str) == want
+    joined = linededup.dedup_lines(docs, most_keys=0)
+    assert joined.columns == docs.columns and sorted(((r[0], r[1] or "") for r in joined.collect()), key=str) == texts
+    clashing = docs.toDF("__id", "__drop", "__key0")
+    assert linededup.dedup_lines(clashing, "__id", "__drop", most_keys=0).columns == clashing.columns
     # a filter that is full makes all lines suspects and changes nothing
     assert sorted(map(tuple, linededup.digests(docs, most_bits=6).collect()), key=str) == want
 
