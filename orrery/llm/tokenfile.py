@@ -1,8 +1,8 @@
 """Token-ID output in a binary format with a shared zstandard dictionary (operator 9).
 
-A dictionary is trained on serialized id arrays. Documents are sorted by id
-across partitions, encoded, and compressed one by one with that dictionary.
-Many compressed documents make a block: a header with the dictionary's hash, an
+A dictionary is trained on serialized id arrays. Documents are encoded where
+they stand and compressed one by one with that dictionary; only the compressed
+ids are shuffled, to be sorted by document id across partitions. Many compressed documents make a block: a header with the dictionary's hash, an
 index of ids, lengths and offsets, then the frames, so that a short document is
 read by decompressing its own frame only. Blocks are rows of a Parquet table,
 which Spark commits as a whole: an executor lost while writing leaves nothing
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import ready
-from orrery.llm.common import map_batches
+from orrery.llm.common import map_batches, written
 
 MAGIC = b"OTK1"
-#: Documents that the dictionary is trained on, chosen by a hash of their ids, and the bytes used of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 15
+#: Documents that the dictionary is trained on, chosen by a hash of their ids, and the bytes used of each, in pieces from all over it.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_PIECES = 400, 1 << 15, 8
 DICTIONARY_BYTES = 1 << 15
 #: Compressed bytes after which a block is closed.
 BLOCK_BYTES = 1 << 20
@@ -53,11 +53,22 @@ def train(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 
     def rows(columns):
         encoder, _ = ready(path)
+        width = _width(encoder)
         for doc, text in zip(*columns):
-            yield doc, _ids(encoder, text, end_id).astype(_width(encoder)).tobytes()[:SAMPLE_BYTES]
+            yield doc, _pieces(_ids(encoder, text, end_id).astype(width))
 
     sample = map_batches(docs.where(F.col(id_col).isin(chosen)).select(id_col, text_col), rows, "doc_id long, ids binary", most=64)
-    return _dictionary([bytes(r[1]) for r in sorted(sample.collect(), key=lambda r: (r[0], r[1]))])
+    once = sample.groupBy("doc_id").agg(F.min("ids").alias("ids"))  # however many rows have the id
+    return _dictionary([bytes(r[1]) for r in sorted(once.collect())])
+
+
+def _pieces(ids: np.ndarray) -> bytes:
+    """The whole array if it is short, else pieces at even distances."""
+    most = SAMPLE_BYTES // ids.itemsize
+    if len(ids) <= most:
+        return ids.tobytes()
+    size = most // SAMPLE_PIECES
+    return b"".join(ids[at : at + size].tobytes() for at in np.linspace(0, len(ids) - size, SAMPLE_PIECES).astype(int).tolist())
 
 
 def _ids(encoder, text: str | None, end_id: int) -> np.ndarray:
@@ -109,36 +120,47 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: str = "d
     """Write ``docs`` as token files under ``to``, in ascending order of id, an end id after each.
 
     A null or empty text gives the end id only; null ids come first; rows with
-    the same id follow each other, by text; other columns are left out.
+    the same id follow each other, by a hash of their ids, so that a range of
+    ids can be cut between them; other columns are left out. An empty table
+    gives files without documents.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dictionary = train(docs, path, end_id, "doc_id", "text")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{to}/dictionary")
     digest = hashlib.sha256(dictionary).digest()
-    state: dict = {}
 
-    def rows(columns):
+    def encode(columns):
         import zstandard
 
         encoder, _ = ready(path)
-        width, part = _width(encoder), TaskContext.get().partitionId()
+        width = _width(encoder)
         zipper = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        for doc, text in zip(*columns):
+            ids = _ids(encoder, text, end_id).astype(width)
+            data = ids.tobytes()
+            yield doc, int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True), len(ids), zipper.compress(data)
+
+    state: dict = {}
+
+    def pack_rows(columns):
+        part = TaskContext.get().partitionId()
         if state.get("part") != part:
             state.update(part=part, block=0, start=0)
+        width = int(_width(ready(path)[0])[-1])
         held, size = [], 0
-        for doc, text in zip(*columns):
-            ids = _ids(encoder, text, end_id)
-            held.append((doc, len(ids), zipper.compress(ids.astype(width).tobytes())))
-            size += len(held[-1][2])
+        for doc, n, frame in zip(*columns):
+            held.append((doc, n, frame))
+            size += len(frame)
             if size >= BLOCK_BYTES:
-                yield _row(held, state, digest, int(width[-1]))
+                yield _row(held, state, digest, width)
                 held, size = [], 0
         if held:
-            yield _row(held, state, digest, int(width[-1]))
+            yield _row(held, state, digest, width)
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(ordered, rows, BLOCKS, most=4).write.parquet(f"{to}/blocks")
+    frames = written(map_batches(docs, encode, "doc_id long, tie long, n_tokens long, frame binary", most=256))  # as the ranges' bounds are sampled first
+    ordered = frames.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n_tokens", "frame")
+    map_batches(ordered, pack_rows, BLOCKS, most=4).write.parquet(f"{to}/blocks")
 
 
 def _row(held: list, state: dict, digest: bytes, width: int) -> tuple:
