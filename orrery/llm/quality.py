@@ -2,15 +2,20 @@
 
 The words of many documents are put behind one another, each numbered apart by
 document so that nothing matches across texts, and one suffix array is built by
-doubling, going on only with suffixes that aren't told apart yet. The ranks kept
-of each doubling give the longest common prefix of neighbours in the array. A
-suffix repeats over the longer of its two common prefixes, which is the deepest
-LCP interval it lies in; the union of these spans is the union of all maximal
-repeated substrings.
+doubling, going on only with suffixes that aren't told apart yet. The longest
+common prefixes of neighbours in the array are found in linear time, in the
+order of the text. A suffix repeats over the longer of its two common prefixes,
+which is the deepest LCP interval it lies in; the union of these spans is the
+union of all maximal repeated substrings.
+
+The base rule looks at words in repeats of five. The verdict looks at the
+characters that maximal repeats cover, those of five words or more and those of
+ten words or more by themselves, and at the longest repeat of all.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +26,26 @@ from orrery.llm.common import map_batches
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Words of the shortest repeat that counts.
 LEAST_REPEAT = 5
-#: Limits: words of a text at least, percent of words in repeats, share of characters in repeats, words of the longest repeat.
-LEAST_WORDS, MOST_REPEATED, MOST_COVERED, MOST_LONGEST = 10, 20, 0.25, 100
+#: Words of a long repeat.
+LONG_REPEAT = 10
+#: Limits: words of a text at least, percent of words in repeats, share of characters in repeats and in long ones, words of the longest repeat.
+LEAST_WORDS, MOST_REPEATED, MOST_COVERED, MOST_COVERED_LONG, MOST_LONGEST = 10, 20, 0.15, 0.10, 100
 #: Words whose suffix array is built at once; a longer text has one of its own.
 GROUP = 1 << 18
 
 
-def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of all suffixes, and for each doubling the ranks: equal where the first 1, 2, 4, ... keys are."""
+def suffix_array(keys: np.ndarray) -> np.ndarray:
+    """The order of all suffixes."""
     n = len(keys)
     sa = np.argsort(keys, kind="stable")
     new = np.r_[True, keys[sa[1:]] != keys[sa[:-1]]]
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, step = [rank.copy()], 1
+    step = 1
     while True:
-        alone = new & np.r_[new[1:], True]
-        at = np.flatnonzero(~alone)
+        at = np.flatnonzero(~(new & np.r_[new[1:], True]))
         if not len(at) or step >= n:
-            return sa, levels
+            return sa
         here = sa[at]
         then = here + step
         second = np.where(then < n, rank[np.minimum(then, n - 1)], -1)
@@ -49,36 +55,45 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         first = np.r_[True, key[1:] != key[:-1]]
         new[at] |= first
         rank[sa[at]] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-        levels.append(rank.copy())
         step *= 2
 
 
-def common_prefixes(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Of each suffix with the one before it in the array; the first has none."""
-    n = len(sa)
-    a, b = sa[:-1], sa[1:]
-    length = np.zeros(max(n - 1, 0), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        ia, ib = a + length, b + length
-        inside = (ia < n) & (ib < n)
-        same = inside & (levels[k][np.minimum(ia, n - 1)] == levels[k][np.minimum(ib, n - 1)])
-        length[same] += 1 << k
-    return np.r_[0, length]
+def common_prefixes(keys: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Of each suffix, in the order of the text, with the one before it in the array; the first has none.
+
+    Linear time and memory: from one position to the next a common prefix loses one key at most.
+    """
+    n = len(keys)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    key = array("q", np.r_[keys, -1].astype(np.int64).tobytes())  # the end is unlike any key
+    out = array("q", bytes(8 * n))
+    length = 0
+    for i, j in enumerate(array("q", before.tobytes())):
+        if j < 0:
+            length = 0
+            continue
+        while key[i + length] == key[j + length]:
+            length += 1
+        if length:
+            out[i] = length
+            length -= 1
+    return np.frombuffer(out, np.int64)
 
 
 def longest_repeats(keys: np.ndarray) -> np.ndarray:
     """For each position the longest substring from there that is found elsewhere too."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    sa, levels = suffix_array(keys)
-    lcp = common_prefixes(sa, levels)
+    sa = suffix_array(keys)
+    lcp = common_prefixes(keys, sa)[sa]
     out = np.empty(len(keys), np.int64)
     out[sa] = np.maximum(lcp, np.r_[lcp[1:], 0])
     return out
 
 
-def repeats(texts: list[list[bytes]], least: int = LEAST_REPEAT) -> Iterator[tuple[int, int, int]]:
-    """For each list of words: words within repeats, characters of those words, and words of the longest repeat."""
+def _measured(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each list of words the longest repeat from each word on, and the words' characters."""
     known: dict[bytes, int] = {}
     sizes = [len(t) for t in texts]
     ids = np.fromiter((known.setdefault(w, len(known)) for t in texts for w in t), np.int64, sum(sizes))
@@ -87,16 +102,26 @@ def repeats(texts: list[list[bytes]], least: int = LEAST_REPEAT) -> Iterator[tup
     chars = np.fromiter((len(w.decode()) for w in known), np.int64, len(known))
     start = 0
     for n in sizes:
-        own = length[start : start + n]
-        at = np.flatnonzero(own >= least)
-        mark = np.zeros(n + 1, np.int64)
-        np.add.at(mark, at, 1)
-        np.add.at(mark, at + own[at], -1)
-        inside = np.cumsum(mark[:n]) > 0
-        yield int(inside.sum()), int(chars[ids[start : start + n][inside]].sum()), int(own[at].max(initial=0))
+        yield length[start : start + n], chars[ids[start : start + n]]
         start += n
 
 
+def _covered(length: np.ndarray, least: int) -> np.ndarray:
+    """The words within repeats of at least so many words."""
+    at = np.flatnonzero(length >= least)
+    mark = np.zeros(len(length) + 1, np.int64)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + length[at], -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def repeats(texts: list[list[bytes]], least: int = LEAST_REPEAT) -> Iterator[tuple[int, int, int]]:
+    """For each list of words: words within repeats, characters of those words, and words of the longest repeat."""
+    for length, chars in _measured(texts):
+        inside = _covered(length, least)
+        yield int(inside.sum()), int(chars[inside].sum()), int(length[length >= least].max(initial=0))
+
+
 def _measures(text: str, words: list[bytes]) -> tuple[int, int, int]:
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     return (
@@ -107,20 +132,23 @@ def _measures(text: str, words: list[bytes]) -> tuple[int, int, int]:
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, covered, longest_repeat).
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, covered, covered_long, longest_repeat).
 
     A null or empty text has no words and fails; repeated rows are judged each;
-    other columns are left out, whatever their names.
+    an empty table gives an empty one; other columns are left out, whatever
+    their names. A text at a limit is kept.
     """
 
     def judged(held):
-        for (doc, text, words), (repeated, chars, longest) in zip(held, repeats([w for _, _, w in held])):
+        for (doc, text, words), (length, chars) in zip(held, _measured([w for _, _, w in held])):
             n = len(words)
+            inside, long = _covered(length, LEAST_REPEAT), _covered(length, LONG_REPEAT)
             word_chars, symbols, dups = _measures(text, words)
+            repeated, longest = int(inside.sum()), int(length[length >= LEAST_REPEAT].max(initial=0))
             failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-            covered = chars / word_chars if word_chars else 0.0
-            kept = not failed and covered <= MOST_COVERED and longest <= MOST_LONGEST
-            yield doc, n, word_chars, symbols, dups, repeated, failed, kept, covered, longest
+            covered, covered_long = (int(chars[x].sum()) / word_chars if word_chars else 0.0 for x in (inside, long))
+            kept = not failed and covered <= MOST_COVERED and covered_long <= MOST_COVERED_LONG and longest <= MOST_LONGEST
+            yield doc, n, word_chars, symbols, dups, repeated, failed, kept, covered, covered_long, longest
 
     def rows(columns):
         held, size = [], 0
@@ -133,7 +161,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             size += len(words)
         yield from judged(held)
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered double, longest_repeat long"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered double, covered_long double, longest_repeat long"
     return map_batches(docs.select(id_col, text_col), rows, schema)
 
 
@@ -164,10 +192,16 @@ WITH texts AS MATERIALIZED (
   SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM texts
 ), {", ".join(steps)}, fives AS (
   SELECT a.doc_id, a.pos, a.name AS a, b.word AS b FROM w2 a JOIN words b ON a.doc_id = b.doc_id AND b.pos = a.pos + 4
+), tens AS (
+  SELECT a.doc_id, a.pos, a.name AS a, b.name AS b FROM w3 a JOIN w1 b ON a.doc_id = b.doc_id AND b.pos = a.pos + 8
 ), inside AS (
   SELECT DISTINCT doc_id, unnest(range(pos, pos + {LEAST_REPEAT})) AS pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b) AS n FROM fives) WHERE n > 1
+), inside_long AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + {LONG_REPEAT})) AS pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b) AS n FROM tens) WHERE n > 1
 ), repeated AS (
   SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM inside JOIN words USING (doc_id, pos) GROUP BY doc_id
+), repeated_long AS (
+  SELECT doc_id, sum(length(word)) AS chars_long FROM inside_long JOIN words USING (doc_id, pos) GROUP BY doc_id
 ), longest AS (
   SELECT doc_id, max(size) AS size FROM best0 GROUP BY doc_id
 ), lines AS (
@@ -177,11 +211,13 @@ WITH texts AS MATERIALIZED (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words, CASE WHEN length(regexp_replace(text, '{blank}', '', 'g')) > 0
       THEN coalesce(chars, 0)::DOUBLE / length(regexp_replace(text, '{blank}', '', 'g')) ELSE 0.0::DOUBLE END AS covered,
+    CASE WHEN length(regexp_replace(text, '{blank}', '', 'g')) > 0
+      THEN coalesce(chars_long, 0)::DOUBLE / length(regexp_replace(text, '{blank}', '', 'g')) ELSE 0.0::DOUBLE END AS covered_long,
     CASE WHEN size >= {LEAST_REPEAT} THEN size ELSE 0 END::BIGINT AS longest_repeat
-  FROM texts JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN longest USING (doc_id)
+  FROM texts JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN repeated_long USING (doc_id) LEFT JOIN longest USING (doc_id)
 )
 SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
-  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND covered <= {MOST_COVERED} AND longest_repeat <= {MOST_LONGEST} AS kept
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND covered <= {MOST_COVERED} AND covered_long <= {MOST_COVERED_LONG} AND longest_repeat <= {MOST_LONGEST} AS kept
 FROM measured
 """
 
