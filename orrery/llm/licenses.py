@@ -4,7 +4,11 @@ A text's normalised words are compared with each template over every window of
 the template's own length, so that a notice is found anywhere in a text, a whole
 license as well as one line. Size bounds prune first: a text that is too short
 for a template, or that holds too few of its bigrams in all, can't reach the
-threshold in any window, and that template isn't tried.
+threshold in any window, and that template isn't tried. Of all windows that
+reach it the best are taken first, and those that overlap one taken are left out.
+
+Short texts, standard headers and notices are built in. Long licenses are read
+as templates from a folder that the user names.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.llm.common import map_batches
 
@@ -116,13 +121,42 @@ restrictions.""",
 }
 
 
+#: What ends the BSD licenses.
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+#: Whole texts whose beginnings are templates too, as a notice may end there.
+WHOLE = [(i, f"{TEXTS[i]} {BSD_END}") for i in ("BSD-2-Clause", "BSD-3-Clause")] + [
+    ("Zlib", TEXTS["Zlib"] + """ 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may
+not be removed or altered from any source distribution."""),
+]
+
+
 def templates() -> list[tuple[str, str]]:
     """(license id, text) of notices by rule and of short licenses, in a fixed order."""
-    return [(i, n.format(name)) for i, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items())
+    return [(i, n.format(name)) for i, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items()) + WHOLE
+
+
+def templates_in(spark: SparkSession, folder: str, ids: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(license id, text) of the files of a folder, one license each, in order of id.
+
+    A file's name without ``.txt`` is its id, unless ``ids`` gives another; with
+    ``ids`` only the files it names are read.
+    """
+    files = spark.read.text(f"{folder.rstrip('/')}/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    if ids is not None:
+        files = files.where(F.col("name").isin(*ids))
+    return sorted(((ids or {}).get(r[0], r[0]), r[1]) for r in files.collect())
 
 
-#: Templates of fewer words are one-line notices, told by their own versions and kinds.
-LINE = 25
+#: Templates of fewer words are one-line notices, told by their own versions and kinds; those of more are told by their Dice alone.
+LINE, LONG = 25, 400
 KINDS = {"lesser", "affero", "cc0", "zero", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives"}
 
 
@@ -130,7 +164,7 @@ def told(license_id: str, own: list[str], words: list[str], start: int, end: int
     """Whether the words of a window tell the license of the template ``own`` from those with nearly the same text."""
     if len(own) < LINE:
         return {w for w in own if w in KINDS or w.isdigit()} <= set(words[start:end])
-    if license_id not in TELLING:
+    if license_id not in TELLING or len(own) >= LONG:
         return True
     needed, barred = TELLING[license_id]
     near = words[start : end + (AFTER if license_id == "BSD-2-Clause" else 0)]
@@ -150,65 +184,73 @@ class Scanner:
         self.base = len(self.known)
         self.threshold = threshold
         grams = [Counter(self.known[a] * self.base + self.known[b] for a, b in zip(w, w[1:])) for _, w in words]
-        every = sorted({g for c in grams for g in c})
-        self.column = np.full(self.base**2, -1, np.int32)
-        self.column[every] = np.arange(len(every))
-        self.counts = np.array([[c.get(g, 0) for g in every] for c in grams], np.int32)
+        self.every = np.array(sorted({g for c in grams for g in c}), np.int64)
+        self.counts = np.array([[c.get(g, 0) for g in self.every.tolist()] for c in grams], np.int32).reshape(len(grams), len(self.every))
         self.needed = [math.ceil(threshold * (n - 1) - 1e-9) for n in self.sizes]
 
     def find(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license id, Dice, start, end) in characters of the lower-cased text; windows that don't overlap, best first kept."""
-        lower = (text or "").lower()
-        words = WORD.findall(lower)
+        """(license id, Dice, start, end) in characters of the text.
+
+        Windows that don't overlap: the best first, of equal ones that of the
+        larger template, then the one further ahead, then the template given first.
+        """
+        words, spans = _words(text or "")
         if len(words) < 2:
             return []
         get = self.known.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        grams = np.full(len(ids) - 1, -1, np.int32)
-        grams[both] = self.column[ids[:-1][both] * self.base + ids[1:][both]]
-        at = np.flatnonzero(grams >= 0)
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        keys = ids[at] * self.base + ids[at + 1]
+        column = np.minimum(np.searchsorted(self.every, keys), len(self.every) - 1)
+        there = self.every[column] == keys
+        at, column = at[there], column[there]
         if not len(at):
             return []
-        here = np.bincount(grams[at], minlength=self.counts.shape[1])
-        possible = np.minimum(self.counts, here).sum(axis=1)
+        used, here = np.unique(column, return_counts=True)
+        possible = np.minimum(self.counts[:, used], here).sum(axis=1)
+        grams = np.full(len(ids) - 1, -1, np.int64)
+        grams[at] = column
         found = []
-        for k in np.flatnonzero((possible >= self.needed)).tolist():
+        for k in np.flatnonzero(possible >= self.needed).tolist():
             if len(words) * (2 - self.threshold) >= self.sizes[k] * self.threshold:
                 found += self._windows(k, grams, at, len(words))
         taken: list[tuple[int, int, int, float]] = []
-        used = np.zeros(len(words), bool)
+        free = np.ones(len(words), bool)
         for k, dice, start, end in sorted(found, key=lambda x: (-x[1], -self.sizes[x[0]], x[2], x[0])):
-            if not used[start:end].any() and told(self.ids[k], self.words[k], words, start, end):
-                used[start:end] = True
+            if free[start:end].all() and told(self.ids[k], self.words[k], words, start, end):
+                free[start:end] = False
                 taken.append((k, start, end, dice))
         if not taken:
             return []
-        spans = [m.span() for m in WORD.finditer(lower)]
+        spans = list(spans())
         return [(self.ids[k], dice, spans[a][0], spans[b - 1][1]) for k, a, b, dice in sorted(taken, key=lambda x: x[1])]
 
     def _windows(self, k: int, grams: np.ndarray, at: np.ndarray, n: int):
-        """The best of overlapping windows of the template's size that reach the threshold."""
+        """All windows of the template's size that reach the threshold and start with one of its bigrams, or end with the text."""
         own, size = self.counts[k], self.sizes[k]
         width = min(size, n) - 1
         of = at[own[grams[at]] > 0]
-        ends = np.searchsorted(of, of + width)  # windows that start at one of its bigrams
+        ends = np.searchsorted(of, of + width)
         near = np.flatnonzero(2 * (ends - np.arange(len(of))) >= self.threshold * (size - 1 + width) - 1e-9)
-        best = None
+        done = -1
         for i in near.tolist():
             start = min(int(of[i]), n - 1 - width)
-            shared = np.bincount(grams[of[i : ends[i]]], minlength=len(own))
+            if start == done:
+                continue
+            done = start
+            first = np.searchsorted(of, start)
+            shared = np.bincount(grams[of[first : ends[i]]], minlength=len(own))
             dice = 2 * int(np.minimum(shared, own).sum()) / (size - 1 + width)
             if dice >= self.threshold - 1e-9:
-                if best and start < best[2] + width + 1:
-                    if dice > best[1]:
-                        best = (k, dice, start, start + width + 1)
-                else:
-                    if best:
-                        yield best
-                    best = (k, dice, start, start + width + 1)
-        if best:
-            yield best
+                yield k, dice, start, start + width + 1
+
+
+def _words(text: str):
+    """The words in lower case, and a function that gives their places in the text itself."""
+    lower = text.lower()
+    if len(lower) == len(text):
+        return WORD.findall(lower), lambda: (m.span() for m in WORD.finditer(lower))
+    return [w.lower() for w in WORD.findall(text)], lambda: (m.span() for m in WORD.finditer(text))
 
 
 _READY: dict = {}
@@ -218,7 +260,9 @@ def scan(docs: DataFrame, given: list[tuple[str, str]] | None = None, threshold:
     """(doc_id, license, dice, span_start, span_end): a row for each notice found.
 
     A null or empty text has none; a text found twice has rows for each place;
-    repeated rows are scanned each; other columns are left out, whatever their names.
+    of equal windows that overlap the one of the larger template is taken, then
+    the one further ahead; repeated rows are scanned each; an empty table gives
+    an empty one; other columns are left out, whatever their names.
     """
     given = templates() if given is None else given
     mark = (tuple(given), threshold)

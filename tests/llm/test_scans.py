@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,76 @@ def test_license_windows_against_brute_force():
         assert {f[0] for f in found} <= best and bool(found) == bool(best)
 
 
+def brute_notices(text, given, threshold):
+    """All windows by definition, the best taken first."""
+    words = [m.group().lower() for m in licenses.WORD.finditer(text)]
+    spans = [m.span() for m in licenses.WORD.finditer(text)]
+    found = []
+    order = sorted(range(len(given)), key=lambda k: len(given[k][1].split()))
+    for rank, k in enumerate(order):
+        own = given[k][1].lower().split()
+        grams = Counter(zip(own, own[1:]))
+        size = min(len(own), len(words))
+        if len(own) < 2 or len(words) < 2:
+            continue
+        for i in range(len(words) - size + 1):
+            if (words[i], words[i + 1]) in grams or i == len(words) - size:
+                w = words[i : i + size]
+                dice = 2 * (grams & Counter(zip(w, w[1:]))).total() / (len(own) - 1 + size - 1)
+                if dice >= threshold - 1e-9:
+                    found.append((-dice, -len(own), i, rank, i + size, given[k][0]))
+    taken, used = [], set()
+    for dice, _, i, _, end, name in sorted(found):
+        if not used & set(range(i, end)):
+            used |= set(range(i, end))
+            taken.append((name, -dice, spans[i][0], spans[end - 1][1]))
+    return sorted(taken, key=lambda x: x[2])
+
+
+def test_license_spans_and_dice_against_brute_force(monkeypatch):
+    monkeypatch.setattr(licenses, "told", lambda *x: True)
+    rng = random.Random(18)
+    given = [("a", "one two three four five six seven"), ("b", "two three nine ten"), ("c", "one one one two"), ("d", "six seven one two three")]
+    scanner = licenses.Scanner(given, 0.7)
+    several = 0
+    for _ in range(2000):
+        words = [rng.choice("one two three four five six seven nine ten other İ".split()) for _ in range(rng.randint(2, 30))]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words)) : 0] = rng.choice(given)[1].split()
+        text = " ".join(words)
+        found = scanner.find(text)
+        assert [(f[0], round(f[1], 9), *f[2:]) for f in found] == [(f[0], round(f[1], 9), *f[2:]) for f in brute_notices(text, given, 0.7)], text
+        several += len(found) > 1
+    assert several > 200
+
+
+def test_licenses_in_long_texts_and_where_lower_case_is_longer(spark):
+    scanner = licenses.Scanner(licenses.templates())
+    notice = "Licensed under the MIT License"
+    text = "İstanbul word " * 60_000 + notice + ". " + "word " * 1000
+    (one,) = scanner.find(text)
+    assert one[0] == "MIT" and text[one[2] : one[3]] == notice
+    tie = scanner.find(f"{notice} {notice}")
+    assert [t[2:] for t in tie] == [(0, 30), (31, 61)]
+    for name, whole in licenses.WHOLE:
+        (one,) = scanner.find(f"Copyright someone. {whole} and more after it")
+        assert one[0] == name and one[1] == 1.0
+
+
+def test_whole_licenses_from_a_folder(spark, tmp_path):
+    """Long texts that differ in few words: the best Dice decides."""
+    rng = random.Random(4)
+    base = [f"term{rng.randrange(900)}" for _ in range(3000)]
+    other = [w if rng.random() > 0.03 else "instead" for w in base]
+    (tmp_path / "Long-1.0.txt").write_text(" ".join(base))
+    (tmp_path / "long2").write_text(" ".join(other))
+    found = licenses.templates_in(spark, str(tmp_path), {"Long-1.0": "Long-1.0", "long2": "Long-2.0"})
+    assert [i for i, _ in found] == ["Long-1.0", "Long-2.0"]
+    docs = spark.createDataFrame([(1, "Preface. " + " ".join(base) + " end"), (2, " ".join(other)), (3, "Licensed under the ISC License")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.scan(docs, licenses.templates() + found).collect()}
+    assert got == {1: ("Long-1.0", 1.0), 2: ("Long-2.0", 1.0), 3: ("ISC", 1.0)}
+
+
 def brute_secrets(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
@@ -247,6 +318,32 @@ def test_quality_rows(spark):
     assert (odd["n_words"], odd["word_chars"], odd["n_symbols"], odd["n_dup_lines"]) == (5, 16, 2, 2)
 
 
+def test_the_method_rejects_what_the_base_rule_passes(spark):
+    """On whole tables: rows that fail by what repeats cover alone, and none by chance in texts without long repeats."""
+    rows = quality.verdicts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    alone = [r for r in rows if not r["kept"] and not r["base_failed"]]
+    assert len(alone) > 5 and all(r["covered"] > quality.MOST_COVERED or r["covered_long"] > quality.MOST_COVERED_LONG or r["longest_repeat"] > quality.MOST_LONGEST for r in alone)
+    assert all(r["kept"] for r in rows if not r["base_failed"] and r["longest_repeat"] < quality.LONG_REPEAT and r["covered"] <= quality.MOST_COVERED)
+    unique = [f"w{i}" for i in range(300)]
+    block = unique[:36]  # 36 of 336 words twice: 21 percent in repeats, and 45 of 445 with more around them
+    docs = spark.createDataFrame([(1, " ".join(unique + ["x"] + block[:30])), (2, " ".join(unique + ["x"] + block[:12]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
+    assert not got[1]["base_failed"] and not got[1]["kept"] and got[1]["longest_repeat"] == 30 and got[2]["kept"]
+
+
+def test_common_prefixes_of_one_word_and_of_a_long_text():
+    assert quality.longest_repeats(np.zeros(20_000, np.int64)).tolist() == [max(20_000 - i - 1, i and 20_000 - i) for i in range(20_000)]
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 3, 300)
+    sa = quality.suffix_array(keys)
+    text = keys.tolist()
+    assert sa.tolist() == sorted(range(300), key=lambda i: text[i:])
+    for i, n in enumerate(quality.common_prefixes(keys, sa).tolist()):
+        p = sa.tolist().index(i)
+        j = int(sa[p - 1]) if p else None
+        assert n == (0 if j is None else next((k for k in range(300) if i + k >= 300 or j + k >= 300 or text[i + k] != text[j + k]), 0))
+
+
 @pytest.mark.parametrize("scan", [licenses.scan, secrets.scan, quality.verdicts])
 def test_empty_tables(spark, scan):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
