@@ -1,7 +1,9 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer (operator 1).
 
-Encoding walks a text from left to right in chunks. Ordinary words are encoded
-whole and remembered. A word longer than a block is encoded piecewise: the merge
+All encoding goes through a transducer that takes a text piece by piece and
+emits tokens once they are stable. No merge crosses a word's end, so that with
+the first character after it all of a word's tokens are; what a whole word
+leads to from there is remembered. Within a word that is still open the merge
 list has a *sufficient lookahead*, a number L such that a token which ends L or
 more symbols before the end of what has been read can't change any more. Such
 tokens are emitted at once, and encoding goes on from the first that isn't
@@ -188,7 +190,7 @@ class Encoder:
         return self._library
 
     def words(self, part: str) -> list[str]:
-        """The words of a part that starts and ends where no word or character sequence is cut.
+        """The words of a part that starts and ends where no character sequence is cut.
 
         Characters beyond Latin-1 need the library's tables for their forms and classes.
         """
@@ -204,28 +206,26 @@ class Encoder:
             self._back = {c: b for b, c in byte_symbols().items()}
         return self._back
 
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Chunks of a text, and whether the next one goes on within the same word."""
-        at, n = 0, len(text)
-        while n - at > self.chunk:
-            cut, inside = self._cut(text, at, at + self.chunk)
-            yield text[at:cut], inside
-            at = cut
-        yield text[at:], False
-
-    @staticmethod
-    def _cut(text: str, low: int, high: int) -> tuple[int, bool]:
-        for i in range(high, max(low, high - 4096), -1):
+    def cut(self, text: str) -> tuple[int, bool]:
+        """How much of a text's beginning can be taken whatever follows, and whether a word is open there."""
+        n = len(text)
+        high = min(n, self.chunk)
+        for i in range(min(high, n - 1), max(0, high - 4096), -1):
             if BLANK.match(text, i - 1) and not unicodedata.combining(text[i]):
                 return i, False
-        for i in range(high, low + 4, -1):
+        if n <= self.chunk:
+            return 0, False
+        for i in range(high - 1, 4, -1):
             near = text[i - 4 : i + 1]
             kinds = {unicodedata.category(c)[0] for c in near[-2:]}
             if "'" in near or any(0x1100 <= ord(c) < 0x1200 for c in near[-2:]) or "’" in near:
                 continue
+            if kinds == {"N"}:  # each is a word
+                return i, False
             if kinds == {"L"} or kinds <= {"P", "S"}:
                 return i, True
-        return _next_blank(text, high), False
+        found = BLANK.search(text, high)
+        return (found.end(), False) if found and found.end() < n else (0, False)
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a text, null or empty giving none, in pieces that are stable."""
@@ -241,23 +241,10 @@ class Encoder:
             yield from self._plain(text)
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        stream: WordStream | None = None
-        for part, inside in self.parts(text):
-            if stream is None and not inside and _latin(part) and not NOT_BLANK.search(part):
-                yield b"".join(map(self.young.__getitem__, part.lower().split()))
-                continue
-            words = self.words(part)
-            if stream and words:  # the open word goes on
-                yield stream.push(words.pop(0).encode())
-                if words or not inside:
-                    yield stream.close()
-                    stream = None
-            if inside and words:
-                last = words.pop()
-            yield b"".join(map(self.word, words))
-            if inside and stream is None:
-                stream = WordStream(self)
-                yield stream.push(last.encode())
+        through = Transducer(self)
+        for at in range(0, len(text), self.chunk):
+            yield through.push(text[at : at + self.chunk])
+        yield through.close()
 
     def ids(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(self.encode(text)), "<u4").tolist()
@@ -289,9 +276,49 @@ def _latin(part: str) -> bool:
     return True
 
 
-def _next_blank(text: str, start: int) -> int:
-    found = BLANK.search(text, start)
-    return found.end() if found else len(text)
+class Transducer:
+    """Takes a text without special tokens piece by piece and emits ids once they are stable.
+
+    It holds what has no end yet: the last run of characters, and of a long word
+    the symbols that its sufficient lookahead asks for.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held = encoder, ""
+        self.open: WordStream | None = None
+
+    def push(self, text: str) -> bytes:
+        self.held = self.held + text if self.held else text
+        out = []
+        while self.held and (found := self.encoder.cut(self.held))[0]:
+            part, self.held = self.held[: found[0]], self.held[found[0] :]
+            out.append(self._words(part, found[1]))
+        return b"".join(out)
+
+    def close(self) -> bytes:
+        part, self.held = self.held, ""
+        out = self._words(part, False)
+        if self.open:
+            out, self.open = out + self.open.close(), None
+        return out
+
+    def _words(self, part: str, inside: bool) -> bytes:
+        """The ids of a part that ends with a word, or within one if ``inside``."""
+        e = self.encoder
+        if self.open is None and not inside and _latin(part) and not NOT_BLANK.search(part):
+            return b"".join(map(e.young.__getitem__, part.lower().split()))
+        words, out = e.words(part), []
+        if self.open and words:  # the open word goes on
+            out.append(self.open.push(words.pop(0).encode()))
+            if words or not inside:
+                out.append(self.open.close())
+                self.open = None
+        last = words.pop() if inside and words else None
+        out += map(e.word, words)
+        if last is not None:
+            self.open = WordStream(e)
+            out.append(self.open.push(last.encode()))
+        return b"".join(out)
 
 
 class WordStream:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -50,6 +51,51 @@ def test_long_words_stream(encoders):
         assert np.frombuffer(first + stream.close(), "<u4").tolist() == ids(text)
 
 
+def test_the_transducer_emits_before_the_end(encoders, spark, monkeypatch):
+    """Whole words with the next run, and parts of a long word by lookahead; also on the way that the registered query takes."""
+    e = encoders[0]
+    through = bpe.Transducer(e)
+    out = through.push("Hello there, it's a lo")
+    assert np.frombuffer(out, "<u4").tolist() == ids("Hello there, it's a") and through.held == "lo"
+    out += through.push("ng day") + through.close()
+    assert np.frombuffer(out, "<u4").tolist() == ids("Hello there, it's a long day")
+    rng = random.Random(2)
+    for alphabet in ("aeiounrtsl", "*#", "0123456789", "日本語"):
+        text = "".join(rng.choice(alphabet) for _ in range(40_000))
+        for encoder in encoders:
+            through, early = bpe.Transducer(encoder), b""
+            for at in range(0, len(text), 777):
+                early += through.push(text[at : at + 777])
+                assert len(through.held) <= encoder.chunk + 777 and (through.open is None or len(through.open.held) <= encoder.lookahead + 2 * encoder.block + 4 * encoder.chunk)
+            if encoder is encoders[1]:
+                assert len(early) > 4 * 1000
+            assert np.frombuffer(early + through.close(), "<u4").tolist() == ids(text)
+    seen = []
+    push = bpe.WordStream._emit
+    monkeypatch.setattr(bpe.WordStream, "_emit", lambda self, upto: seen.append(out := push(self, upto)) or out)
+    whole = "".join(rng.choice("aeiounrtsl") for _ in range(600_000))
+    pieces = list(e.encode(whole))
+    assert len(pieces) > 2 and any(seen) and any(pieces[:-1]) and np.frombuffer(b"".join(pieces), "<u4").tolist() == ids(whole)
+
+
+def test_memory_stays_flat_over_a_long_text(encoders):
+    """A hundred megabytes pass through; what is held doesn't grow."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeiounrtsl") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    piece = " ".join(rng.choice(words) for _ in range(1 << 15))
+    through = bpe.Transducer(encoders[0])
+    through.push(piece + " ")
+    tracemalloc.start()
+    done = most = 0
+    while done < 100_000_000:
+        through.push(piece + " ")
+        done += len(piece) + 1
+        most = max(most, len(through.held))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 and peak < 32_000_000
+
+
 def test_lookahead_of_small_merge_lists():
     """Tokens that end so far before the end of a prefix stay, whatever follows."""
     rng = random.Random(7)
