@@ -1,7 +1,5 @@
 """Models that a user plugs in: encoders and translators as Arrow functions, loaded once a worker."""
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +23,7 @@ def encoder(load: Callable[[], Callable[[list], list]]):
             vectors = pd.Series(list(model(known.tolist())), index=known.index, dtype=object) if len(known) else pd.Series(dtype=object)
             yield vectors.reindex(batch.index).where(lambda s: s.notna(), None)
 
-    return F.pandas_udf(run, ArrayType(FloatType()), F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, ArrayType(FloatType()))
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list], list]]:
@@ -54,7 +52,7 @@ def translator(translate: Callable[[str], str] | None = None):
 
         return texts.map(one, na_action="ignore")
 
-    return F.pandas_udf(run, StringType(), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, StringType())
 
 
 def scattered(rows: DataFrame, vectors: DataFrame, index: str = "index", vector: str = "vector") -> DataFrame:

@@ -203,6 +203,17 @@ def vector_unwrapped(nested: Column) -> Column:
     return F.flatten(nested)
 
 
+def vector_text(v: Column) -> Column:
+    """A vector as text, elements in brackets."""
+    return F.to_json(v)
+
+
+def soldout_flag(json: Column) -> Column:
+    """A JSON value that is true or false; others give null."""
+    t = F.trim(json)
+    return F.when(t == "true", True).when(t == "false", False)
+
+
 def brand_name(local: Column, name: Column) -> Column:
     return falsy(local, name)
 
@@ -220,9 +231,13 @@ def search_batch(page: Column) -> Column:
     return F.floor((F.greatest(F.lit(1), F.coalesce(page.cast("string").try_cast("int"), F.lit(1))) - 1) / 3).cast("int")
 
 
+#: What is left out of a search for product pages.
+NO_LISTS = "-inurl:search -inurl:category -inurl:snap"
+
+
 def site_query(query: Column, site: Column) -> Column:
     """A query for one shop's product pages; the general engine gets no site."""
-    no_lists = F.lit("-inurl:search -inurl:category -inurl:snap")
+    no_lists = F.lit(NO_LISTS)
     return F.when(site == "google.com", F.concat_ws(" ", query, no_lists)).otherwise(F.concat_ws(" ", query, F.concat(F.lit("site:"), site), F.lit("(> products)"), no_lists))
 
 

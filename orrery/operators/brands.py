@@ -26,6 +26,19 @@ def inserted(brands: DataFrame, new: DataFrame) -> DataFrame:
     return insert_ignore(brands, new, ["brand_name", "link"])
 
 
+def listed(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The entries of brand lists captured as JSON."""
+    entry = "array<struct<name: string, englishName: string, linkUrl: string>>"
+    return bodies.select(F.explode(F.from_json(body, entry)).alias("__entry")).select("__entry.*")
+
+
+def popular(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """(brand_name) of captured answers on popular brands."""
+    answer = "struct<data: struct<getPopularKeywordsByFilterCached: struct<popularBrands: array<struct<name: string>>>>>"
+    names = F.from_json(body, answer)["data"]["getPopularKeywordsByFilterCached"]["popularBrands"]["name"]
+    return bodies.select(F.explode(names).alias("brand_name"))
+
+
 def from_json(raw: DataFrame) -> DataFrame:
     """(brand_name, brand_name_eng, link) of a brand list (name, englishName, linkUrl)."""
     return raw.select(F.col("name").alias("brand_name"), F.col("englishName").alias("brand_name_eng"), F.col("linkUrl").alias("link"))
@@ -39,7 +52,11 @@ def from_lines(links: DataFrame, base: str) -> DataFrame:
     )
 
 
-def run_summary(results: DataFrame, most_errors: int = 100) -> DataFrame:
-    """(processed, failed, errors) of rows (brand_name, error); the first errors by name are listed."""
-    listed = results.where("error IS NOT NULL").orderBy("brand_name").limit(most_errors).agg(F.array_sort(F.collect_list(F.concat_ws(": ", "brand_name", "error"))).alias("errors"))
-    return results.agg(F.count("*").alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed")).crossJoin(listed)
+def run_summary(results: DataFrame) -> DataFrame:
+    """(processed, failed) of rows (brand_name, error)."""
+    return results.agg(F.count("*").alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def run_errors(results: DataFrame) -> DataFrame:
+    """(error) for each row that failed, with its brand."""
+    return results.where("error IS NOT NULL").select(F.concat_ws(": ", "brand_name", "error").alias("error"))

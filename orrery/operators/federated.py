@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.normalize import falsy, site_query
+from orrery.functions.normalize import domain, falsy, site_query
 
 COLUMNS = ["product_id", "title", "price", "currency", "brand", "category", "is_soldout", "image_url", "shop", "source_url", "image_vector"]
 #: What is shown where a result lacks something.
@@ -65,11 +65,15 @@ def unique(items: DataFrame, key: str = "product_id", order: str = "position") -
 
 
 def site_queries(query: str, shops: DataFrame) -> DataFrame:
-    """(domain, query) for each shop; the last name of a domain counts."""
+    """(domain, query) for each row of ``shops``, which has a domain once (``shop_domains``)."""
     return shops.select("domain", site_query(F.lit(query), F.col("domain")).alias("query"))
 
 
 def shop_domains(selected: DataFrame, shops: DataFrame) -> DataFrame:
-    """(name, domain) of selected shops, an empty domain for those that aren't known."""
-    known = shops.groupBy("name").agg(F.max("domain").alias("domain"))
-    return selected.join(known, "name", "left").select("name", F.coalesce("domain", F.lit("")).alias("domain"))
+    """(domain, name) of selected shops (name, position), an empty domain for those that aren't known.
+
+    A name has the address of its first shop (id, name, url); of the names with one domain the last selected counts.
+    """
+    known = shops.groupBy("name").agg(F.min_by("url", "id").alias("url"))
+    named = selected.join(known, "name", "left").withColumn("domain", F.coalesce(domain(F.col("url")), F.lit("")))
+    return named.groupBy("domain").agg(F.max_by("name", "position").alias("name"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.normalize import display_image, falsy
+
+#: Folders by the furniture that they're shown in.
 HANGING, DRAWER, SIDE = ["outer", "top", "outerwear", "tops"], ["bottom", "bottoms", "pants"], ["shoes", "accessories", "jewelry"]
 
 
@@ -24,6 +27,11 @@ def saved_feed(saves: DataFrame, products: DataFrame, shops: DataFrame, user_id:
     return with_shops(joined, shops).orderBy(F.desc("created_at"), "product_id")
 
 
+def saved_item(saves: DataFrame, products: DataFrame, shops: DataFrame, user_id: int, source_url: str) -> DataFrame:
+    """A user's save of one page; the filter goes before the joins, so that it reaches the scan."""
+    return saved_feed(saves, products.where(F.col("source_url") == source_url), shops, user_id)
+
+
 def newest_first(products: DataFrame, shops: DataFrame) -> DataFrame:
     return with_shops(products, shops).orderBy(F.desc("created_at"), "product_id")
 
@@ -83,6 +91,22 @@ def toggled(selected: Column, item: Column) -> Column:
     return F.when(F.array_contains(selected, item), F.array_except(selected, F.array(item))).otherwise(F.array_union(selected, F.array(item)))
 
 
+def with_saved(saved: Column, item: Column) -> Column:
+    """The set with the item, which is put in only if it isn't there."""
+    return F.array_union(saved, F.array(item))
+
+
+def similar_query(image: Column, local: Column, title: Column, origin: str) -> Column:
+    """What similar items are searched with: the address of the image shown, made absolute, else the title."""
+    shown = display_image(image, local, "")
+    return falsy(F.when(shown.startswith("/api/"), F.concat(F.lit(origin), shown)).otherwise(shown), title)
+
+
+def secondhand_query(title: Column) -> Column:
+    """A second-hand search takes the title as it is."""
+    return title
+
+
 PAYLOAD = ["title", "source_url", "category", "image_url", "image_vector", "price", "currency", "brand", "is_soldout", "shop"]
 
 

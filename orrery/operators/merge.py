@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 REPLACED = ["title", "price", "currency", "brand", "category", "is_soldout", "image_url", "shop_id", "gender"]
 
 
-def last_by(rows: DataFrame, keys: list[str], order: str, keep_last_value: list[str] = ()) -> DataFrame:
+def last_by(rows: DataFrame, keys: list[str], order: str, keep_last_value: list[str] = (), keep_first: list[str] = ()) -> DataFrame:
     """A row for each key, the last by ``order``, which must be unique within a key; columns of
-    ``keep_last_value`` have their last value that isn't null instead.
+    ``keep_last_value`` have their last value that isn't null instead, those of ``keep_first`` the first row's, null or not.
 
     Aggregates combine before the shuffle, so that a key with very many rows costs no more than others.
     """
-    plain = [c for c in rows.columns if c not in keys and c not in keep_last_value and c != order]
+    plain = [c for c in rows.columns if c not in keys and c not in keep_last_value and c not in keep_first and c != order]
     aggregates = [F.max_by(F.struct(*plain), order).alias("__last"), F.max(order).alias(order)] if plain else [F.max(order).alias(order)]
     aggregates += [F.expr(f"max_by({c}, {order}) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in keep_last_value]
+    aggregates += [F.min_by(F.struct(*keep_first), order).alias("__first")] if keep_first else []
     out = rows.groupBy(*keys).agg(*aggregates)
-    return out.select(*(F.col(f"__last.{c}").alias(c) if c in plain else c for c in rows.columns))
+    return out.select(*(F.col(f"__last.{c}").alias(c) if c in plain else F.col(f"__first.{c}").alias(c) if c in keep_first else c for c in rows.columns))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], replace: list[str], fill: list[str] = ()) -> DataFrame:
@@ -52,11 +53,14 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], replace: l
 def upsert_products(existing: DataFrame, incoming: DataFrame, refresh_title_vector: bool = False, seq: str | None = None) -> DataFrame:
     """By source_url. Image vectors, and title vectors where they're refreshed, survive an incoming null; created_at stays.
 
-    With ``seq`` a key may come more than once, as if its rows were applied one by one.
+    With ``seq`` a key may come more than once, as if its rows were applied one by one: what an update leaves as it is
+    comes, for a new key, from its first row.
     """
     vectors = ["image_vector", "title_vector"] if refresh_title_vector else ["image_vector"]
     if seq:
-        incoming = last_by(incoming, ["source_url"], seq, [v for v in vectors if v in incoming.columns]).drop(seq)
+        filled = [v for v in vectors if v in incoming.columns]
+        first = [c for c in incoming.columns if c not in ("source_url", seq, *REPLACED, *filled)]
+        incoming = last_by(incoming, ["source_url"], seq, filled, first).drop(seq)
     return upsert(existing, incoming, ["source_url"], [c for c in REPLACED if c in existing.columns], [v for v in vectors if v in existing.columns])
 
 
@@ -65,6 +69,18 @@ def upsert_users(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["oauth_user_id"], ["email", "name", "profile_image"])
 
 
+def aligned(batches: DataFrame, lists: list[str]) -> DataFrame:
+    """A row for each place ``at`` of lists that a batch returned side by side; a shorter list gives nulls at its end."""
+    rest = [c for c in batches.columns if c not in lists]
+    return batches.select(*rest, F.posexplode(F.arrays_zip(*lists)).alias("at", "__row")).select(*rest, "at", "__row.*")
+
+
+def batch_totals(items: DataFrame, batch: str) -> DataFrame:
+    """(batch, n_items, n_total): items of each batch, and of all batches together."""
+    sizes = items.groupBy(batch).agg(F.count("*").alias("n_items"))
+    return sizes.crossJoin(F.broadcast(items.agg(F.count("*").alias("n_total"))))  # one row
+
+
 def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Numbers rows that have no id from the largest one on.
 

@@ -414,8 +414,7 @@ def search_batches(spark: SparkSession, sf: str) -> DataFrame:
 WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS a, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS b FROM pages)
 SELECT page_id, replace(replace(replace(a, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS page_title, replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM t""")
 def html_extract(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
-    return pages.select("page_id", "url").join(html.parsed(pages).select("url", "page_title", "heading").dropDuplicates(["url"]), "url").select("page_id", "page_title", "heading")
+    return html.parsed(table(spark, sf, "pages"), keep=["page_id"]).select("page_id", "page_title", "heading")
 
 
 @query("SELECT url AS source_url, 'Unknown' AS title, 'UNKNOWN' AS brand, 'PRODUCT' AS category, 'UNKNOWN' AS shop FROM pages")
@@ -490,12 +489,12 @@ LISTING = """SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_name
 
 
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as listing pages, one for each brand and type."""
+    """Parts as listing pages of one brand and type, two hundred parts at most on each."""
     item = F.struct(
         F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("goodsLinkUrl"), F.col("p_name").alias("goodsName"), F.lit("0").alias("price"),
         F.concat(F.format_number("p_retailprice", 2), F.lit("원")).alias("normalPrice"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, "Y").otherwise("false").alias("isSoldOut"),
     )
-    pages = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.collect_list(item).alias("list"))
+    pages = table(spark, sf, "part").groupBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 200)).agg(F.collect_list(item).alias("list"))
     return pages.select(F.to_json(F.struct(F.struct("list").alias("data"))).alias("body"))
 
 

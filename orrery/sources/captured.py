@@ -13,9 +13,9 @@ STATE = f"struct<props: struct<pageProps: struct<dehydratedState: struct<queries
 
 
 def listing_items(pages: DataFrame, body: str = "body") -> DataFrame:
-    """A row for each item of listing pages, with the other columns of ``pages``."""
+    """A row for each item of listing pages, with the other columns of ``pages`` and its place ``at`` in the list."""
     rest = [c for c in pages.columns if c != body]
-    return pages.withColumn("__page", F.from_json(body, LISTING)).select(*rest, F.explode("__page.data.list").alias("__item")).select(*rest, "__item.*")
+    return pages.withColumn("__page", F.from_json(body, LISTING)).select(*rest, F.posexplode("__page.data.list").alias("at", "__item")).select(*rest, "at", "__item.*")
 
 
 def state_items(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -25,13 +25,13 @@ def state_items(pages: DataFrame, body: str = "body") -> DataFrame:
     return queries.select(*rest, F.explode(F.get(F.col("__q.state.data.pages"), 0)["data"]["list"]).alias("__item")).select(*rest, "__item.*")
 
 
-def item_records(items: DataFrame, category: str = "PRODUCT", shop: str = "UNKNOWN") -> DataFrame:
-    """Product records of listing items; those without a link fall out. A price of zero gives way to the normal price."""
+def item_records(items: DataFrame, category: str = "PRODUCT", shop: str = "UNKNOWN", keep: list[str] = ()) -> DataFrame:
+    """Product records of listing items, with the columns in ``keep``; those without a link fall out. A price of zero gives way to the normal price."""
     amount = F.coalesce(F.nullif(N.price_batch(F.col("price")), F.lit(0).cast(N.PRICE)), N.price_batch(F.col("normalPrice")))
     return items.where(F.nullif("goodsLinkUrl", F.lit("")).isNotNull()).select(
         F.col("goodsLinkUrl").alias("source_url"), N.falsy(F.col("goodsName"), F.lit("Unknown")).alias("title"), amount.alias("price"), F.lit("KRW").alias("currency"),
         N.falsy(F.col("brand"), F.lit("UNKNOWN")).alias("brand"), F.lit(category).alias("category"), N.soldout(F.col("isSoldOut")).alias("is_soldout"),
-        F.coalesce("thumbnail", F.lit("")).alias("image_url"), F.lit(shop).alias("shop"), N.falsy(F.col("displayGenderText"), F.lit("UNKNOWN")).alias("gender"),
+        F.coalesce("thumbnail", F.lit("")).alias("image_url"), F.lit(shop).alias("shop"), N.falsy(F.col("displayGenderText"), F.lit("UNKNOWN")).alias("gender"), *keep,
     )
 
 

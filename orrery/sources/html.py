@@ -160,16 +160,18 @@ def read(html: str | None, lenient: bool = False) -> dict:
     return {"page_title": page.text("page_title"), "heading": page.text("heading"), "marked": _marked(page), "linked": _linked(page), "graph": _graph(page, lenient), "state": _state(page)}
 
 
-def parsed(pages: DataFrame, lenient: bool = False) -> DataFrame:
-    """``SCHEMA`` for pages (url, html)."""
+def parsed(pages: DataFrame, lenient: bool = False, keep: list[str] = ()) -> DataFrame:
+    """``SCHEMA`` for pages (url, html), with the columns in ``keep``, so that nothing needs to be joined back."""
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA.replace("struct<", "STRUCT<")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"url": u} | read(h, lenient) for u, h in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows = [{"url": u} | read(h, lenient) for u, h in zip(*(c.to_pylist() for c in batch.columns[:2]))]
+            made = pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made.columns], names=[*keep, *schema.names])
 
-    return pages.select("url", "html").mapInArrow(run, SCHEMA)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema) if keep else ""
+    return pages.select("url", "html", *keep).mapInArrow(run, kept + SCHEMA)
 
 
 def _facts(s: str) -> Column:
@@ -193,9 +195,9 @@ def merged(found: list[Column], fields: list[str]) -> list[Column]:
     ]
 
 
-def products(pages: DataFrame, lenient: bool = False) -> DataFrame:
-    """(url, title, price, brand, image_url, category, is_soldout, gender, shop): pages with embedded state by that, others by all readers together."""
-    p = parsed(pages, lenient)
+def products(pages: DataFrame, lenient: bool = False, keep: list[str] = ()) -> DataFrame:
+    """(url, title, price, brand, image_url, category, is_soldout, gender, shop), and the columns in ``keep``: pages with embedded state by that, others by all readers together."""
+    p = parsed(pages, lenient, keep)
     s = F.from_json("state", "goodsNm string, brandInfo struct<brandName: string>, baseCategoryFullPath string, goodsPrice struct<salePrice: string, normalPrice: string>, thumbnailImageUrl string, isOutOfStock boolean, displayGenderText string")
     p = p.withColumn("s", F.when(F.col("state").isNotNull(), s)).withColumn("f1", _facts("marked")).withColumn("f2", _facts("linked")).withColumn("f3", _facts("graph"))
     fields = ["title", "price", "brand", "image_url", "category", "is_soldout"]
@@ -206,15 +208,15 @@ def products(pages: DataFrame, lenient: bool = False) -> DataFrame:
         F.col("s.baseCategoryFullPath").alias("category"), F.coalesce("s.isOutOfStock", F.lit(False)).alias("is_soldout"),
     )
     chosen = F.when(F.col("s").isNotNull(), special).otherwise(general)
-    return p.select("url", chosen.alias("c"), "s").select("url", "c.*", N.falsy(F.col("s.displayGenderText"), F.lit("UNKNOWN")).alias("gender"), N.site_label(F.col("url")).alias("shop"))
+    return p.select(*keep, "url", chosen.alias("c"), "s").select(*keep, "url", "c.*", N.falsy(F.col("s.displayGenderText"), F.lit("UNKNOWN")).alias("gender"), N.site_label(F.col("url")).alias("shop"))
 
 
-def records(facts: DataFrame) -> DataFrame:
-    """Product records from page facts, with what stands in for missing fields."""
+def records(facts: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Product records from page facts, with what stands in for missing fields, and the columns in ``keep``."""
     return facts.select(
         F.col("url").alias("source_url"), N.falsy(F.col("title"), F.lit("Unknown")).alias("title"), N.price(F.col("price")).alias("price"), F.lit("KRW").alias("currency"),
         N.falsy(F.col("brand"), F.lit("UNKNOWN")).alias("brand"), N.falsy(F.col("category"), F.lit("PRODUCT")).alias("category"), "is_soldout",
-        F.coalesce("image_url", F.lit("")).alias("image_url"), N.shop(F.col("shop")).alias("shop"), "gender",
+        F.coalesce("image_url", F.lit("")).alias("image_url"), N.shop(F.col("shop")).alias("shop"), "gender", *keep,
     )
 
 

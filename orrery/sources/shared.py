@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """Under ``spark.checkpoint.dir``; only where that is unset, in tests, under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-")
+    """Under ``spark.checkpoint.dir``; only where that is unset on a single machine, under a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="orrery-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,12 +27,15 @@ def catalog_stream(spark: SparkSession, path: str, to: str, checkpoint: str, fil
     """Listing pages (a JSON document a file line) merged into a catalog of versions under ``to``.
 
     A batch writes the next version whole, named by its number, so that one that is run again replaces itself.
+    Rows count in the order of their files' times and names, of the lines' texts and of their places in a line, which
+    is the same in a batch that is run again.
     A failing batch fails the query, and its files are read again after a restart.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        items = item_records(listing_items(batch.withColumnRenamed("value", "body")))
-        incoming = items.withColumn("seq", F.monotonically_increasing_id())
+        pages = batch.select(F.col("value").alias("body"), F.struct("changed", "file", "value").alias("page"))
+        incoming = item_records(listing_items(pages), keep=["page", "at"]).withColumn("seq", F.struct("page", "at"))
+        items, incoming = incoming.drop("page", "at", "seq"), incoming.drop("page", "at")
         if number:
             upserted = upsert_products(batch.sparkSession.read.parquet(f"{to}/version={number - 1}"), incoming, seq="seq")
         else:
@@ -40,4 +43,5 @@ def catalog_stream(spark: SparkSession, path: str, to: str, checkpoint: str, fil
         upserted.write.mode("overwrite").parquet(f"{to}/version={number}")
 
     lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path)
+    lines = lines.select("value", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Operators on small tables, and against plain Python on random ones."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -92,6 +93,35 @@ def test_batch_upsert_against_one_by_one(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == state
 
 
+def test_batch_upsert_of_all_columns_against_one_by_one(spark):
+    """Single upserts in turn, in plain Python; new keys repeat within the batch."""
+    rng = random.Random(3)
+    state = {str(k): (f"t{k}", [float(k)], [k + 0.5] if k % 2 else None, -k) for k in range(3)}
+    old = spark.createDataFrame([(k, *v) for k, v in state.items()], SMALL)
+    vector = lambda i: [float(i)] if rng.random() < 0.5 else None
+    batch = [(str(rng.randrange(8)), f"n{i}", vector(i), vector(i), 100 + i, i) for i in range(60)]
+    for k, title, tv, iv, made, _ in batch:
+        known = state.get(k)
+        state[k] = (title, tv, iv, made) if known is None else (title, known[1], iv if iv is not None else known[2], known[3])
+    got = merge.upsert_products(old, spark.createDataFrame(rng.sample(batch, 60), SMALL + ", seq int"), seq="seq").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == state
+
+
+def test_last_line_of_the_latest_file_wins(spark, tmp_path):
+    page = '{"data": {"list": [{"goodsLinkUrl": "u", "goodsName": "%s", "price": "1"}, {"goodsLinkUrl": "u", "goodsName": "%s", "price": "1"}]}}'
+    (tmp_path / "in").mkdir()
+    for i, name in enumerate("bac"):
+        (tmp_path / f"in/{name}").write_text(page % (f"first {name}", f"last {name}"))
+        os.utime(tmp_path / f"in/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    ingest.catalog_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 10).awaitTermination()
+    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "out/version=0")).collect()] == ["last c"]
+
+
+def test_aligned_lists(spark):
+    lists = spark.createDataFrame([(1, ["a", "b"], [1]), (2, [], [])], "id int, t array<string>, v array<int>")
+    assert sorted(map(tuple, merge.aligned(lists, ["t", "v"]).collect())) == [(1, 0, "a", 1), (1, 1, "b", None)]
+
+
 def test_insert_ignore_and_deletes(spark):
     kind = "product_id int, user_id int"
     old, new = spark.createDataFrame([(1, 1)], kind), spark.createDataFrame([(1, 1), (2, 1), (2, 1)], kind)
