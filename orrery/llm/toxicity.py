@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -39,6 +39,19 @@ FOLDS = 5
 STEP, LENGTH_STEP, GAIN_STEP, CHANCE, CLEAR = 4, 4, 16, 0.01, 8.0
 
 
+def places(text: str | None) -> tuple[list[str], Callable[[], Iterator[tuple[int, int]]]]:
+    """The words in lower case, and a function that gives their places in the text itself."""
+    text = text or ""
+    lower = text.lower()
+    if len(lower) == len(text):
+        return WORD.findall(lower), lambda: (m.span() for m in WORD.finditer(lower))
+    return [w.lower() for w in WORD.findall(text)], lambda: (m.span() for m in WORD.finditer(text))
+
+
+def words_of(text: str | None) -> list[str]:
+    return places(text)[0]
+
+
 def buckets(word: str) -> list[int]:
     """Of the whole word and its beginnings."""
     forms = {"=" + word} | {word[:k] for k in PREFIXES if len(word) >= k}
@@ -131,7 +144,7 @@ class Scorer:
         return w
 
     def gains(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         return np.fromiter(map(self.gain, words), np.float64, len(words))
 
     def best(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
@@ -147,26 +160,30 @@ def in_fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % FOLDS == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic): at most ``MOST_ROWS`` labelled documents that aren't held out; repeated labels count as toxic if one does."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(text, toxic): at most ``most_rows`` labelled documents that aren't held out.
+
+    Repeated labels count as toxic if one does; of rows that share an id the one with the smallest text is used.
+    """
     chosen = (
         labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("__id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold("__id"))
         .groupBy("__id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(MOST_ROWS)
+        .orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     )
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "toxic")
+    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    return labelled.groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Model:
     """A model of fixed size; without toxic or other rows it gives every text the same low or high score."""
-    rows = written(training_rows(docs, labels, id_col, text_col))
+    rows = written(training_rows(docs, labels, id_col, text_col, most_rows))
 
     def count(columns):
         docs_of, tokens_of = np.zeros((2, BUCKETS), np.int64), np.zeros((2, BUCKETS), np.int64)
         n_docs, n_tokens = [0, 0], [0, 0]
         for text, toxic in zip(*columns):
-            words, c = WORD.findall((text or "").lower()), int(toxic == 1)
+            words, c = words_of(text), int(toxic == 1)
             tokens = Counter(b for w, n in Counter(words).items() for b in buckets(w) * n)
             at = np.fromiter(tokens.keys(), np.int64, len(tokens))
             docs_of[c, at] += 1
@@ -263,8 +280,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, score, n_tokens, passages) for each row; a null or empty text has no tokens and a low score.
 
     ``passages`` lists the significant segments as start:end in characters of
-    the lower-cased text, comma-joined. Repeated rows are scored each; other
-    columns are left out, whatever their names.
+    the text, comma-joined. Repeated rows are scored each; an empty table gives
+    an empty one; other columns are left out, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights[2], replace(model, weights=[])))
 
@@ -294,7 +311,7 @@ def _scorer(shared) -> Scorer:
 def _characters(text: str | None, listed: list[tuple[int, int, float]]) -> Iterator[tuple[int, int]]:
     if not listed:
         return
-    spans = [m.span() for m in WORD.finditer((text or "").lower())]
+    spans = list(places(text)[1]())
     for a, b, _ in listed:
         yield spans[a][0], spans[b - 1][1]
 
@@ -308,7 +325,11 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``limit``, all columns as they were; nothing is shuffled."""
+    """``docs`` without the rows whose score reaches ``limit``, all columns as they were; nothing is shuffled.
+
+    Null and empty texts have no tokens and so the lowest score; null ids stay;
+    repeated rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights[2], replace(model, weights=[])))
     place = docs.columns.index(text_col)
 

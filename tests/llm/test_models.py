@@ -63,6 +63,58 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert a == b
 
 
+def brute_best(gains, drift):
+    """The best sum of any run of tokens."""
+    values = [g if g else -drift for g in gains]
+    return max([0.0] + [sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)])
+
+
+def test_counts_bounds_and_scores_against_brute_force(spark):
+    rng = random.Random(21)
+    vile, plain = ["vile", "filth", "vilest"], [f"plain{chr(97 + i)}" for i in range(20)]
+    rows, toxic = [], {}
+    for doc in range(120):
+        toxic[doc] = int(doc % 4 == 0)
+        words = [rng.choice(vile if toxic[doc] and rng.random() < 0.4 else plain) for _ in range(rng.randint(0, 25))]
+        rows.append((doc, " ".join(words).title() if doc % 3 else " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    known = [(t.lower().split(), toxic[d]) for d, t in rows if zlib.crc32(str(d).encode()) % 5]
+    held = {}
+    n_docs, n_tokens = [0, 0], [0, 0]
+    for words, c in known:
+        n_docs[c] += 1
+        n_tokens[c] += len(words)
+        seen = Counter(b for w in words for b in toxicity.buckets(w))
+        for b, n in seen.items():
+            one = held.setdefault(b, [[0, 0], [0, 0]])
+            one[0][c] += 1
+            one[1][c] += n
+    share = [(n + 1) / (sum(n_tokens) + 2) for n in n_tokens]
+    for b, (in_docs, times) in held.items():
+        prior = [toxicity.PRIOR * s for s in share]
+        rate = [np.log(times[c] + prior[c]) - np.log(share[c]) for c in (0, 1)]
+        want = max(0.0, rate[1] - rate[0] - toxicity.ERRORS * sum(1 / (in_docs[c] + prior[c]) for c in (0, 1)) ** 0.5) if in_docs[1] else 0.0
+        assert abs(model.weights[2][b] - want) < 1e-4
+    assert np.count_nonzero(model.weights[2]) == sum(1 for b in held if model.weights[2][b] > 0) > 3
+    got = {r["doc_id"]: r for r in toxicity.scores(docs, model).collect()}
+    for doc, text in rows:
+        words = text.lower().split()
+        gains = [max(float(model.weights[2][b]) for b in toxicity.buckets(w)) for w in words]
+        x = min(toxicity.CLEAR, max(-toxicity.CLEAR, model.decay * brute_best(gains, model.drift) - np.log(len(words) + 1)))
+        assert got[doc]["n_tokens"] == len(words) and abs(got[doc]["score"] - 1 / (1 + np.exp(-(model.offset + model.slope * x)))) < 1e-6
+
+
+def test_training_rows_are_bounded_and_places_are_those_of_the_text(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", 2).count() <= 2
+    text = "İİ ok VILE"
+    words, spans = toxicity.places(text)
+    assert [text[a:b].lower() for a, b in spans()] == words
+
+
 def test_toxicity_edge_rows(spark):
     rows = [(1, "some vile words", "x"), (2, None, "x"), (3, "", "x"), (1, "some vile words", "x"), (None, "vile " * 20_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
