@@ -263,12 +263,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, share: float) -> tupl
     z = (x - mid) / spread
     b = np.array([0.0, offset])
     design = np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(50):
+    penalty = np.array([0.1, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        at = design @ b
+        return float((n * (np.logaddexp(0, at) - y * at)).sum() + (penalty * b * b).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ b, -50, 50)))
-        gradient = design.T @ (n * (y - p)) - np.array([0.1 * b[0], 0.0])
+        gradient = design.T @ (n * (y - p)) - penalty * b
         curve = design.T @ (design * (n * p * (1 - p))[:, None]) + np.diag([0.1, 1e-3])
         step = np.linalg.solve(curve, gradient)
-        b += np.clip(step, -5, 5)
+        now = loss(b)
+        while loss(b + step) > now and np.abs(step).max() > 1e-9:  # a whole Newton step can lead far away where classes are well apart
+            step /= 2
+        b = b + step
         if np.abs(step).max() < 1e-6:
             break
     if b[0] <= 0:

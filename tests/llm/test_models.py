@@ -115,6 +115,23 @@ def test_training_rows_are_bounded_and_places_are_those_of_the_text(spark):
     assert [text[a:b].lower() for a, b in spans()] == words
 
 
+def test_logistic_fit_of_classes_that_are_well_apart():
+    """Where a whole Newton step overshoots the fit still ends at the likelihood's maximum."""
+    rng = np.random.default_rng(3)
+    for share, high, low, spread in ((0.1, 8.0, -3.5, 0.01), (0.1, 8.0, -3.5, 1.5), (0.02, 2.0, 0.0, 0.5), (0.5, 1.0, 0.0, 3.0)):
+        y = (rng.random(15_000) < share).astype(float)
+        x = np.clip(np.where(y == 1, high, low) + spread * rng.standard_normal(15_000), -8, 8)
+        n = np.ones(15_000)
+        slope, offset = toxicity._logistic(x, y, n, share)
+        assert slope > 0 and 1 / (1 + np.exp(-(offset + slope * high))) > share > 1 / (1 + np.exp(-(offset + slope * low)))
+        at = slope * x + offset
+        best = (np.logaddexp(0, at) - y * at).sum()
+        for ds, do in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)):
+            at = (slope + ds) * x + offset + do
+            assert (np.logaddexp(0, at) - y * at).sum() > best - 0.5
+    assert toxicity._logistic(np.zeros(0), np.zeros(0), np.zeros(0), 0.3)[0] == 0.0
+
+
 def test_toxicity_edge_rows(spark):
     rows = [(1, "some vile words", "x"), (2, None, "x"), (3, "", "x"), (1, "some vile words", "x"), (None, "vile " * 20_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
