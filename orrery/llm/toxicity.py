@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches, written
+from orrery.llm.common import map_batches, slices, written
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -345,6 +345,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, model = _scorer(shared), shared.value[1]
         for batch in batches:
-            yield batch.filter(pa.array([model.score(*scorer.best(t)[:2]) < limit for t in batch.column(place).to_pylist()], pa.bool_()))
+            for some in slices(batch):
+                yield some.filter(pa.array([model.score(*scorer.best(t)[:2]) < limit for t in some.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
