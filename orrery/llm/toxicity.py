@@ -52,10 +52,21 @@ def words_of(text: str | None) -> list[str]:
     return places(text)[0]
 
 
-def buckets(word: str) -> list[int]:
+def beginnings(word: str) -> list[int]:
+    """The buckets of a word's beginnings."""
+    if len(word) < PREFIXES[0]:
+        return []
+    crc = zlib.crc32(word[: PREFIXES[0]].encode())
+    found = [crc % BUCKETS]
+    for c in word[PREFIXES[0] : PREFIXES[-1]]:
+        crc = zlib.crc32(c.encode(), crc)
+        found.append(crc % BUCKETS)
+    return found
+
+
+def buckets(word: str) -> set[int]:
     """Of the whole word and its beginnings."""
-    forms = {"=" + word} | {word[:k] for k in PREFIXES if len(word) >= k}
-    return sorted({zlib.crc32(f.encode()) % BUCKETS for f in forms})
+    return {zlib.crc32(b"=" + word.encode()) % BUCKETS, *beginnings(word)}
 
 
 def bound(docs: np.ndarray, tokens: np.ndarray, n_docs: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
@@ -128,24 +139,41 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float = LEAST_DRIFT) -> li
     return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
+class Gains(dict):
+    """The best weight of each word's buckets; so many words, and so many of their beginnings, are remembered."""
+
+    def __init__(self, weights: np.ndarray, remembered: int):
+        at = np.flatnonzero(weights)
+        self.weights, self.remembered = dict(zip(at.tolist(), weights[at].tolist())), remembered
+        self.starts: dict[str, float] = {}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.remembered:
+            self.clear()
+        gain = self[word] = max(self.weights.get(zlib.crc32(b"=" + word.encode()) % BUCKETS, 0.0), self._of_start(word[: PREFIXES[-1]]))
+        return gain
+
+    def _of_start(self, start: str) -> float:
+        gain = self.starts.get(start)
+        if gain is None:
+            if len(self.starts) >= self.remembered:
+                self.starts.clear()
+            gain = self.starts[start] = max((self.weights.get(b, 0.0) for b in beginnings(start)), default=0.0)
+        return gain
+
+
 class Scorer:
     """Scores texts with one table of weights; remembers the weights of words."""
 
     def __init__(self, weights: np.ndarray, drift: float, remembered: int = 150_000):
-        self.weights, self.drift, self.remembered, self.known = weights, drift, remembered, {}
+        self.weights, self.drift, self.known = weights, drift, Gains(weights, remembered)
 
     def gain(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            w = float(self.weights[buckets(word)].max())
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[word] = w
-        return w
+        return self.known[word]
 
     def gains(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        return np.fromiter(map(self.gain, words), np.float64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
 
     def best(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
         """The best segment's score, the number of tokens, and all segments."""
@@ -184,7 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n_docs, n_tokens = [0, 0], [0, 0]
         for text, toxic in zip(*columns):
             words, c = words_of(text), int(toxic == 1)
-            tokens = Counter(b for w, n in Counter(words).items() for b in buckets(w) * n)
+            tokens: Counter = Counter()
+            for word, n in Counter(words).items():
+                for b in buckets(word):
+                    tokens[b] += n
             at = np.fromiter(tokens.keys(), np.int64, len(tokens))
             docs_of[c, at] += 1
             tokens_of[c, at] += np.fromiter(tokens.values(), np.int64, len(tokens))
