@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, licenses, linededup, pii, quality, secrets, simhash, tokenfile, toxicity
+from orrery.llm import bpe, decontam, divergence, lexical, licenses, linededup, minhash, pii, quality, secrets, simhash, tokenfile, toxicity
 from orrery.llm.common import shared_folder, table
 
 #: The vocabulary file that the token queries use.
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_folder(spark))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -67,8 +79,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_minhash": op13_minhash,
 }
 ORACLES: dict[str, str] = {
     "op7_quality": quality.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
+    "op11_ranked_search": lexical.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_minhash": minhash.ORACLE,
 }
