@@ -60,11 +60,12 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def numbers(blob: bytes) -> np.ndarray:
     """What ``varints`` has encoded."""
     raw = np.frombuffer(blob, np.uint8)
-    last = raw < 128
-    ends = np.flatnonzero(last)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(raw < 128)
     starts = np.r_[0, ends[:-1] + 1]
     shift = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((raw & 127).astype(np.uint64) << (shift * 7).astype(np.uint64), starts).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << (shift * 7).astype(np.uint64), starts).astype(np.int64)
 
 
 class _Shard:

@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets do. A text without words, or a null one, has an empty set and links
     with nothing: its component is its own id. A null doc_id never is a
     component's id, unless all of its members' ids are null; where ids repeat,
-    all rows of the smallest id of a component are kept. Texts of any length are
+    all rows with a component's id are kept. Texts of any length are
     taken whole; an empty table gives an empty one. Other columns are left out,
     whatever their names.
     """
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = _roots(docs, marked, id_col, text_col, shingle, numerator)
     found = marked.select("doc_id", "n", "name").join(roots.select("name", "component_id"), "name", "left")
     component = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _roots(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shingle: int, numerator: int) -> DataFrame:
