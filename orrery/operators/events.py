@@ -20,7 +20,11 @@ def split(events: DataFrame, actions: list[str] = ACTIONS, entities: list[str] =
     return events.where(ok), events.where(~ok)
 
 
+def filled(events: DataFrame) -> DataFrame:
+    """Events with ``metadata`` and ``occurred_at`` where they had none."""
+    return events.withColumn("metadata", F.coalesce("metadata", F.lit("{}"))).withColumn("occurred_at", F.coalesce(F.col("occurred_at").cast("timestamp"), F.current_timestamp()))
+
+
 def ingested(events: DataFrame, actions: list[str] = ACTIONS, entities: list[str] = ENTITIES) -> DataFrame:
     """Valid events with ``metadata`` and ``occurred_at`` filled in."""
-    valid, _ = split(events, actions, entities)
-    return valid.withColumn("metadata", F.coalesce("metadata", F.lit("{}"))).withColumn("occurred_at", F.coalesce("occurred_at", F.current_timestamp()))
+    return filled(split(events, actions, entities)[0])

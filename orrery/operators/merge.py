@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import written
+from orrery.sources.snapshots import Transaction
+
 REPLACED = ["title", "price", "currency", "brand", "category", "is_soldout", "image_url", "shop_id", "gender"]
 
 
@@ -82,16 +85,24 @@ def batch_totals(items: DataFrame, batch: str) -> DataFrame:
 
 
 def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Numbers rows that have no id from the largest one on.
+    """Numbers rows that have no id from the largest one on, without gaps, in the order given.
 
-    Numbers come from the counts of range partitions, not from one sorted task.
+    Rows are dealt by range, each task knows its rows' places from its own sort,
+    and both are written once: what a range holds is never worked out a second
+    time. Ranges' sizes then give every range its first number. Rows that are
+    equal in ``order`` stand by a hash of all their columns, so that many of them
+    are more than one range. A null sorts first.
     """
+    tie = F.xxhash64(*rows.columns)
+    keys = [*(F.asc_nulls_first(c) for c in order), tie.asc()]
+    fresh = rows.where(F.col(id_col).isNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    fresh = written(fresh.withColumn("__at", F.monotonically_increasing_id()), "numbered")  # the task's number times 2^33, and the row's place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = fresh.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__size"))  # a row for each task
     base = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__base"))
-    fresh = rows.where(F.col(id_col).isNull()).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    fresh = fresh.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = fresh.groupBy("__part").agg(F.count("*").alias("__size"))
-    starts = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start"))
-    numbered = fresh.join(F.broadcast(starts), "__part").crossJoin(F.broadcast(base)).withColumn(id_col, (F.col("__base") + F.col("__start") + F.col("__n")).cast(rows.schema[id_col].dataType))
+    starts = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__start")).crossJoin(base)
+    numbered = fresh.join(F.broadcast(starts), part == F.col("__part"))
+    numbered = numbered.withColumn(id_col, (F.col("__base") + F.col("__start") + place + 1).cast(rows.schema[id_col].dataType))
     return rows.where(F.col(id_col).isNotNull()).unionByName(numbered.select(rows.columns))
 
 
@@ -145,3 +156,18 @@ def shop_ids(items: DataFrame, shops: DataFrame, name: str = "shop") -> DataFram
     found = items.join(known, items[name] == known["__name"], "left").crossJoin(F.broadcast(unknown))
     shop_id = F.coalesce("__id", "__unknown", F.raise_error(F.lit("the shop UNKNOWN is missing")).cast("int"))
     return found.withColumn("shop_id", shop_id).drop("__id", "__name", "__unknown")
+
+
+def remove_users(tables: Transaction, gone: DataFrame, users: str = "users", saves: str = "saves", events: str = "events") -> None:
+    """Users whose ``id`` is in ``gone`` go with their saves; their events stay without a user. All in one commit."""
+    tables.delete(users, gone)
+    lost = gone.select(F.col("id").alias("user_id")).distinct()
+    tables.delete(saves, tables.read(saves).join(lost, "user_id", "left_semi"))
+    left = tables.read(events).join(lost, "user_id", "left_semi")
+    tables.upsert(events, left.withColumn("user_id", F.lit(None).cast(left.schema["user_id"].dataType)))
+
+
+def merge_products(tables: Transaction, incoming: DataFrame, seq: str | None = None, refresh_title_vector: bool = False, table: str = "products") -> None:
+    """``upsert_products`` on the rows that ``incoming`` names: what is written is as large as the batch, not as the catalog."""
+    existing = tables.read(table, incoming)
+    tables.upsert(table, upsert_products(existing, incoming, refresh_title_vector, seq))

@@ -16,6 +16,7 @@ from orrery.schemas import seed_shops
 from orrery.sources import html
 from orrery.sources.captured import item_records, listing_items, table
 from orrery.sources.shared import new_folder
+from orrery.sources.snapshots import Store
 from orrery.streaming import ingest
 
 QUERIES: dict = {}
@@ -211,10 +212,11 @@ def search_notices(spark: SparkSession, sf: str) -> DataFrame:
 # Upserts, deletes and references
 
 
-@query("""SELECT s_name, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_name) AS id FROM supplier""")
+@query("""SELECT l_orderkey, l_linenumber, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS id FROM lineitem""")
 def new_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "supplier").select(F.lit(None).cast("long").alias("id"), "s_name")
-    return merge.with_new_ids(rows, table(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", ["s_name"])
+    rows = table(spark, sf, "lineitem").select(F.lit(None).cast("long").alias("id"), "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
+    out = merge.with_new_ids(rows, table(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
+    return out.select("l_orderkey", "l_linenumber", "id")
 
 
 @query("""
@@ -457,18 +459,21 @@ def brand_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        "event_id", F.col("event_type").alias("action"), F.lit("SITE").alias("entity_type"), F.when(F.col("event_type") != "view", F.col("props")).alias("metadata"), F.col("ts").alias("occurred_at")
-    )
+        "event_id", F.col("event_type").alias("action"), F.lit("SITE").alias("entity_type"), F.when(F.col("event_type") != "view", F.col("props")).alias("metadata"), F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("occurred_at"),
+    )
 
 
 EVENTS = """SELECT event_id, event_type AS action, CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS k,
-CASE WHEN event_type <> 'view' THEN props ELSE '{}' END AS metadata FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view')"""
+CASE WHEN event_type <> 'view' THEN props ELSE '{}' END AS metadata, CASE WHEN event_id % 3 > 0 THEN strftime(ts, '%Y-%m-%d') ELSE 'now' END AS occurred_on FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view')"""
+
+def occurred_on() -> Column:
+    """The day of an event, or that it was given the time of its ingest, which is later than any in the table."""
+    return F.when(F.col("occurred_at") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR"), "now").otherwise(day("occurred_at")).alias("occurred_on")
 
 
 @query(EVENTS)
 def event_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = event_rows(spark, sf).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
-    return events.ingested(rows, ACTIONS).select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata")
+    return events.ingested(event_rows(spark, sf), ACTIONS).select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata", occurred_on())
 
 
 @query("SELECT event_id, event_type AS action FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')")
@@ -476,13 +481,22 @@ def event_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return events.split(event_rows(spark, sf), ACTIONS)[1].select("event_id", "action")
 
 
-@query(EVENTS)
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+def streamed_events(spark: SparkSession, sf: str, part: str) -> DataFrame:
     folder = new_folder(spark, "stream")
     event_rows(spark, sf).repartition(4).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
-    ingest.append(ingest.event_stream(spark, f"{folder}/in", schema, ACTIONS, events.ENTITIES, 2), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out").select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata")
+    ingest.split_events(spark, f"{folder}/in", schema, f"{folder}/out", f"{folder}/checkpoint", ACTIONS, events.ENTITIES, 2).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/{part}")
+
+
+@query(EVENTS)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return streamed_events(spark, sf, "valid").select("event_id", "action", F.get_json_object("metadata", "$.k").alias("k"), "metadata", occurred_on())
+
+
+@query("SELECT event_id, event_type AS action FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')")
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return streamed_events(spark, sf, "rejected").select("event_id", "action")
 
 
 LISTING = """SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_name AS title, p_retailprice AS price, p_brand AS brand, p_size > 25 AS is_soldout FROM part"""
@@ -508,10 +522,50 @@ def listing_records(spark: SparkSession, sf: str) -> DataFrame:
 def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "catalog")
     listing_pages(spark, sf).repartition(4).write.text(f"{folder}/in")
-    q = ingest.catalog_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", 2)
-    q.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out/version={q.lastProgress['batchId']}")
-    return out.select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
+    store = Store(spark, f"{folder}/store")
+    ingest.catalog_stream(spark, f"{folder}/in", store, f"{folder}/checkpoint", files_a_batch=2, buckets=8).awaitTermination()
+    return store.read("products").select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
+
+
+@query("""
+SELECT coalesce(p.k, o.k) AS source_url, coalesce(o.title, p.title) AS title, coalesce(o.price, p.price) AS price, coalesce(p.created_on, o.created_on) AS created_on
+FROM (SELECT p_partkey AS k, p_name AS title, p_retailprice AS price, strftime(DATE '2024-01-01' + p_size, '%Y-%m-%d') AS created_on FROM part) p
+FULL JOIN (SELECT l_partkey * 2 AS k, arg_max(l_returnflag, s) AS title, arg_max(l_extendedprice, s) AS price, strftime(arg_min(l_shipdate, s), '%Y-%m-%d') AS created_on
+  FROM (SELECT *, l_linenumber * 100000000 + l_orderkey AS s FROM lineitem WHERE l_linenumber <= 3) GROUP BY l_partkey) o ON p.k = o.k""")
+def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog made from parts, then three batches of lines merged into it, each in a commit of its own."""
+    store = Store(spark, new_folder(spark, "catalog"))
+    columns = ["source_url", "title", "price", "created_at"]
+    with store.transaction() as t:
+        t.create("products", products(spark, sf).withColumn("source_url", F.col("product_id")).select(columns), ["source_url"], 8)
+    lines = table(spark, sf, "lineitem").select(
+        (F.col("l_partkey") * 2).alias("source_url"), F.col("l_returnflag").alias("title"), F.col("l_extendedprice").cast(N.PRICE).alias("price"), F.col("l_shipdate").cast("date").alias("created_at"),
+        "l_linenumber", F.col("l_orderkey").alias("seq"),
+    )
+    for number in (1, 2, 3):
+        with store.transaction(("lines", number)) as t:
+            merge.merge_products(t, lines.where(F.col("l_linenumber") == number).drop("l_linenumber"), seq="seq")
+    return store.read("products").select("source_url", "title", F.col("price").cast("double").alias("price"), day("created_at").alias("created_on"))
+
+
+@query("""
+WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+SELECT 'user' AS kind, c_custkey AS id, c_custkey::VARCHAR AS user_id FROM customer WHERE c_custkey NOT IN (FROM gone)
+UNION ALL SELECT 'save', o_orderkey, o_custkey::VARCHAR FROM orders WHERE o_custkey NOT IN (FROM gone)
+UNION ALL SELECT 'event', event_id, CASE WHEN user_id NOT IN (FROM gone) THEN user_id::VARCHAR END FROM events""")
+def user_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """Users with their saves and events in one store; some users go, in one commit."""
+    store = Store(spark, new_folder(spark, "users"))
+    customers = table(spark, sf, "customer")
+    with store.transaction() as t:
+        t.create("users", customers.select(F.col("c_custkey").alias("id")), ["id"], 4)
+        t.create("saves", table(spark, sf, "orders").select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").alias("user_id")), ["product_id", "user_id"], 4)
+        t.create("events", table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id"), ["id"], 4)
+    with store.transaction() as t:
+        merge.remove_users(t, customers.where("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
+    kinds = [("user", "users", "id", "id"), ("save", "saves", "product_id", "user_id"), ("event", "events", "id", "user_id")]
+    parts = [store.read(name).select(F.lit(kind).alias("kind"), F.col(a).cast("long").alias("id"), F.col(b).cast("string").alias("user_id")) for kind, name, a, b in kinds]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from orrery.operators.events import is_valid
-from orrery.operators.merge import upsert_products
+from orrery.operators.events import filled, is_valid, split
+from orrery.operators.merge import merge_products
 from orrery.sources.captured import item_records, listing_items
+from orrery.sources.snapshots import Store
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, actions: list[str], entities: list[str], files_a_batch: int = 100) -> DataFrame:
-    """Valid events of the files that arrive under ``path``."""
+    """Valid events of the files that arrive under ``path``, filled in as the batch form does."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
-    return raw.where(is_valid(actions, entities)).withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
+    return filled(raw.where(is_valid(actions, entities)))
 
 
 def append(stream: DataFrame, to: str, checkpoint: str) -> StreamingQuery:
@@ -23,25 +24,54 @@ def append(stream: DataFrame, to: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to)
 
 
-def catalog_stream(spark: SparkSession, path: str, to: str, checkpoint: str, files_a_batch: int = 10) -> StreamingQuery:
-    """Listing pages (a JSON document a file line) merged into a catalog of versions under ``to``.
+def split_events(spark: SparkSession, path: str, schema: StructType, to: str, checkpoint: str, actions: list[str], entities: list[str], files_a_batch: int = 100) -> StreamingQuery:
+    """Valid events to ``to``/valid and the others, as they came, to ``to``/rejected.
 
-    A batch writes the next version whole, named by its number, so that one that is run again replaces itself.
-    Rows count in the order of their files' times and names, of the lines' texts and of their places in a line, which
-    is the same in a batch that is run again.
-    A failing batch fails the query, and its files are read again after a restart.
+    Each batch writes a folder of its own in both, so that one that is run again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        valid, rejected = split(batch, actions, entities)
+        filled(valid).write.mode("overwrite").parquet(f"{to}/valid/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{to}/rejected/batch={number}")
+
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+FAILURES = "stream string, batch long, error string"
+
+
+def catalog_stream(spark: SparkSession, path: str, store: Store, checkpoint: str, name: str = "listings", files_a_batch: int = 10, buckets: int = 64, skip_failed: bool = False) -> StreamingQuery:
+    """Listing pages (a JSON document a file line) merged into the table ``products`` of ``store``.
+
+    A batch is one commit under the stream's ``name`` and its own number, so that one that is run again changes nothing;
+    what it writes is as large as the batch. Rows count in the order of their files' times and names, of the lines' texts
+    and of their places in a line, which is the same in a batch that is run again.
+    A failing batch fails the query, and its files are read again after a restart; with ``skip_failed`` it is noted in
+    the table ``failed_batches`` instead, and the stream goes on.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         pages = batch.select(F.col("value").alias("body"), F.struct("changed", "file", "value").alias("page"))
         incoming = item_records(listing_items(pages), keep=["page", "at"]).withColumn("seq", F.struct("page", "at"))
-        items, incoming = incoming.drop("page", "at", "seq"), incoming.drop("page", "at")
-        if number:
-            upserted = upsert_products(batch.sparkSession.read.parquet(f"{to}/version={number - 1}"), incoming, seq="seq")
-        else:
-            upserted = upsert_products(items.limit(0), incoming, seq="seq")
-        upserted.write.mode("overwrite").parquet(f"{to}/version={number}")
+        with store.transaction((name, number)) as t:
+            if t.done_before:
+                return
+            if "products" not in t.tables:
+                t.create("products", incoming.drop("page", "at", "seq").limit(0), ["source_url"], buckets)
+            merge_products(t, incoming.drop("page", "at"), seq="seq")
+
+    def noting(batch: DataFrame, number: int) -> None:
+        try:
+            merge(batch, number)
+        except Exception as e:  # whatever a batch raises: the next one must come
+            with store.transaction((name, number)) as t:
+                row = batch.sparkSession.createDataFrame([(name, number, str(e)[:2000])], FAILURES)
+                if "failed_batches" not in t.tables:
+                    t.create("failed_batches", row.limit(0), ["stream", "batch"], 1)
+                t.upsert("failed_batches", row)
 
     lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path)
     lines = lines.select("value", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
-    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(noting if skip_failed else merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 from orrery.operators import brands, events, federated, feed, merge, search
+from orrery.sources.snapshots import Store
 from orrery.streaming import ingest
 
 DAY = dt.date(2024, 1, 1)
@@ -113,8 +114,9 @@ def test_last_line_of_the_latest_file_wins(spark, tmp_path):
     for i, name in enumerate("bac"):
         (tmp_path / f"in/{name}").write_text(page % (f"first {name}", f"last {name}"))
         os.utime(tmp_path / f"in/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
-    ingest.catalog_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 10).awaitTermination()
-    assert [r["title"] for r in spark.read.parquet(str(tmp_path / "out/version=0")).collect()] == ["last c"]
+    store = Store(spark, str(tmp_path / "out"))
+    ingest.catalog_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination()
+    assert [r["title"] for r in store.read("products").collect()] == ["last c"]
 
 
 def test_aligned_lists(spark):
@@ -163,13 +165,53 @@ def test_events(spark, tmp_path):
 def test_catalog_stream_restarts(spark, tmp_path):
     page = '{"data": {"list": [{"goodsLinkUrl": "%s", "goodsName": "%s", "price": "1,000"}, {"goodsName": "no link"}]}}'
     (tmp_path / "in").mkdir()
-    run = lambda: ingest.catalog_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 1).awaitTermination()
+    store = Store(spark, str(tmp_path / "out"))
+    run = lambda cp="cp", **more: ingest.catalog_stream(spark, str(tmp_path / "in"), store, str(tmp_path / cp), files_a_batch=1, **more).awaitTermination()
     (tmp_path / "in/a").write_text(page % ("u", "first"))
     run()
     (tmp_path / "in/b").write_text(page % ("u", "second") + "\n" + page % ("w", "other"))
     run()
     run()
-    assert sorted((r["source_url"], r["title"]) for r in spark.read.parquet(str(tmp_path / "out/version=1")).collect()) == [("u", "second"), ("w", "other")]
+    rows = lambda: sorted((r["source_url"], r["title"]) for r in store.read("products").collect())
+    assert rows() == [("u", "second"), ("w", "other")] and store.versions() == [1, 2]
+    run("lost")  # a checkpoint that was lost: the batches are known by name and number
+    assert rows() == [("u", "second"), ("w", "other")] and store.versions() == [1, 2]
+
+
+def test_failed_batches_are_noted_or_stop_the_stream(spark, tmp_path, monkeypatch):
+    page = '{"data": {"list": [{"goodsLinkUrl": "%s", "goodsName": "n", "price": "1"}]}}'
+    (tmp_path / "in").mkdir()
+    for i, name in enumerate("abc"):
+        (tmp_path / f"in/{name}").write_text(page % name)
+        os.utime(tmp_path / f"in/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    merge_products = ingest.merge_products
+
+    def failing(t, incoming, **more):
+        if incoming.where("source_url = 'b'").count():
+            raise RuntimeError("no b today")
+        merge_products(t, incoming, **more)
+
+    monkeypatch.setattr(ingest, "merge_products", failing)
+    store = Store(spark, str(tmp_path / "out"))
+    run = lambda **more: ingest.catalog_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"), files_a_batch=1, **more).awaitTermination()
+    with pytest.raises(Exception, match="no b today"):
+        run()
+    assert [r["source_url"] for r in store.read("products").collect()] == ["a"]
+    run(skip_failed=True)  # goes on at the failed batch
+    assert sorted(r["source_url"] for r in store.read("products").collect()) == ["a", "c"]
+    noted = store.read("failed_batches").collect()
+    assert [(r["stream"], r["batch"]) for r in noted] == [("listings", 1)] and "no b today" in noted[0]["error"]
+
+
+def test_split_stream_keeps_rejects(spark, tmp_path):
+    kind = "event_id int, action string, entity_type string, metadata string, occurred_at timestamp"
+    df = spark.createDataFrame([(1, "LIKE", "SITE", None, None), (2, "BUY", "SITE", "{}", None), (3, None, None, None, None)], kind)
+    df.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart adds nothing
+        ingest.split_events(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp"), events.ACTIONS, events.ENTITIES).awaitTermination()
+        good, bad = spark.read.parquet(str(tmp_path / "out/valid")).collect(), spark.read.parquet(str(tmp_path / "out/rejected")).collect()
+        assert [(r["event_id"], r["metadata"], r["occurred_at"] is None) for r in good] == [(1, "{}", False)]
+        assert sorted((r["event_id"], r["occurred_at"] is None) for r in bad) == [(2, True), (3, True)]
 
 
 def test_federated(spark):
