@@ -102,17 +102,30 @@ def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, re
         known: dict[bytes, int] = {}
         for doc, text, place in zip(*columns):
             s = shingle_set(text, known, shingle)
-            yield doc, place, len(s), name_of(s), s[:listed].view(np.int64).tolist(), s[:retained].tobytes()
+            yield doc, place, len(s), name_of(s), s[:listed].view(np.int64).tolist(), (s[:retained] >> np.uint64(32)).astype(np.uint32).tobytes()
 
     place = F.xxhash64(F.coalesce(text_col, F.lit("")))
     return map_batches(docs.select(F.col(id_col).cast("long"), text_col, place), rows, "doc_id long, place long, n long, name string, first array<long>, sketch binary")
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """(first of its tree, other) for a symmetric matrix: links that connect what it connects."""
-    left, out = np.ones(len(near), bool), []
+def _forest(near: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what a symmetric matrix connects, without those within a block where there are two: another piece gives these."""
+    one = _trees(near & (block[:, None] == block[None, :]))
+    if block.min() == block.max():
+        return [(int(t), int(m)) for m, t in enumerate(one) if m != t]
+    # the blocks' trees are the nodes now, and what joins two of them is a link
+    tops, tree = np.unique(one, return_inverse=True)
+    joined = np.zeros((len(tops), len(tops)), bool)
+    a, b = np.nonzero(near & (block[:, None] != block[None, :]))
+    joined[tree[a], tree[b]] = True
+    return [(int(tops[t]), int(tops[m])) for m, t in enumerate(_trees(joined)) if m != t]
+
+
+def _trees(near: np.ndarray) -> np.ndarray:
+    """The first place that each place is connected with."""
+    out = np.full(len(near), -1)
     for first in range(len(near)):
-        if not left[first]:
+        if out[first] >= 0:
             continue
         reached, front = np.zeros(len(near), bool), np.array([first])
         reached[first] = True
@@ -120,8 +133,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
             grown = near[front].any(axis=0) & ~reached
             front = np.flatnonzero(grown)
             reached |= grown
-        left &= ~reached
-        out += [(first, int(m)) for m in np.flatnonzero(reached) if m != first]
+        out[reached] = first
     return out
 
 
@@ -145,65 +157,66 @@ def _shared(rows: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def candidates(names: list[str], sizes: np.ndarray, sketches: list[np.ndarray], retained: int = RETAINED, numerator: int = NUMERATOR, lost: float = LOST) -> list[tuple[str, str]]:
-    """Links of a spanning forest of the pairs whose union sketch lets them be links."""
-    least = [least_shared(k, numerator, lost) for k in range(retained + 1)]
-    common = _shared(sketches)
+def candidates(sizes: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, retained: int = RETAINED, numerator: int = NUMERATOR, lost: float = LOST) -> list[tuple[int, int]]:
+    """Links, by place, of a spanning forest of the pairs whose union sketch lets them be links; see ``_forest`` for blocks.
+
+    Sketches hold the upper halves of hashes. Two hashes of one sketch that share theirs count as one, and are made up for.
+    """
+    least = np.array([least_shared(k, numerator, lost) for k in range(retained + 1)])
     length = np.array([len(s) for s in sketches])
-    both = np.minimum(length[:, None] + length[None, :] - common, retained)  # hashes of the union's sketch
+    rows = [np.unique(s) for s in sketches]
+    again = length - [len(r) for r in rows]
+    common = _shared(rows) + again[:, None] + again[None, :]
+    both = np.clip(length[:, None] + length[None, :] - common, 0, retained)  # hashes of the union's sketch
     whole = (sizes[:, None] <= retained) & (sizes[None, :] <= retained)  # both sketches are whole sets: no estimate
     fits = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= numerator * np.maximum(sizes[:, None], sizes[None, :])
     exact = 100 * common >= numerator * (sizes[:, None] + sizes[None, :] - common)
-    near = np.where(whole, exact, np.array(least)[both] <= common) & fits
+    near = np.where(whole, exact, least[both] <= common) & fits
     # the overlap may lie beyond the union's sketch: pairs that pass so far are looked at closely
-    a, b = np.nonzero(np.triu(near & ~whole, 1))
+    a, b = np.nonzero(np.triu(near & ~whole & (again[:, None] + again[None, :] == 0), 1))
     if len(a):
-        _, ranks = np.unique(np.concatenate(sketches), return_inverse=True)
-        padded = np.full((len(sketches), retained), -1, np.int64)
-        padded[np.arange(retained)[None, :] < length[:, None]] = ranks
-        padded = np.where(padded < 0, len(ranks) + np.arange(retained)[None, :], padded)  # fills up with numbers larger than all others
+        padded = np.arange(1 << 33, (1 << 33) + retained)[None, :].repeat(len(rows), axis=0)  # fills up with numbers larger than all others
+        padded[np.arange(retained)[None, :] < length[:, None]] = np.concatenate(sketches)
         for at in range(0, len(a), PAIRS):
             i, j = a[at : at + PAIRS], b[at : at + PAIRS]
-            fill = padded[j]
-            fill = np.where(fill >= len(ranks), fill + retained, fill)  # so that fillings of two rows are never the same
-            union = np.sort(np.concatenate([padded[i], fill], axis=1).astype(np.int32), axis=1)
+            other = np.where(padded[j] >= 1 << 33, padded[j] + retained, padded[j])  # so that fillings of two rows are never the same
+            union = np.sort(np.concatenate([padded[i], other], axis=1), axis=1)
             twice = union[:, 1:] == union[:, :-1]
             rank = np.arange(1, 2 * retained)[None, :] - np.cumsum(twice, axis=1) + twice  # of the first of two equal ones, among the distinct
-            shared = (twice & (rank <= both[i, j][:, None])).sum(axis=1)
-            far = shared < np.array(least)[both[i, j]]
+            far = (twice & (rank <= both[i, j][:, None])).sum(axis=1) < least[both[i, j]]
             near[i[far], j[far]] = near[j[far], i[far]] = False
-    return [(names[x], names[y]) for x, y in _forest(near)]
+    return _forest(near, block)
 
 
-def linked(names: list[str], rows: list[np.ndarray], numerator: int = NUMERATOR) -> list[tuple[str, str]]:
-    """Links of a spanning forest of the pairs of whole sets that are links."""
+def linked(rows: list[np.ndarray], block: np.ndarray, numerator: int = NUMERATOR) -> list[tuple[int, int]]:
+    """Links, by place, of a spanning forest of the pairs of whole sets that are links; see ``_forest`` for blocks."""
     common, sizes = _shared(rows), np.array([len(r) for r in rows])
-    near = 100 * common >= numerator * (sizes[:, None] + sizes[None, :] - common)
-    return [(names[x], names[y]) for x, y in _forest(near)]
+    return _forest(100 * common >= numerator * (sizes[:, None] + sizes[None, :] - common), block)
 
 
 def _pieces(rows: DataFrame, key: list[str], blocks: Column, payload: list[str]) -> DataFrame:
-    """``rows`` dealt to the pieces of their ``key``: each pair of blocks, of which there are ``blocks``, is one."""
+    """``rows`` (with ``id``) dealt to the pieces of their ``key``: each pair of blocks, of which there are ``blocks``, is one."""
     rows = rows.withColumn("__blocks", blocks.cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("__blocks")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")
     # a row of block i goes to the pieces (i, j) and (j, i), one for each other block j
     dealt = F.when(F.col("__blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     )
-    return rows.select(*key, "name", *payload, F.explode(dealt).alias("__p")).select(*key, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"), "name", *payload)
+    return rows.select(*key, "id", own.alias("own"), *payload, F.explode(dealt).alias("__p")).select(*key, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"), "id", "own", *payload)
 
 
-def _by_piece(dealt: DataFrame, n_keys: int, links: Callable[[list[list]], list[tuple[str, str]]]) -> DataFrame:
-    """(a, b): ``links`` of the columns of each piece, the names first."""
-    keys, arrow = dealt.columns[: n_keys + 2], pa.schema([("a", pa.string()), ("b", pa.string())])
+def _by_piece(dealt: DataFrame, n_keys: int, links: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): ids of what ``links`` joins, by place, of the columns of each piece."""
+    keys = dealt.columns[: n_keys + 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
 
         def out():
-            pairs = links([list(c) for c in zip(*held)]) if len(held) > 1 else []
+            columns = list(zip(*held))
+            pairs = links(columns[1:]) if len(held) > 1 else []
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs)], schema=arrow)
+                yield pa.record_batch([pa.array([columns[0][p[i]] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for some in slices(batch):
@@ -215,34 +228,34 @@ def _by_piece(dealt: DataFrame, n_keys: int, links: Callable[[list[list]], list[
                     held.append(row)
         yield from out()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a string, b string")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def candidate_links(distinct: DataFrame, retained: int = RETAINED, numerator: int = NUMERATOR, block: int = BLOCK, lost: float = LOST) -> DataFrame:
-    """(a, b) between names of sets (name, n, first, sketch), connecting what pairs that may be links connect.
+    """(a, b) between ids of sets (id, n, first, sketch), connecting what pairs that may be links connect.
 
     Lists are kept by size: a set of size class c is in the lists of c and, as a
     guest, of c + 1, as those of a link are of one class or of two that follow
-    each other.
+    each other. Only lists in which sets meet carry sketches.
     """
     size_class = F.floor(F.ln("n") / F.lit(1.0001 * math.log(100 / numerator))).cast("int")  # a little wider than the sizes of a link can be apart
-    heads = distinct.where("n > 0").select("name", size_class.alias("class"), F.explode("first").alias("value"))
-    lists = F.array(F.struct(F.col("class").alias("class"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("class"), F.lit(True).alias("guest")))
+    heads = distinct.where("n > 0").select("id", size_class.alias("class"), F.explode("first").alias("value"))
     common = heads.groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1").select("value")
-    listed_rows = written(heads.join(common, "value").select("value", "name", F.explode(lists).alias("x")).select("value", "name", "x.*"), "lists")
-    sizes = listed_rows.groupBy("value", "class").agg(F.count("*").alias("rows"), F.count_if(~F.col("guest")).alias("own")).where("rows > 1 and own > 0")
-    rows = listed_rows.join(sizes, ["value", "class"]).join(distinct.select("name", "n", "sketch"), "name")
+    lists = F.array(F.struct(F.col("class").alias("class"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("class"), F.lit(True).alias("guest")))
+    listed = written(heads.join(common, "value").select("value", "id", F.explode(lists).alias("x")).select("value", "id", "x.*"), "lists")
+    sizes = listed.groupBy("value", "class").agg(F.count("*").alias("rows"), F.count_if(~F.col("guest")).alias("hosts")).where("rows > 1 and hosts > 0")
+    rows = listed.join(sizes, ["value", "class"]).join(distinct.select("id", "n", "sketch"), "id")
     dealt = _pieces(rows, ["value", "class"], F.ceil(F.col("rows") / F.lit(block)), ["n", "sketch"])
 
-    def links(columns: list[list]) -> list[tuple[str, str]]:
-        names, sizes, sketches = columns
-        return candidates(names, np.array(sizes), [np.frombuffer(s, np.uint64) for s in sketches], retained, numerator, lost)
+    def links(columns: list[list]) -> list[tuple[int, int]]:
+        own, sizes, sketches = columns
+        return candidates(np.array(sizes), [np.frombuffer(s, np.uint32) for s in sketches], np.array(own), retained, numerator, lost)
 
     return _by_piece(dealt, 2, links)
 
 
 def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col: str, shingle: int = SHINGLE, numerator: int = NUMERATOR, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b) between names, connecting what links between whole sets connect; ``groups`` are (name, root, doc_id, place, n).
+    """(a, b) between ids, connecting what links between whole sets connect; ``groups`` are (id, name, root, doc_id, place, n).
 
     The sets are made again from the texts of one row of each name. A set takes part once, however many rows there are of it.
     """
@@ -255,13 +268,14 @@ def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col
 
     texts = without(docs, written(groups.select("doc_id", "place"), "wanted"), keys, inside=True).select(text_col)
     whole = map_batches(texts, rows, "name string, hashes binary").dropDuplicates(["name"])
-    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes))).alias("blocks"))
-    held = whole.join(groups.select("name", "root"), "name").join(sizes, "root")
-    dealt = _pieces(held, ["root"], F.col("blocks"), ["hashes"])
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes)))
+    large = groups.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    held = whole.join(groups.select("id", "name", "root"), "name").join(large, "root", "left")
+    dealt = _pieces(held, ["root"], F.coalesce("blocks", F.lit(1)), ["hashes"])
 
-    def links(columns: list[list]) -> list[tuple[str, str]]:
-        names, hashes = columns
-        return linked(names, [np.frombuffer(h, np.uint64) for h in hashes], numerator)
+    def links(columns: list[list]) -> list[tuple[int, int]]:
+        own, hashes = columns
+        return linked([np.frombuffer(h, np.uint64) for h in hashes], np.array(own), numerator)
 
     return _by_piece(dealt, 1, links)
 
@@ -288,14 +302,14 @@ def _roots(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shing
     """(name, root, component_id) of the sets that other rows share or are linked with."""
     of = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place")))
     distinct = marked.where("n > 0").groupBy("name").agg(of.alias("of"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "first", "sketch")))
-    distinct = written(distinct.select("name", "of.doc_id", "of.place", "rows", "n", "first", "sketch"), "distinct")
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "name", "of.doc_id", "of.place", "rows", "n", "first", "sketch"), "distinct")
     near = components(candidate_links(distinct, numerator=numerator))
-    groups = written(near.select(F.col("node").alias("name"), "root").join(distinct.select("name", "doc_id", "place", "n"), "name"), "groups")
+    groups = written(near.select(F.col("node").alias("id"), "root").join(distinct.select("id", "name", "doc_id", "place", "n"), "id"), "groups")
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.coalesce(text_col, F.lit("")))]
     wanted = groups.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     tied = components(exact_links(wanted, docs, keys, text_col, shingle, numerator))
-    shared = distinct.join(tied, distinct["name"] == tied["node"], "left").where("rows > 1 or root is not null")
-    shared = written(shared.select("name", F.coalesce("root", "name").alias("root"), "doc_id"), "shared")
+    shared = distinct.join(tied, distinct["id"] == tied["node"], "left").where("rows > 1 or root is not null")
+    shared = written(shared.select("name", F.coalesce("root", "id").alias("root"), "doc_id"), "shared")
     least = shared.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return shared.join(least, "root").select("name", "root", "component_id")
 

@@ -225,18 +225,32 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in minhash.near_duplicates(documents(spark, [(3, None, "", "")])).collect()] == [(3, 0, 3, True)]
 
 
-def test_candidates_lose_no_link_and_drop_what_shares_a_passage():
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_candidates_lose_no_link_and_drop_what_shares_a_passage(blocks):
     rng = random.Random(8)
     base = [f"b{i}" for i in range(500)]
     close = [minhash.shingle_set(" ".join(edited(rng, base, 0.02))) for _ in range(60)]
     apart = [minhash.shingle_set(" ".join(base[:120] + [f"{i}z{j}" for j in range(380)])) for i in range(60)]
     rows = close + apart
-    names = [str(i) for i in range(len(rows))]
-    joined = minhash.candidates(names, np.array([len(r) for r in rows]), [r[: minhash.RETAINED] for r in rows])
-    assert all(int(a) < 60 and int(b) < 60 for a, b in joined)
-    exact = minhash.linked(names, rows)
-    ends = lambda links: {x for p in links for x in p}
-    assert ends(exact) <= ends(joined) and len(exact) > 30
+    block = np.arange(len(rows)) % blocks
+    sketches = [(r[: minhash.RETAINED] >> np.uint64(32)).astype(np.uint32) for r in rows]
+    joined = minhash.candidates(np.array([len(r) for r in rows]), sketches, block)
+    assert all(a < 60 and b < 60 for a, b in joined)
+    exact = minhash.linked(rows, block)
+    if blocks == 1:
+        assert {x for p in exact for x in p} <= {x for p in joined for x in p} and len(exact) > 30
+    else:  # what hangs together within a block isn't said again
+        assert 0 < len(joined) < 30
+
+
+def test_hashes_with_equal_halves_lose_no_link():
+    """Two hashes of a sketch that share their upper half count as one there."""
+    a = np.arange(1, 41, dtype=np.uint64) << np.uint64(32)
+    x = np.sort(np.r_[a, a[:6] + np.uint64(1)])
+    y = x[:-4]
+    sketches = [(r >> np.uint64(32)).astype(np.uint32) for r in (x, y)]
+    assert minhash.candidates(np.array([len(x), len(y)]), sketches, np.zeros(2, int)) == [(0, 1)]
+    assert minhash.linked([x, y], np.zeros(2, int)) == [(0, 1)]
 
 
 def test_bound_of_sketches():
