@@ -70,6 +70,9 @@ RULES = {
     "pem": (("-----begin ",), re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"), _is_pem),
 }
 
+#: Kind -> what a match's first part is a run of, and what must stand after the run: where it doesn't, no keyword in the run is one.
+RUNS = {"jwt": (re.compile("[A-Za-z0-9_-]*"), re.compile(r"\.[A-Za-z0-9_-]+\."))}
+
 _AUTOMATON: list = []
 
 
@@ -100,6 +103,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if start < passed[kind]:
             continue
         _, pattern, holds = RULES[kind]
+        if kind in RUNS:
+            run, after = RUNS[kind]
+            end = run.match(text, start).end()
+            if not after.match(text, end):
+                passed[kind] = end  # each run is read once, however many keywords it holds
+                continue
         if m := pattern.match(text, start):
             passed[kind] = m.end()
             if holds(m):
@@ -115,8 +124,9 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row.
 
-    A null or empty text has no spans; repeated rows are scanned each; other
-    columns are left out, whatever their names.
+    A null or empty text has no spans; repeated rows are scanned each; an empty
+    table gives an empty one. Texts are scanned whole, in time that follows their
+    length. Other columns are left out, whatever their names.
     """
 
     def rows(columns) -> Iterator[tuple]:

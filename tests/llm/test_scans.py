@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -113,6 +114,38 @@ def test_iban_stays_valid(spark):
     assert got[2] is None and all(mod(g) == 1 and g != v and re.sub("[0-9]", "0", g) == re.sub("[0-9]", "0", v) for g, v in zip(got[:2], values))
 
 
+def test_one_number_in_many_writings_is_one(spark):
+    """Phones, dates and addresses are linked however they are written; codes of one, two and three digits."""
+    groups = [
+        ["+1 555 223 4567", "+15552234567", "+1 (555) 223-4567", "001 555 223 4567", "(555) 223-4567", "555-223-4567", "1-555-223-4567", "555.223.4567"],
+        ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "0044 20 7946 0958"],
+        ["+353 1 234 5678", "+35312345678"],
+        ["+7 495 123 45 67", "+74951234567"],
+    ]
+    rows = [(g, v) for g, vs in enumerate(groups) for v in vs]
+    got = spark.createDataFrame([(i, f"call {v}, or") for i, (_, v) in enumerate(rows)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(got, KEY).collect()}
+    cores: dict[int, set] = {}
+    for i, (g, v) in enumerate(rows):
+        text = got[i]["text"].removeprefix("call ").removesuffix(", or")
+        assert got[i]["n_found"] == 1 and text != v and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", v), (v, text)
+        d = re.sub(r"\(0\)|[^0-9]", "", text) if "(0)" in v else re.sub("[^0-9]", "", text)
+        d = d.removeprefix("00") if v.startswith("00") else d
+        cores.setdefault(g, set()).add("1" + d if g == 0 and len(d) == 10 else d)
+    assert all(len(c) == 1 for c in cores.values()), cores
+    assert [next(iter(cores[g]))[:n] for g, n in enumerate((1, 2, 3, 1))] == ["1", "44", "353", "7"]
+    dates = spark.createDataFrame([(1, "on 12/25/1990 and 25/12/1990, 1990-12-25 but 13/13/1990")], "doc_id int, text string")
+    a, b, c = re.fullmatch(r"on (\S+) and (\S+), (\S+) but 13/13/1990", pii.pseudonymised(dates, KEY).first()["text"]).groups()
+    moved = day(dt.date(1990, 12, 25))
+    assert (a, b, c) == (f"{moved:%m/%d/%Y}", f"{moved:%d/%m/%Y}", str(moved))
+    writings = ["2001:db8::ff00:42:8329", "2001:0DB8:0:0:0:FF00:42:8329", "2001:db8:0:0::ff00:42:8329"]
+    others = ["::1", "fe80::1", "1:2:3:4:5:6:7:8", "2001:db8::ff00:42:832a"]
+    left = "std::map abc::def 12:34:56 1:2:3:4:5:6:7:8:9 a::1:2:3:4:5:6:7:8"
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark.createDataFrame([*enumerate(writings + others), (99, left)], "doc_id int, text string"), KEY).collect()}
+    assert out[0] == out[1] == out[2] and len({out[i] for i in range(7)}) == 5 and out[99] == left
+    assert all(re.fullmatch("([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", out[i]) for i in range(7))
+
+
 def test_no_planted_personal_data_is_left(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}"), F.lit(0))).alias("v"))
@@ -285,6 +318,18 @@ def test_secrets(spark):
     assert empty["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_in_time_that_follows_the_length(spark):
+    """A megabyte of keywords in one run, with and without what makes it a token."""
+    start = time.process_time()
+    for tail in ("", ".", ".a", ".a.b", ". eyJ"):
+        text = "eyJ" * 350_000 + tail
+        assert [k for k, _, _ in secrets.find(text)] == []
+    assert time.process_time() - start < 5
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    text = "eyJ " + "eyJ" * 9 + " " + head + ".e30.c2ln " + head + ". " + head + ".e30."
+    assert [text[a:b] for k, a, b in secrets.find(text) if k == "jwt"] == [head + ".e30.c2ln", head + ".e30."]
+
+
 def brute_repeats(words):
     n, seen = len(words), Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     inside = {k for i in range(n - 4) if seen[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
