@@ -21,11 +21,18 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|-[0-9])"
 DAY_FIRST = r"(?<![0-9A-Za-z./])[0-9]{2}(?<dot>[./])[0-9]{2}\k<dot>[0-9]{4}(?![0-9A-Za-z]|[./][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?|00[0-9]{1,3}[ -])(?:\(0\)[ .-]?)?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+#: National numbers of the countries with code 1: area and exchange start with 2 to 9.
+NATIONAL = r"(?<![0-9A-Za-z+(.-])(?:1[ .-])?(?:\([2-9][0-9]{2}\)[ -]?[2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}(?<npa>[.-])[2-9][0-9]{2}\k<npa>[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
+#: Eight groups, or fewer with a double colon and at least one decimal digit, as names in programs have double colons too.
+IPV6 = (
+    r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,36}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})(?![0-9A-Za-z:]|\.[0-9])"
+)
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}|[0-9]{4}(?<slot>[ -])[0-9]{6}\k<slot>[0-9]{5})(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IBAN, IP, DATE, DAY_FIRST, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, IBAN, IP, IPV6, DATE, DAY_FIRST, SSN, PHONE, NATIONAL, CARD))
 #: A quick test that any of the above implies.
-HINT = "@|[0-9]{4}|[0-9]{1,3}[.][0-9]{1,3}[.]|[0-9]{2}[./ -][(]?[0-9]|[+][0-9]"
+HINT = "@|[0-9]{4}|[0-9]{1,3}[.][0-9]{1,3}[.]|[0-9]{2}[./ -][(]?[0-9]|[+][0-9]|::|:[0-9A-Fa-f]{1,4}:"
 
 #: Days that are permuted among themselves: from this one, 250 times 292; other dates stay in their year.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (250, 292)
@@ -134,12 +141,45 @@ def _ssn(value: Column, key: str) -> Column:
     return F.when(valid, F.transform(F.array(s), shown)[0])
 
 
+#: The country calling codes of two digits; of the others, those that start with 1 or 7 have one digit and the rest three.
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
 def _phone(value: Column, key: str) -> Column:
-    """The digits after the country's, 8 to 15 in all."""
+    """The digits after the country's, 8 to 15 in all; what is written for dialling (00, a zero in brackets) isn't part of the number."""
+    d = _digits(value)
+    dialled = F.when(value.startswith("00"), "00").otherwise("")
+    whole = F.substring(d, F.length(dialled) + 1, F.length(d))
+    size = F.when(whole.rlike("^[17]"), 1).when(F.substring(whole, 1, 2).isin(TWO_DIGIT_CODES), 2).otherwise(3)
+    code = F.substring(whole, F.lit(1), size)
+    zero = F.when(value.contains("(0)") & (F.substring(whole, size + 1, F.lit(1)) == "0"), "0").otherwise("")
+    rest = F.substring(whole, size + F.length(zero) + 1, F.length(whole))
+    return F.when(F.length(whole).between(8, 15), refilled(value, F.concat(dialled, code, zero, permuted_digits(rest, "phone", key))))
+
+
+def _national(value: Column, key: str) -> Column:
+    """As with the country code 1 before it, which may stand there already."""
     d = _digits(value)
-    code = F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))
-    rest = F.substring(d, code + 1, F.length(d) - code)
-    return F.when(F.length(d).between(8, 15), refilled(value, F.concat(F.substring(d, F.lit(1), code), permuted_digits(rest, "phone", key))))
+    code = F.when(F.length(d) == 11, "1").otherwise("")
+    return refilled(value, F.concat(code, permuted_digits(F.substring(d, F.length(code) + 1, F.lit(10)), "phone", key)))
+
+
+def _ipv6(value: Column, key: str) -> Column:
+    """Each half permuted, the second by a key of its own for each first one; eight groups in lower case, however it was written."""
+    sides = F.transform(F.split(value, "::"), lambda s: F.filter(F.split(s, ":"), lambda g: g != ""))
+    left, right = sides[0], F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    valid = F.when(value.contains("::"), missing >= 1).otherwise(missing == 0)
+    group = F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.conv(g, 16, 10).cast("long"))
+    pair = lambda i: F.get(group, F.lit(i)) * 65536 + F.get(group, F.lit(i + 1))
+    size = F.lit(1 << 32)
+    first = feistel(pair(0), pair(2), size, size, F.lit("ip6"), key)
+    second = feistel(pair(4), pair(6), size, size, F.concat_ws("|", F.lit("ip6"), pair(0).cast("string"), pair(2).cast("string")), key)
+    shown = lambda x: [F.lower(F.hex(f(x[p]).cast("long"))) for p in "ab" for f in (lambda y: F.floor(y / 65536), lambda y: y % 65536)]
+    halves = F.transform(F.array(first, second), lambda x: F.concat_ws(":", *shown(x)))
+    return F.when(valid, F.concat_ws(":", halves))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -167,8 +207,11 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _day_first(value: Column, key: str) -> Column:
-    date = F.try_to_date(F.translate(value, ".", "/"), "dd/MM/yyyy")
-    return F.when(date.isNotNull(), refilled(value, F.date_format(_day(date, key), "ddMMyyyy")))
+    """Day first, or month first where it can only be that."""
+    plain = F.translate(value, ".", "/")
+    date, other = F.try_to_date(plain, "dd/MM/yyyy"), F.try_to_date(plain, "MM/dd/yyyy")
+    moved = _day(F.coalesce(date, other), key)
+    return F.when(date.isNotNull() | other.isNotNull(), refilled(value, F.when(date.isNotNull(), F.date_format(moved, "ddMMyyyy")).otherwise(F.date_format(moved, "MMddyyyy"))))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -182,10 +225,12 @@ KINDS = {
     "email": ("@", _email),
     "iban": ("^[A-Z]", _iban),
     "ip": (r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", _ip),
+    "ipv6": (":", _ipv6),
     "date": ("^[0-9]{4}-[0-9]{2}-[0-9]{2}$", _date),
     "day_first": ("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$", _day_first),
     "ssn": ("^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn),
-    "phone": (r"^\+", _phone),
+    "phone": (r"^(?:\+|00[0-9]{1,3}[ -])", _phone),
+    "national": (r"^(?:1[ .-])?(?:\(|[2-9][0-9]{2}[.-])", _national),
     "card": (".", _card),
 }
 
@@ -203,7 +248,8 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
 
     A null text stays null and an empty one empty, with counts of zero. What
     looks like personal data but fails its check stays. Repeated rows are
-    treated each; other columns are left out, whatever their names.
+    treated each; an empty table gives an empty one; texts are treated whole,
+    whatever their length. Other columns are left out, whatever their names.
     """
     text = F.col("text")
     # what a pattern matches and what stands between, in turn; the patterns never match nothing
