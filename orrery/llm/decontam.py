@@ -2,20 +2,25 @@
 
 Texts are read once into numbers of the benchmark's words, all of them, and cut
 into overlapping passages, which are weighted by term frequency and inverse
-document frequency over all documents. A randomised SVD of all passages is
-computed over all partitions. The space compared in is spanned by its leading
-directions and by the items themselves, so that no part of an item is lost and
-its cosines are those of the full space, whatever the corpus's size. What is
-found is checked where it stands, by the longest common subsequence of words and
-by the words of the item's end, its answer: the numbers of a text that the check
-needs are those of the row at hand, so that no text is ever shuffled.
+document frequency over all documents. A randomised SVD of all passages, over
+all partitions, gives the leading directions of their words. A passage is a
+candidate for an item in two ways: by the cosine of both in the latent space of
+these directions, where words that stand in the same passages are near each
+other, so that a paraphrase with other words is found; or by the cosine in the
+full space, which doesn't depend on what is frequent in a corpus, so that a
+single leak is found at any size. The less of an item the latent space keeps,
+the nearer a passage must be there. Candidates are checked where they stand, by
+the longest common subsequence of words and by the words of the item's end, its
+answer: the numbers of a text that the check needs are those of the row at
+hand, so that no text is ever shuffled.
 
 Inverse document frequency is logarithmic. A leak whose rarest words were all
 replaced keeps most of its weight then, which it wouldn't if a word's energy
 fell in proportion to its frequency.
 
-The benchmark is read in groups of bounded vocabulary, one pass over all texts
-for each, and a group in blocks, whose matrices are small.
+The benchmark is read in groups of bounded vocabulary. A group has one basis,
+made in two passes over its texts' numbers however many items it has; within it
+items are compared in blocks, whose matrices are small.
 """
 
 from __future__ import annotations
@@ -39,19 +44,21 @@ UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 WORD = re.compile(rf"(?=[^\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 #: Words of half a passage; passages overlap by half.
 HALF = 16
-#: Leading directions kept beside the items' own; added for the randomised start; power iterations.
-RANK, MORE, POWER, SEED = 32, 8, 1, 11
+#: Leading directions; added for the randomised start; power iterations.
+RANK, MORE, POWER, SEED = 64, 8, 1, 11
 #: Contaminated: so much of the item's words in order, or less with so much of its answer and a cosine of ``COSINE``.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Cosine that answers need, as those of frequent words alone are found anywhere.
 COSINE = 0.35
-#: Cosine from which a passage is checked: that of the least share of an item's weight beside other words with so many times the item's.
+#: Cosine in the full space from which a passage is checked: that of the least share of an item's weight beside other words with so many times the item's.
 BESIDE = 4
 LATENT = LCS_WITH_ANSWER / (LCS_WITH_ANSWER + BESIDE) ** 0.5
+#: Cosine in the latent space from which a passage is checked, for items of which so much of the length or more is kept there; see ``least_latent``.
+LEAST_LATENT, WELL_KEPT = 0.95, 0.2
 #: The answer is the item's last share of words; items of fewer words aren't searched.
 ANSWER_SHARE, LEAST_WORDS = 0.25, 5
 #: Items of a block; words of a block and of a group of blocks.
-BLOCK_ITEMS, BLOCK_WORDS, GROUP_WORDS = 256, 16_384, 200_000
+BLOCK_ITEMS, BLOCK_WORDS, GROUP_WORDS = 256, 16_384, 65_536
 #: Words of texts that are worked on at once, a multiple of ``HALF``.
 STEP = 1 << 15
 #: Passages that are checked at once.
@@ -184,20 +191,18 @@ class Passages:
         first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
         to[f[first]] += np.add.reduceat(halves[self.half[by]], first, axis=0) * self.weights[f[first], None].astype(np.float32)
 
-    def near(self, space: Space, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, cosine) of all pairs that reach ``cosine``."""
+    def cosines(self, space: Space) -> np.ndarray:
+        """Of each passage with each item of a block, in the full space."""
         n, some = len(space.items), space.size[self.codes]
         at = np.repeat(space.start[self.codes] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum()) if len(self.codes) else self.codes
         sums = np.bincount(np.repeat(self.half, some) * n + space.item[at], space.product[at], minlength=self.first[-1] * n).reshape(-1, n)
         sums = sums[self.lead] + sums[self.lead + 1]
-        lengths = self.lengths()
-        row, item = np.nonzero(sums >= np.maximum(cosine * lengths, 1e-9)[:, None])
-        return row, item, sums[row, item] / lengths[row]
+        return sums / np.maximum(self.lengths(), 1e-9)[:, None]
 
 
 @dataclass
 class Space:
-    """A block of items in the latent space: for each word of the vocabulary its products with the items, those that aren't zero."""
+    """A block of items: for each word of the vocabulary its products with the items, those that aren't zero; and the items in the latent space."""
 
     items: list[tuple[int, np.ndarray]]
     weights: np.ndarray
@@ -207,16 +212,29 @@ class Space:
     product: np.ndarray
     #: Numbers of the group's vocabulary to those of the block's, -1 for others.
     local: np.ndarray
+    #: Of length one, a column for each item, and the cosine with it that a candidate needs.
+    latent: np.ndarray
+    least: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, np.ndarray]], weights: np.ndarray, vectors: np.ndarray, local: np.ndarray) -> Space:
-        """``vectors`` are orthonormal columns; an item's length is that within their space."""
+        """``vectors`` are the directions, with a row for each word of the block."""
         own = np.stack([np.bincount(i, minlength=len(weights)) * weights for _, i in items], axis=1)
-        within = vectors @ (vectors.T @ own)
-        products = weights[:, None] * within / np.maximum(np.linalg.norm(within, axis=0), 1e-12)
-        word, item = np.nonzero(np.abs(products) > 1e-6 * weights[:, None])
+        length = np.linalg.norm(own, axis=0)
+        products = weights[:, None] * own / length
+        word, item = np.nonzero(products)
         size = np.bincount(word, minlength=len(weights))
-        return cls(items, weights, np.r_[0, np.cumsum(size)[:-1]], size, item, products[word, item], local)
+        latent = vectors.T @ own
+        kept = np.linalg.norm(latent, axis=0)
+        return cls(items, weights, np.r_[0, np.cumsum(size)[:-1]], size, item, products[word, item], local, (latent / np.maximum(kept, 1e-12)).astype(np.float32), least_latent(kept / length))
+
+
+def least_latent(kept: np.ndarray) -> np.ndarray:
+    """The cosine that a candidate needs in the latent space, by the share of an item's length that is kept there.
+
+    Where little is kept, what is kept says little of the item: the bound rises to 1, which the other way in makes up for.
+    """
+    return 1 - (1 - LEAST_LATENT) * np.minimum(1, kept / WELL_KEPT)
 
 
 def chunks(texts: Iterable[np.ndarray]) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
@@ -241,25 +259,29 @@ def chunks(texts: Iterable[np.ndarray]) -> Iterator[tuple[list[np.ndarray], list
 
 
 class Search:
-    """Finds and checks the items of some blocks in texts given as codes."""
+    """Finds and checks the items of some blocks in texts given as codes; ``vectors`` are the group's directions, ``weights`` its words'."""
 
-    def __init__(self, spaces: list[Space], latent: float = LATENT):
-        self.spaces, self.latent = spaces, latent
+    def __init__(self, spaces: list[Space], vectors: np.ndarray, weights: np.ndarray, full: float = LATENT):
+        self.spaces, self.vectors, self.weights, self.full = spaces, vectors, weights, full
+        self.weighted = (vectors * weights[:, None]).astype(np.float32)
         self.checks = [Check([own for _, own in s.items], len(s.weights)) for s in spaces]
 
     def __reduce__(self):
-        return Search, (self.spaces, self.latent)
+        return Search, (self.spaces, self.vectors, self.weights, self.full)
 
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(block, and in arrays text, item, number of the first half, cosine) of passages near an item."""
-        for b, space in enumerate(self.spaces):
-            for some, of in chunks(space.local[t] for t in texts):  # -1 takes the last one, which is -1
-                p = Passages(some, space.weights)
-                row, item, cosine = p.near(space, self.latent)
+        """(block, and in arrays text, item, number of the first half, cosine) of passages near an item in either space."""
+        for some, of in chunks(texts):
+            z = Passages(some, self.weights).times(self.weighted)
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+            for b, space in enumerate(self.spaces):
+                p = Passages([space.local[t] for t in some], space.weights)  # -1 takes the last one, which is -1
+                cosines = p.cosines(space)
+                row, item = np.nonzero((cosines >= self.full) | (z @ space.latent >= space.least))
                 half = p.lead[row]
                 piece = np.searchsorted(p.first, half, side="right") - 1
                 text, start = np.array(of)[piece].T
-                yield b, text, item, start + half - p.first[piece], cosine
+                yield b, text, item, start + half - p.first[piece], cosines[row, item]
 
     def found(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item id, cosine, share of the longest common subsequence, share of the answer), the best place of each item."""
@@ -363,7 +385,7 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
     schema = "chunk int, part int, data binary"
 
     def packed(chunk: int, part: int, data: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "part", "data"])
+        return pa.record_batch([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part", "data"])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, np.float32)
@@ -371,7 +393,7 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
             partial(batch, total)
         for i in range(0, shape[0], rows):
             if (some := total[i : i + rows]).any():
-                yield packed(i // rows, TaskContext.get().partitionId() // FIRST_ROUND, some.astype(np.float64))
+                yield packed(i // rows, TaskContext.get().partitionId() // FIRST_ROUND, some)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so that one sum is held at a time."""
@@ -381,8 +403,8 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
                 if (chunk, part) != key:
                     if key is not None:
                         yield packed(key[0], 0, held)
-                    key, held = (chunk, part), np.zeros(len(data) // 8)
-                held += np.frombuffer(data)
+                    key, held = (chunk, part), np.zeros(len(data) // 4)
+                held += np.frombuffer(data, np.float32)
         if key is not None:
             yield packed(key[0], 0, held)
 
@@ -391,13 +413,16 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
         pieces = pieces.repartition("chunk", "part").sortWithinPartitions("chunk", "part").mapInArrow(add, schema)
     out = np.zeros(shape)
     for chunk, data in pieces.select("chunk", "data").collect():
-        some = np.frombuffer(data).reshape(-1, shape[1])
+        some = np.frombuffer(data, np.float32).reshape(-1, shape[1])
         out[chunk * rows : chunk * rows + len(some)] = some
     return out
 
 
-def directions(texts: DataFrame, weights: np.ndarray, local: np.ndarray, rank: int = RANK, more: int = MORE, power_steps: int = POWER) -> np.ndarray:
-    """The leading right singular vectors of all passages, not scaled to length one, a column each."""
+def directions(texts: DataFrame, weights: np.ndarray, rank: int = RANK, more: int = MORE, power_steps: int = POWER) -> np.ndarray:
+    """The leading right singular vectors of all passages, not scaled to length one, a column each.
+
+    A direction counts as far as it stands out of the last one that is computed, which is taken for noise.
+    """
     n = len(weights)
     width = min(n, rank + more)
     context = texts.sparkSession.sparkContext
@@ -405,7 +430,7 @@ def directions(texts: DataFrame, weights: np.ndarray, local: np.ndarray, rank: i
     weighted = weights.astype(np.float32)[:, None]
 
     def passages(batch: pa.RecordBatch) -> Iterator[Passages]:
-        return (Passages(some, weights) for some, _ in chunks(local[c] for c in _codes(batch)))
+        return (Passages(some, weights) for some, _ in chunks(_codes(batch)))
 
     for _ in range(power_steps):
         shared = context.broadcast((basis * weighted).astype(np.float32))
@@ -423,36 +448,31 @@ def directions(texts: DataFrame, weights: np.ndarray, local: np.ndarray, rank: i
             total += x.T @ x
 
     values, vectors = np.linalg.eigh(_summed(texts, gram, (width, width)))
-    return basis @ vectors[:, np.argsort(-values)[:rank]]
-
-
-def spanning(vectors: np.ndarray, weights: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
-    """Orthonormal columns whose space holds every item and ``vectors``."""
-    own = np.stack([np.bincount(i, minlength=len(weights)) * weights for i in items], axis=1)
-    return np.linalg.qr(np.hstack([own / np.linalg.norm(own, axis=0), vectors]))[0]
+    order = np.argsort(-values)
+    noise = max(0.0, float(values[order[-1]])) if width == rank + more else 0.0
+    lead = order[:rank]
+    return (basis @ vectors[:, lead]) * np.maximum(0.0, 1 - noise / np.maximum(values[lead], 1e-12))
 
 
-def space_of(block: Block, texts: DataFrame, vocabulary: Vocabulary, df: np.ndarray, n: int) -> Space:
-    """A block's latent space, from all texts."""
+def space_of(block: Block, vocabulary: Vocabulary, weights: np.ndarray, vectors: np.ndarray) -> Space:
+    """A block of a group whose words have ``weights`` and ``vectors``."""
     own = [(i, np.array([vocabulary.find(w) for w in ws], np.int32)) for i, ws in block]
     used = np.unique(np.concatenate([c for _, c in own]))
     local = np.full(len(vocabulary) + 1, -1, np.int32)
     local[used] = np.arange(len(used))
-    weights = idf(df[used], n)
-    items = [(i, local[c]) for i, c in own]
-    vectors = spanning(directions(texts, weights, local), weights, [c for _, c in items])
-    return Space.of(items, weights, vectors, local)
+    return Space.of([(i, local[c]) for i, c in own], weights[used], vectors[used], local)
 
 
-def _prepared(docs: DataFrame, group: list[Block]) -> tuple[DataFrame, Vocabulary, list[Space]]:
-    """The texts in codes of a group's vocabulary, and the spaces of its blocks."""
+def _prepared(docs: DataFrame, group: list[Block]) -> tuple[DataFrame, Vocabulary, Search]:
+    """The texts in codes of a group's vocabulary, and the search for its blocks."""
     vocabulary = Vocabulary(w for block in group for _, ws in block for w in ws)
     texts = coded(docs, vocabulary)
-    df, n = frequencies(texts, len(vocabulary))
-    return texts, vocabulary, [space_of(block, texts, vocabulary, df, n) for block in group]
+    weights = idf(*frequencies(texts, len(vocabulary)))
+    vectors = directions(texts, weights)
+    return texts, vocabulary, Search([space_of(block, vocabulary, weights, vectors) for block in group], vectors, weights)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", latent: float = LATENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): the documents that hold a benchmark item, and which.
 
     Null or empty texts hold nothing; an item of fewer than five words isn't
@@ -463,8 +483,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], RESULT)
     for group in groups(blocks(benchmark, item_col, item_text)):
-        texts, _, spaces = _prepared(docs, group)
-        shared = docs.sparkSession.sparkContext.broadcast(Search(spaces, latent))
+        texts, _, search = _prepared(docs, group)
+        shared = docs.sparkSession.sparkContext.broadcast(search)  # bounded by the group's words
 
         def check(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -486,8 +506,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """
     place = docs.columns.index(text_col)
     for group in groups(blocks(benchmark, "item_id", "text")):
-        _, vocabulary, spaces = _prepared(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), group)
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Search(spaces)))
+        _, vocabulary, search = _prepared(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), group)
+        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, search))
 
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, search = shared.value

@@ -278,26 +278,68 @@ def test_single_paraphrases_at_several_sizes(spark, copies):
 
 
 def test_no_passage_near_an_item_is_lost(spark):
-    """Against cosines over the whole space, computed word by word."""
+    """Against cosines over the whole space, computed word by word, and against those in the latent space, from a dense matrix."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     texts = docs.select(F.col("doc_id"), F.col("text"))
     (group,) = decontam.groups(decontam.blocks(items, "item_id", "text"))
-    coded, vocabulary, (space,) = decontam._prepared(texts, group)
+    coded, vocabulary, search = decontam._prepared(texts, group)
     rows = texts.where("text is not null").collect()
     df = Counter(w for _, t in rows for w in set(decontam.words_of(t)))
     weight = lambda w: np.log1p((coded.count() + 1) / (df[w] + 1))
     weights = {w: weight(w) for w in vocabulary.words}
     unit = lambda words: {w: n * weights[w] / size for w, n in c.items()} if (c := Counter(w for w in words if w in weights)) and (size := sum((n * weights[w]) ** 2 for w, n in c.items()) ** 0.5) else {}
     own = [unit(ws) for _, ws in group[0]]
-    want = set()
+    place = {w: i for i, w in enumerate(vocabulary.words)}
+    dense = lambda u: np.bincount([place[w] for w in u], list(u.values()), minlength=len(place)) @ search.vectors if u else np.zeros(search.vectors.shape[1])
+    latent = np.stack([dense(o) for o in own])
+    kept = np.linalg.norm(latent, axis=1)
+    least, latent = 1 - (1 - decontam.LEAST_LATENT) * np.minimum(1, kept / decontam.WELL_KEPT), latent / kept[:, None]
+    want, by_latent, about = set(), set(), set()
     for d, (_, t) in enumerate(rows):
         words = decontam.words_of(t)
         for at in range(max(1, -(-len(words) // decontam.HALF) - 1)):
             p = unit(words[at * decontam.HALF : (at + 2) * decontam.HALF])
             want |= {(d, k, at) for k, o in enumerate(own) if sum(x * o.get(w, 0) for w, x in p.items()) >= decontam.LATENT + 1e-6}
+            z = dense(p)
+            over = latent @ (z / max(np.linalg.norm(z), 1e-9)) - least
+            by_latent |= {(d, k, at) for k in np.flatnonzero(over >= 1e-4).tolist()}
+            about |= {(d, k, at) for k in np.flatnonzero(abs(over) < 1e-4).tolist()}
     codes = [vocabulary.codes(t) for _, t in rows]
-    got = {hit for _, *arrays in decontam.Search([space]).hits(codes) for hit in zip(*(a.tolist() for a in arrays[:3]))}
-    assert len(want) > 20 and want <= got and len(got) <= 1.01 * len(want) + 5
+    got = {hit for _, *arrays in search.hits(codes) for hit in zip(*(a.tolist() for a in arrays[:3]))}
+    assert len(want) > 20 and want <= got and by_latent - want and by_latent <= got
+    assert len(got - want - by_latent - about) <= 0.01 * len(want) + 5
+
+
+def paraphrases(rng):
+    """A corpus of topics, each with pairs of words that mean the same and stand in for each other; items with the first of
+    each pair, and documents that tell an item again with the second ones. What both share are words that all documents have."""
+    common = [f"c{i}" for i in range(30)]
+    pairs = [[(f"t{t}a{i}", f"t{t}b{i}") for i in range(14)] for t in range(12)]
+    docs = [(d, " ".join(w for _ in range(rng.randint(4, 12)) for w in rng.sample([rng.choice(p) for p in pairs[d % 12]] + rng.sample(common, 18), 32))) for d in range(1500)]
+    items, told = [], []
+    for i, own in enumerate(pairs):
+        plan = [(rng.choice(common),) * 2 if k % 5 < 3 else own[(3 * k) % 14] for k in range(40)]
+        items.append((i, " ".join(a for a, _ in plan)))
+        items.append((100 + i, " ".join(b for _, b in rng.sample(own, 14)) + f" only{i} here{i}"))  # so that the other words are known
+        told.append((10_000 + i, " ".join(b for _, b in plan)))
+    return docs + told, items, {(d, d - 10_000) for d, _ in told}
+
+
+@pytest.mark.parametrize("way", ["directions", "random", "none"])
+def test_paraphrases_come_through_the_latent_space(spark, monkeypatch, way):
+    """They are found by the SVD's directions, and neither by random ones nor without any."""
+    docs, items, want = paraphrases(random.Random(12))
+    if way == "random":
+        monkeypatch.setattr(decontam, "directions", lambda texts, weights: np.linalg.qr(np.random.default_rng(3).standard_normal((len(weights), decontam.RANK)))[0])
+    if way == "none":
+        monkeypatch.setattr(decontam, "least_latent", lambda kept: np.full(len(kept), 2.0))
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} long, text string")
+    got = decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    found = want & {(r["doc_id"], r["item_id"]) for r in got}
+    if way == "directions":
+        assert found == want and max(r["cosine"] for r in got if (r["doc_id"], r["item_id"]) in want) < decontam.LATENT
+    else:
+        assert not found
 
 
 def test_subsequences_of_many_passages():
