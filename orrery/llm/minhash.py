@@ -298,6 +298,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
+    """(doc_id, place, root) of the rows that have others with an equal or linked set; ``place`` is the hash of the text, ``root`` names the group."""
+    marked = written(sets(docs, id_col, text_col, shingle), "sets")
+    roots = _roots(docs, marked, id_col, text_col, shingle, numerator)
+    return marked.join(roots.select("name", "root"), "name").select("doc_id", "place", "root")
+
+
 def _roots(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shingle: int, numerator: int) -> DataFrame:
     """(name, root, component_id) of the sets that other rows share or are linked with."""
     of = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place")))

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import minhash
 from orrery.llm.common import map_batches, without, written
 from orrery.llm.components import components
 
@@ -165,9 +167,15 @@ def _components(marked: DataFrame, radius: int) -> DataFrame:
     return marked.join(shared.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similar: tuple[int, int] | None = None
+) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id, and of several with this id the one with the smallest text hash.
 
+    With ``similar`` (words, percent) texts whose sets of shingles of so many
+    words are so similar are linked too, however far their fingerprints are
+    apart: a few edited words move more bits than a radius can cover.
+
     Rows are told apart by id and hash of the text, so that none goes for
     another one's sake; of repeated rows one stays. Rows with a null id stay.
     All columns are as they were, whatever their names.
@@ -179,9 +187,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         for doc, text, hash_ in zip(*columns):
             yield doc, signed(fingerprint(text, shingle)), hash_
 
+    def members(found: DataFrame) -> DataFrame:
+        return found.groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
+
     marked = written(map_batches(docs.select(keys[0], text_col, name), rows, "doc_id long, fp long, name long"))
-    linked = _components(marked, radius).where("root is not null and doc_id is not null").groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
-    linked = written(linked)
+    linked = members(_components(marked, radius).where("root is not null"))
+    if similar:
+        alike = members(minhash.grouped(docs, id_col, text_col, *similar).withColumnRenamed("place", "name"))
+        linked = _joined(written(linked), written(alike))
+    linked = written(linked.where("doc_id is not null"))
     kept = linked.groupBy("root").agg(F.min(F.struct("doc_id", "name")).alias("kept"))
     gone = linked.join(kept, "root").where("doc_id <> kept.doc_id or name <> kept.name").select("doc_id", "name")
     left = without(docs, written(gone), keys)
@@ -191,3 +205,14 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     mark = f"__{uuid.uuid4().hex}"
     once = without(left, again, keys, inside=True).withColumn(mark, name).dropDuplicates([id_col, mark]).drop(mark)
     return without(left, again, keys).unionByName(once)
+
+
+def _joined(*groups: DataFrame) -> DataFrame:
+    """(root, doc_id, name, n) of tables with such rows: groups that share a text, known by its hash, are one."""
+    stars = []
+    for rows in groups:
+        least = rows.groupBy("root").agg(F.min("name").alias("least"))
+        stars.append(rows.select("root", "name").distinct().join(least, "root").select(F.col("name").alias("a"), F.col("least").alias("b")))
+    roots = components(reduce(DataFrame.unionByName, stars))
+    rows = reduce(DataFrame.unionByName, groups).groupBy("doc_id", "name").agg(F.max("n").alias("n"))  # a group has all rows of a text
+    return rows.join(roots, rows["name"] == roots["node"], "left").select(F.coalesce("root", "name").alias("root"), "doc_id", "name", "n")
