@@ -18,6 +18,9 @@ from orrery.llm import bpe, decontam, linededup, simhash, toxicity
 from orrery.llm.common import table, written
 from orrery.llm.registry import VOCABULARY
 
+#: Words of a shingle and percent of similarity that make near-duplicates beside SimHash's bits.
+SIMILAR = (5, 80)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half; the model is trained on ``docs`` and ``labels``.
@@ -40,13 +43,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by SimHash: that with the smallest id.
+    """One row of each group linked by SimHash, or by five-word shingles of a similarity of 0.8 or more: that with the smallest id.
 
     Of several rows with that id the one with the smallest hash of its text
     stays, of repeated rows one. Null and empty texts link like any others; rows
     with a null id stay; an empty table stays empty; other columns pass through.
     """
-    return simhash.without_near_duplicates(docs)
+    return simhash.without_near_duplicates(docs, similar=SIMILAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
