@@ -6,7 +6,7 @@ orders with their lines saves, customers users.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import normalize as N
@@ -17,7 +17,7 @@ from orrery.sources import html
 from orrery.sources.captured import item_records, listing_items, table
 from orrery.sources.shared import new_folder
 from orrery.sources.snapshots import Store
-from orrery.streaming import ingest
+from orrery.streaming import fanout, frontier, ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -499,15 +499,44 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return streamed_events(spark, sf, "rejected").select("event_id", "action")
 
 
+@query("""
+WITH e AS (SELECT event_id % 40 AS search_id, 'u' || user_id AS product_id FROM events WHERE event_type <> 'error'
+  UNION SELECT page_id % 40, 'u' || (page_id % 90) FROM pages WHERE page_id % 7 > 0)
+SELECT search_id, 'SEARCH_SUCCESS' AS type, count(*) AS n, count(DISTINCT product_id) AS products FROM e GROUP BY 1
+UNION ALL SELECT range, 'SEARCH_FINISHED', 1, 0 FROM range(40) UNION ALL SELECT range, 'SEARCH_ERROR', 1, 0 FROM range(0, 40, 10)""")
+def stream_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty searches, each answered by two sites, the second of which fails for some; every result is sent once."""
+    folder = new_folder(spark, "search")
+    when = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    user = lambda c: (F.col(c) % 40 + 1000).cast("long")
+    shown = lambda id_, image: [F.concat(F.lit("u"), id_.cast("string")).alias("product_id"), image.alias("image_url")]
+    items = table(spark, sf, "events").select("event_id", *shown(F.col("user_id"), F.when(F.col("event_type") != "error", "i")))
+    fanout.reports(items, "events", F.col("event_id") % 40, user("event_id"), F.lit(1), 2, F.col("event_id"), when).drop("event_id").repartition(3).write.parquet(f"{folder}/events")
+    found = table(spark, sf, "pages").select("page_id", *shown(F.col("page_id") % 90, F.when(F.col("page_id") % 7 > 0, "i")))
+    fanout.reports(found, "pages", F.col("page_id") % 40, user("page_id"), F.lit(1), 2, F.col("page_id"), when).repartition(2).write.parquet(f"{folder}/pages")
+    ends = spark.range(40).withColumn("later", when + F.expr("INTERVAL 1 SECOND"))
+    for site, kind in (("events", F.lit(fanout.END)), ("pages", F.when(F.col("id") % 10 == 0, fanout.ERROR).otherwise(fanout.END))):
+        fanout.reports(ends, site, F.col("id"), user("id"), F.lit(1), 2, F.lit(0), F.col("later"), kind).coalesce(1).write.mode("append").parquet(f"{folder}/{site}")
+    streams = [spark.readStream.schema(fanout.REPORT).option("maxFilesPerTrigger", 2).parquet(f"{folder}/{site}") for site in ("events", "pages")]
+    fanout.send(fanout.messages(streams), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    sent = spark.read.parquet(f"{folder}/out")
+    return sent.groupBy("search_id", "type").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"))
+
+
 LISTING = """SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_name AS title, p_retailprice AS price, p_brand AS brand, p_size > 25 AS is_soldout FROM part"""
 
 
-def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as listing pages of one brand and type, two hundred parts at most on each."""
-    item = F.struct(
+def listing_item() -> Column:
+    """A part as an item of a listing page."""
+    return F.struct(
         F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("goodsLinkUrl"), F.col("p_name").alias("goodsName"), F.lit("0").alias("price"),
         F.concat(F.format_number("p_retailprice", 2), F.lit("원")).alias("normalPrice"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, "Y").otherwise("false").alias("isSoldOut"),
     )
+
+
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as listing pages of one brand and type, two hundred parts at most on each."""
+    item = listing_item()
     pages = table(spark, sf, "part").groupBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 200)).agg(F.collect_list(item).alias("list"))
     return pages.select(F.to_json(F.struct(F.struct("list").alias("data"))).alias("body"))
 
@@ -518,6 +547,33 @@ def listing_records(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
 
 
+@query("""SELECT 'https://shop.example/p/' || p_partkey AS source_url, p_name AS title, p_retailprice AS price, p_brand AS brand, p_size > 25 AS is_soldout FROM part WHERE p_size <= 45
+UNION ALL SELECT 'category', p_brand, count(*) FILTER (WHERE p_size <= 45) // 25 + (count(*) FILTER (WHERE p_size <= 45) % 25 > 0)::INT, '', true FROM part GROUP BY p_brand""")
+def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories of paged listings, followed to the first empty page, stopped after a round and resumed; with what the frontier then says."""
+    part = table(spark, sf, "part").withColumn("hidden", F.col("p_size") > 45)
+    at = F.row_number().over(Window.partitionBy("p_brand", "hidden").orderBy("p_partkey")) - 1
+    numbered = part.withColumn("number", F.floor(at / 25)).groupBy("p_brand", "hidden", "number").agg(F.collect_list(listing_item()).alias("list"))
+    url = lambda brand, kind, n: F.concat(F.lit("https://shop.example/c/"), brand, F.lit(kind), n.cast("string"))
+    last = F.col("number") == F.max("number").over(Window.partitionBy("p_brand", "hidden"))
+    kind = F.when(F.col("hidden"), "?hidden=").otherwise("?page=")
+    following = F.when(last, F.when(F.col("hidden"), None).otherwise(url(F.col("p_brand"), "?empty=", F.lit(0)))).otherwise(url(F.col("p_brand"), "?page=", F.col("number") + 1))
+    here = F.concat(F.lit("https://shop.example/c/"), F.col("p_brand"), kind, F.col("number").cast("string"))
+    page = lambda items, next_: F.to_json(F.struct(F.struct(items.alias("list"), F.struct(next_.alias("nextPageUrl")).alias("pagination")).alias("data")))
+    full = numbered.select(here.alias("url"), page(F.col("list"), following).alias("body"))
+    brand = part.select("p_brand").distinct()
+    empty = brand.select(url(F.col("p_brand"), "?empty=", F.lit(0)).alias("url"), page(F.array().cast(numbered.schema["list"].dataType), url(F.col("p_brand"), "?hidden=", F.lit(0))).alias("body"))
+    folder = new_folder(spark, "crawl")
+    full.unionByName(empty).write.parquet(f"{folder}/pages")
+    captured, store = spark.read.parquet(f"{folder}/pages"), Store(spark, f"{folder}/store")
+    frontier.start(store, brand.select(F.col("p_brand").alias("category"), url(F.col("p_brand"), "?page=", F.lit(0)).alias("url")))
+    frontier.crawl(store, captured, most_rounds=1, pages_a_round=2, buckets=8)
+    frontier.crawl(store, captured, pages_a_round=4, buckets=8)
+    found = store.read("products").select("source_url", "title", F.col("price").cast("double").alias("price"), "brand", "is_soldout")
+    ends = store.read("frontier").select(F.lit("category").alias("source_url"), F.col("category").alias("title"), F.col("pages").cast("double").alias("price"), F.lit("").alias("brand"), F.col("finished").alias("is_soldout"))
+    return found.unionByName(ends)
+
+
 @query(LISTING)
 def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "catalog")
