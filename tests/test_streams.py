@@ -1,9 +1,10 @@
-"""Search fan-out: each result once on arrival, the end once, errors between; restarts send nothing twice."""
+"""Search fan-out: each result once on arrival, the end once, errors between; paged categories followed to their ends and resumed."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.streaming import fanout
+from orrery.sources.snapshots import Store, Transaction
+from orrery.streaming import fanout, frontier
 
 
 def report(search, site, kind="item", product=None, place=0, second=0, sites=2):
@@ -64,3 +65,67 @@ def test_reports_show_what_has_an_image(spark):
     df = spark.createDataFrame([("p", "i", 1), ("q", "", 2), ("r", None, 3)], "product_id string, image_url string, n int")
     rows = fanout.reports(df, "s", F.lit(5), F.lit(6), F.lit(1), 2, F.col("n"), F.current_timestamp()).collect()
     assert [(r["search_id"], r["product_id"], r["payload"]) for r in rows] == [(5, "p", '{"product_id":"p","image_url":"i","n":1}')]
+
+
+def captured_page(url, items, following=None):
+    import json
+
+    listed = [{"goodsLinkUrl": u, "goodsName": n, "price": "1,000원"} for u, n in items]
+    return url, json.dumps({"data": {"list": listed, "pagination": {"nextPageUrl": following}}})
+
+
+@pytest.fixture
+def captured(spark):
+    rows = [captured_page(f"a{i}", [(f"p{i}", "x"), ("same", f"a{i}")], f"a{i + 1}") for i in range(5)]
+    rows += [captured_page("a5", [], "a6"), captured_page("a6", [("hidden", "x")])]  # nothing beyond an empty page counts
+    rows += [captured_page("b0", [("q0", "x"), ("same", "b0")], "gone")]  # a next page that wasn't captured
+    rows += [captured_page("c0", [("r0", "x"), ("", "no link")]), ("d0", "not a listing"), ("d0", None)]
+    rows += [captured_page("c0", [("r0", "x"), ("", "no link")]), captured_page("e0", [("s0", "first")], "e1"), captured_page("e1", [("s1", "x")], "")]
+    return spark.createDataFrame(rows, "url string, body string")
+
+
+WANT = {"a": (5, True), "b": (1, True), "c": (1, True), "d": (0, True), "e": (2, True)}
+
+
+def stands(store):
+    return {r["category"]: (r["pages"], r["finished"]) for r in store.read("frontier").collect()}
+
+
+@pytest.mark.parametrize("pages_a_round", [1, 2, 8])
+def test_categories_are_followed_to_their_ends(spark, tmp_path, captured, pages_a_round):
+    store = Store(spark, str(tmp_path / "store"))
+    categories = spark.createDataFrame([(c, f"{c}0") for c in "abcde"], "category string, url string")
+    frontier.start(store, categories, 2)
+    assert frontier.crawl(store, captured, most_rounds=1, pages_a_round=pages_a_round, buckets=2) == 1
+    first = stands(store)
+    assert first["a"] == ((min(5, pages_a_round)), pages_a_round > 5) and first["d"] == (0, True)
+    frontier.start(store, categories, 2)  # those that are known stay where they are
+    assert stands(store) == first
+    frontier.crawl(store, captured, pages_a_round=pages_a_round, buckets=2)  # resumed
+    assert stands(store) == WANT
+    rows = {r["source_url"]: r["title"] for r in store.read("products").collect()}
+    assert rows == {**{f"p{i}": "x" for i in range(5)}, "q0": "x", "r0": "x", "s0": "first", "s1": "x", "same": "a4"}
+    assert frontier.crawl(store, captured, buckets=2) == 0
+
+
+def test_a_round_that_fails_leaves_products_and_frontier(spark, tmp_path, captured, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    frontier.start(store, spark.createDataFrame([("a", "a0")], "category string, url string"), 2)
+    frontier.crawl(store, captured, most_rounds=1, pages_a_round=2, buckets=2)
+    before, products = stands(store), store.read("products").count()
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(Transaction, "commit", lambda self: (_ for _ in ()).throw(RuntimeError()))
+        frontier.crawl(store, captured, pages_a_round=2, buckets=2)
+    assert stands(store) == before and store.read("products").count() == products
+    frontier.crawl(store, captured, pages_a_round=2, buckets=2)
+    assert stands(store) == {"a": (5, True)}
+
+
+def test_finished_categories_are_not_read_again(spark, tmp_path, captured):
+    store = Store(spark, str(tmp_path / "store"))
+    frontier.start(store, spark.createDataFrame([("c", "c0")], "category string, url string"), 2)
+    frontier.crawl(store, captured, buckets=2)
+    frontier.start(store, spark.createDataFrame([("c", "c0"), ("e", "e0")], "category string, url string"), 2)
+    watched = captured.withColumn("body", F.when(F.col("url") == "c0", F.lit(None)).otherwise(F.col("body")))  # would end c with no page, were it read
+    frontier.crawl(store, watched, buckets=2)
+    assert stands(store) == {"c": (1, True), "e": (2, True)}
