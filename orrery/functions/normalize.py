@@ -77,7 +77,7 @@ def price_html(text: Column) -> Column:
 
 
 def price_number(value: Column) -> Column:
-    """A number as text, whole ones without a point."""
+    """A number as text, whole ones without a point; JSON's own numbers come as such texts from ``sources/html.py``."""
     return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
 
 
@@ -123,11 +123,20 @@ def domain(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host(url), r"^(.*?)www\.", "$1"), rest)
 
 
+def domain_host(url: Column) -> Column:
+    """The host in lower case; of what is no URL, what comes before the first slash."""
+    return F.coalesce(host(url), F.lower(F.split(F.regexp_replace(url, "^https?://", ""), "/")[0]))
+
+
 def site_label(url: Column) -> Column:
-    """The label that is registered, left of the public suffix; null without one."""
-    h = F.coalesce(host(url), F.lower(F.split(F.regexp_replace(url, "^https?://", ""), "/")[0]))
+    """The label that is registered, left of the public suffix; null without one. An IP address is a label as a whole.
+
+    For all rules of public suffixes see ``operators/sites.py``.
+    """
+    h = domain_host(url)
     two = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
-    return F.nullif(F.coalesce(F.nullif(F.regexp_extract(h, rf"([^.]+)\.(?:{two})$", 1), F.lit("")), F.regexp_extract(h, r"([^.]+)\.[^.]+$", 1)), F.lit(""))
+    address = F.when(h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), h)
+    return F.nullif(F.coalesce(address, F.nullif(F.regexp_extract(h, rf"([^.]+)\.(?:{two})$", 1), F.lit("")), F.regexp_extract(h, r"([^.]+)\.[^.]+$", 1)), F.lit(""))
 
 
 @F.pandas_udf(StringType())
@@ -248,5 +257,5 @@ def product_defaults() -> dict[str, Column]:
         "brand": falsy(F.col("brand"), F.lit("UNKNOWN")),
         "category": falsy(F.col("category"), F.lit("PRODUCT")),
         "gender": falsy(F.col("gender"), F.lit("UNKNOWN")),
-        "image_url": falsy(F.col("image_url"), F.col("local_path"), F.lit("")),
+        "image_url": F.coalesce(falsy(F.col("image_url"), F.col("local_path")), F.lit("")),
     }

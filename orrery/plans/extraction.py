@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import normalize as N
-from orrery.operators import brands, federated
+from orrery.operators import brands, federated, sites
 from orrery.plans.catalog import LISTING, query
 from orrery.sources import html
 from orrery.sources.captured import item_records, state_items, table
@@ -97,29 +97,36 @@ def state(sale: Column, normal: Column, soldout: Column, gender: Column) -> Colu
         F.col("p_name").alias("goodsNm"), F.struct(F.col("p_brand").alias("brandName")).alias("brandInfo"), F.col("p_type").alias("baseCategoryFullPath"),
         F.struct(sale.alias("salePrice"), normal.alias("normalPrice")).alias("goodsPrice"), F.lit("//i.example/s.png").alias("thumbnailImageUrl"), soldout.alias("isOutOfStock"), gender.alias("displayGenderText"),
     ))
-    return tag("script", F.concat(F.lit("var product = {}; product.state = "), json, F.lit("; product.done = {};")), 'id="pdp-data"')
+    return tag("script", F.concat(F.lit("var product = {}; other.product.state = {\"goodsNm\": \"no\"}; window.__MSS_FE__.product.state = "), json, F.lit("; product.done = {};")), 'id="pdp-data"')
 
 
 PRODUCTS = """
-SELECT p_partkey, p_name AS title, CASE k WHEN 0 THEN p_size || '00' WHEN 1 THEN p_size || '' WHEN 2 THEN p_size || '000' WHEN 3 THEN p_size::VARCHAR WHEN 4 THEN p_size || '25' END AS price,
-CASE WHEN k <> 4 THEN p_brand END AS brand, CASE k WHEN 0 THEN '//i.example/s.png' WHEN 1 THEN '//i.example/s.png' WHEN 2 THEN 'm.png' WHEN 3 THEN 'l.png' WHEN 4 THEN 'g.png' END AS image_url,
-CASE WHEN k IN (0, 1, 3) THEN p_type END AS category, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false END AS is_soldout,
-CASE k WHEN 0 THEN 'MEN' ELSE 'UNKNOWN' END AS gender, CASE WHEN k < 3 THEN 'musinsa' ELSE 'label' || p_partkey % 3 END AS shop
-FROM (SELECT *, p_partkey % 5 AS k FROM part)"""
+SELECT p_partkey, CASE WHEN k <> 7 THEN p_name END AS title, CASE k WHEN 0 THEN p_size || '00' WHEN 1 THEN p_size || '.5' WHEN 2 THEN p_size || '000' WHEN 3 THEN p_size::VARCHAR WHEN 4 THEN p_size || '25'
+WHEN 5 THEN p_size || '.5' WHEN 6 THEN p_size::VARCHAR END AS price,
+CASE WHEN k NOT IN (4, 6, 7) THEN p_brand END AS brand, CASE k WHEN 0 THEN '//i.example/s.png' WHEN 1 THEN '//i.example/s.png' WHEN 2 THEN 'm.png' WHEN 3 THEN 'l.png' WHEN 4 THEN 'g.png' WHEN 5 THEN 'l.png' END AS image_url,
+CASE WHEN k IN (0, 1, 3, 5) THEN p_type END AS category, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN false WHEN 6 THEN true END AS is_soldout,
+CASE k WHEN 0 THEN 'MEN' ELSE 'UNKNOWN' END AS gender, CASE WHEN k IN (0, 1, 7) THEN 'musinsa' ELSE 'label' || p_partkey % 3 END AS shop
+FROM (SELECT *, p_partkey % 8 AS k FROM part)"""
 
 
 def product_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of five kinds: embedded state twice, then marked elements, JSON-LD and OpenGraph, each with gaps that others fill."""
+    """Pages of eight kinds: embedded state with texts and with numbers for prices, marked elements, JSON-LD, OpenGraph, each with
+    gaps that others fill, JSON-LD with a fraction and with a whole number beside a state that is another site's, and a page of the
+    state's site that has none."""
     none = F.lit(None).cast("string")
     first = state(F.concat(text("p_size"), F.lit("00")), F.lit("1"), F.lit(True), F.lit("MEN"))
-    second = state(F.lit("0"), text("p_size"), F.lit(None).cast("boolean"), none)
+    second = state(F.lit(0), F.col("p_size") + F.lit(0.5), F.lit(None).cast("boolean"), none)
     graph = F.concat(meta("og:title", F.lit("graph")), meta("og:image", F.lit("g.png")), meta("og:availability", F.lit("in stock")))
     marked = F.concat(tag("h1", F.col("p_name"), 'class="Product-title"'), tag("div", F.concat(F.lit("₩"), text("p_size"), F.lit(",000")), 'class="Product-price"'),
                       tag("h2", F.col("p_brand"), 'class="Product-brand"'), F.lit('<img class="Product-image" src="m.png"><div class="Product-buy">구매하기</div>'))
-    json = linked(product("name", brand=F.col("p_brand"), image=F.lit("l.png"), category=F.col("p_type"), offers=F.struct(text("p_size").alias("price"), F.lit("https://schema.org/OutOfStock").alias("availability"))))
+    offer = lambda price, there: F.struct(price.alias("price"), F.lit(there).alias("availability"))
+    json = linked(product("name", brand=F.col("p_brand"), image=F.lit("l.png"), category=F.col("p_type"), offers=offer(text("p_size"), "https://schema.org/OutOfStock")))
     low = F.concat(meta("og:title", F.col("p_name")), meta("og:image", F.lit("g.png")), meta("og:price:amount", F.concat(text("p_size"), F.lit(".25"))), meta("og:availability", F.lit("in stock")))
-    host = F.when(F.col("p_partkey") % 5 < 3, F.lit("https://www.musinsa.com/p/")).otherwise(F.concat(F.lit("https://a.label"), text(F.col("p_partkey") % 3), F.lit(".co.kr/p/")))
-    return table(spark, sf, "part").withColumn("url", F.concat(host, text("p_partkey"))).withColumn("html", case(first, second, F.concat(graph, marked), F.concat(json, graph), low))
+    half = linked(product("name", brand=F.col("p_brand"), image=F.lit("l.png"), category=F.col("p_type"), offers=offer(F.col("p_size") + F.lit(0.5), "instock")))
+    whole = F.concat(linked(product("name", offers=offer(F.col("p_size").cast("double"), "sold out"))), state(F.lit("1"), F.lit("1"), F.lit(False), F.lit("MEN")))
+    host = F.when((F.col("p_partkey") % 8).isin(0, 1, 7), F.lit("https://www.musinsa.com/p/")).otherwise(F.concat(F.lit("https://a.label"), text(F.col("p_partkey") % 3), F.lit(".co.kr/p/")))
+    page = case(first, second, F.concat(graph, marked), F.concat(json, graph), low, half, whole, F.concat(json, graph, marked))
+    return table(spark, sf, "part").withColumn("url", F.concat(host, text("p_partkey"))).withColumn("html", page)
 
 
 @query(PRODUCTS)
@@ -130,10 +137,11 @@ def page_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT p_partkey, title, price::DOUBLE AS price, 'KRW' AS currency, coalesce(brand, 'UNKNOWN') AS brand, coalesce(category, 'PRODUCT') AS category, is_soldout, image_url,
+SELECT p_partkey, coalesce(title, 'Unknown') AS title, price::DOUBLE AS price, 'KRW' AS currency, coalesce(brand, 'UNKNOWN') AS brand, coalesce(category, 'PRODUCT') AS category, is_soldout,
+coalesce(image_url, CASE WHEN p_partkey % 16 = 7 THEN 'own.png' END, '') AS image_url,
 CASE WHEN shop = 'musinsa' THEN 'MUSINSA' ELSE 'UNKNOWN' END AS shop, gender, 'feed_add' AS source FROM ({PRODUCTS})""")
 def page_product_records(spark: SparkSession, sf: str) -> DataFrame:
-    facts = html.marked(html.products(product_pages(spark, sf)))
+    facts = html.marked(html.products(product_pages(spark, sf), keep=["p_partkey"])).withColumn("local_path", F.when(F.col("p_partkey") % 16 == 7, "own.png"))
     out = html.records(facts, keep=["_source"]).withColumn("p_partkey", F.regexp_extract("source_url", r"(\d+)$", 1).cast("long"))
     return out.drop("source_url").withColumn("price", F.col("price").cast("double")).withColumnRenamed("_source", "source")
 
@@ -201,3 +209,17 @@ def captured_search(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "part").select(body.alias("body"), F.lit("l.example").alias("site_domain"), F.lit("L").alias("site_name"), F.col("p_partkey").alias("position"))
     found = [federated.with_image(federated.normalized(federated.responses(r), "position")) for r in (raw.where("position % 2 = 0"), raw.where("position % 2 = 1"))]
     return federated.unique(federated.union(found)).select("product_id", "title", "price", "currency", "shop", "image_url", "source_url")
+
+
+@query("""
+SELECT s_suppkey, CASE s_suppkey % 7 WHEN 5 THEN '10.0.0.' || s_suppkey % 250 ELSE CASE WHEN s_suppkey % 7 <> 4 THEN 's' || s_suppkey END END AS site,
+CASE s_suppkey % 7 WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'x.ck' WHEN 3 THEN 'ck' WHEN 4 THEN 'co.uk' WHEN 6 THEN 'unknown' END AS suffix FROM supplier""")
+def site_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts under names, wildcards, exceptions and unknown endings, a bare suffix, and addresses."""
+    name, k = F.concat(F.lit("s"), text("s_suppkey")), F.col("s_suppkey") % 7
+    rules = table(spark, sf, "supplier").select(F.concat(F.lit("!s"), text("s_suppkey"), F.lit(".ck")).alias("rule")).where("rule IS NOT NULL")
+    rules = rules.where(F.regexp_extract("rule", "[0-9]+", 0).cast("long") % 7 == 3).unionByName(spark.createDataFrame([(r,) for r in ("com", "UK", "co.uk", "*.ck")], "rule string"))
+    host = F.when(k == 0, F.concat(F.lit("www."), name, F.lit(".COM"))).when(k == 1, F.concat(F.lit("a.b."), name, F.lit(".co.uk"))).when(k == 2, F.concat(name, F.lit(".x.ck")))
+    host = host.when(k == 3, F.concat(name, F.lit(".ck."))).when(k == 4, "co.uk").when(k == 5, F.concat(F.lit("10.0.0."), text(F.col("s_suppkey") % 250))).otherwise(F.concat(F.lit("shop."), name, F.lit(".unknown")))
+    urls = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("https://"), host, F.lit("/p?q=1")).alias("url"))
+    return sites.site_labels(urls, rules).select("s_suppkey", "site", "suffix")

@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from orrery.functions import normalize as N
 
 FIELDS = ["title", "price", "brand", "image_url", "category", "availability", "status", "shop"]
-FOUND = "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ", is_soldout: boolean, has_offer: boolean>"
-SCHEMA = f"url string, page_title string, heading string, marked {FOUND}, linked {FOUND}, graph {FOUND}, state string"
+FOUND = "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ", is_soldout: boolean, has_offer: boolean, numeric: boolean, gender: string>"
+SCHEMA = f"url string, page_title string, heading string, marked {FOUND}, linked {FOUND}, graph {FOUND}, state {FOUND}"
 #: Classes of the elements that carry facts, and the text of a button to buy.
 MARKS = {("h1", "Product-title"): "title", ("div", "Product-price"): "price", ("h2", "Product-brand"): "brand", ("div", "Product-buy"): "buy"}
 BUY = "구매하기"
@@ -87,6 +87,11 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+def _price(value) -> dict:
+    """A JSON value as a price: what is a number there stays one, other kinds are text for the rules on texts."""
+    return {"price": _text(value), "numeric": isinstance(value, (int, float)) and not isinstance(value, bool)}
+
+
 def _marked(page: Page) -> dict | None:
     found = {"title": page.text("title"), "price": page.text("price"), "brand": page.text("brand"), "image_url": page.image}
     if BUY in "".join(page.texts.get("buy", [])):
@@ -116,7 +121,7 @@ def _linked(page: Page) -> dict | None:
         if isinstance(offers, list):
             offers = offers[0] if offers else None
         if isinstance(offers, dict) and offers:
-            found |= {"price": _text(offers.get("price")), "availability": _text(offers.get("availability")), "status": _text(offers.get("status")), "has_offer": True}
+            found |= _price(offers.get("price")) | {"availability": _text(offers.get("availability")), "status": _text(offers.get("status")), "has_offer": True}
         return found if found["title"] else None
     return None
 
@@ -142,14 +147,26 @@ def _graph(page: Page, lenient: bool) -> dict | None:
     }
 
 
-STATE = re.compile(r"product\.state\s*=\s*(\{.*?\});", re.DOTALL)
+#: Where a shop's pages keep their product, and that shop's name in a URL.
+STATE = re.compile(r"window\.__MSS_FE__\.product\.state\s*=\s*(\{.*?\});", re.DOTALL)
+STATE_SITE = "musinsa.com"
 
 
-def _state(page: Page) -> str | None:
-    for attributes, text in page.scripts:
-        if attributes.get("id") == "pdp-data" and (m := STATE.search(text)):
-            return m[1]
-    return None
+def _state(page: Page) -> dict | None:
+    """The product that a page's state holds; none where it isn't there or isn't made as it should be."""
+    text = next((text for a, text in page.scripts if a.get("id") == "pdp-data"), "")
+    if not (m := STATE.search(text)):
+        return None
+    try:
+        data = json.loads(m[1])
+        brand, cost = data.get("brandInfo", {}).get("brandName"), data.get("goodsPrice", {})
+        price = cost.get("salePrice") or cost.get("normalPrice")
+    except (ValueError, AttributeError):
+        return None
+    return {
+        "title": _text(data.get("goodsNm")), "brand": _text(brand), "category": _text(data.get("baseCategoryFullPath")), "image_url": _text(data.get("thumbnailImageUrl")),
+        "is_soldout": bool(data.get("isOutOfStock")), "gender": _text(data.get("displayGenderText")),
+    } | _price(price)
 
 
 def read(html: str | None, lenient: bool = False) -> dict:
@@ -177,11 +194,12 @@ def parsed(pages: DataFrame, lenient: bool = False, keep: list[str] = ()) -> Dat
 def _facts(s: str) -> Column:
     """One reader's facts, prices and availability by rule."""
     f = F.col(s)
+    price = F.when(f["numeric"], f["price"]).otherwise(N.price_html(f["price"]))
     offered = F.when(f["has_offer"], N.soldout_from_offer(f["availability"], f["status"]))
     return F.when(
         f.isNotNull(),
         F.struct(
-            f["title"].alias("title"), N.price_html(f["price"]).alias("price"), f["brand"].alias("brand"), f["image_url"].alias("image_url"),
+            f["title"].alias("title"), price.alias("price"), f["brand"].alias("brand"), f["image_url"].alias("image_url"),
             f["category"].alias("category"), F.coalesce(f["is_soldout"], offered).alias("is_soldout"),
         ),
     )
@@ -195,28 +213,31 @@ def merged(found: list[Column], fields: list[str]) -> list[Column]:
     ]
 
 
-def products(pages: DataFrame, lenient: bool = False, keep: list[str] = ()) -> DataFrame:
-    """(url, title, price, brand, image_url, category, is_soldout, gender, shop), and the columns in ``keep``: pages with embedded state by that, others by all readers together."""
+def products(pages: DataFrame, lenient: bool = False, keep: list[str] = (), state_site: str = STATE_SITE) -> DataFrame:
+    """(url, title, price, brand, image_url, category, is_soldout, gender, shop), and the columns in ``keep``.
+
+    The URL decides: pages of ``state_site`` have what their embedded state says, or nothing, others what all readers find together.
+    """
     p = parsed(pages, lenient, keep)
-    s = F.from_json("state", "goodsNm string, brandInfo struct<brandName: string>, baseCategoryFullPath string, goodsPrice struct<salePrice: string, normalPrice: string>, thumbnailImageUrl string, isOutOfStock boolean, displayGenderText string")
-    p = p.withColumn("s", F.when(F.col("state").isNotNull(), s)).withColumn("f1", _facts("marked")).withColumn("f2", _facts("linked")).withColumn("f3", _facts("graph"))
     fields = ["title", "price", "brand", "image_url", "category", "is_soldout"]
-    general = F.struct(*merged([F.col("f1"), F.col("f2"), F.col("f3")], fields))
-    sale = F.coalesce(F.nullif(F.nullif(F.col("s.goodsPrice.salePrice"), F.lit("0")), F.lit("")), F.col("s.goodsPrice.normalPrice"))
-    special = F.struct(
-        F.col("s.goodsNm").alias("title"), N.price_html(sale).alias("price"), F.col("s.brandInfo.brandName").alias("brand"), F.col("s.thumbnailImageUrl").alias("image_url"),
-        F.col("s.baseCategoryFullPath").alias("category"), F.coalesce("s.isOutOfStock", F.lit(False)).alias("is_soldout"),
-    )
-    chosen = F.when(F.col("s").isNotNull(), special).otherwise(general)
-    return p.select(*keep, "url", chosen.alias("c"), "s").select(*keep, "url", "c.*", N.falsy(F.col("s.displayGenderText"), F.lit("UNKNOWN")).alias("gender"), N.site_label(F.col("url")).alias("shop"))
+    for i, reader in enumerate(("marked", "linked", "graph", "state")):
+        p = p.withColumn(f"f{i}", _facts(reader))
+    special = F.coalesce(F.col("url").contains(state_site), F.lit(False))
+    chosen = F.when(special, F.col("f3")).otherwise(F.struct(*merged([F.col(f"f{i}") for i in range(3)], fields)))
+    gender = N.falsy(F.when(special, F.col("state.gender")), F.lit("UNKNOWN"))
+    return p.select(*keep, "url", chosen.alias("c"), gender.alias("gender")).select(*keep, "url", "c.*", "gender", N.site_label(F.col("url")).alias("shop"))
 
 
 def records(facts: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Product records from page facts, with what stands in for missing fields, and the columns in ``keep``."""
+    """Product records from page facts, with what stands in for missing fields, and the columns in ``keep``.
+
+    Facts may have ``local_path``, an image of the page's own that stands in for a missing one.
+    """
+    facts = facts if "local_path" in facts.columns else facts.withColumn("local_path", F.lit(None).cast("string"))
+    default = N.product_defaults()
     return facts.select(
-        F.col("url").alias("source_url"), N.falsy(F.col("title"), F.lit("Unknown")).alias("title"), N.price(F.col("price")).alias("price"), F.lit("KRW").alias("currency"),
-        N.falsy(F.col("brand"), F.lit("UNKNOWN")).alias("brand"), N.falsy(F.col("category"), F.lit("PRODUCT")).alias("category"), "is_soldout",
-        F.coalesce("image_url", F.lit("")).alias("image_url"), N.shop(F.col("shop")).alias("shop"), "gender", *keep,
+        F.col("url").alias("source_url"), default["title"].alias("title"), N.price(F.col("price")).alias("price"), F.lit("KRW").alias("currency"), default["brand"].alias("brand"),
+        default["category"].alias("category"), "is_soldout", default["image_url"].alias("image_url"), N.shop(F.col("shop")).alias("shop"), default["gender"].alias("gender"), *keep,
     )
 
 

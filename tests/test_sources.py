@@ -3,18 +3,20 @@
 import json
 
 from orrery.functions import hooks
-from orrery.operators import brands, notices
+from orrery.operators import brands, notices, sites
 from orrery.sources import captured, html
 
 MARKED = '<h1 class="Product-title"> A <b>b</b></h1><div class="big Product-price">₩1,000</div><h2 class="Product-brand">X</h2><img class="Product-image" src="i.png"><div class="Product-buy">구매하기</div>'
 LINKED = '<script type="application/ld+json">%s</script>'
 PRODUCT = {"@type": "Product", "name": "L", "brand": {"name": "LB"}, "image": ["a.png", "b.png"], "offers": [{"price": 12.0, "availability": "https://schema.org/OutOfStock"}], "category": "c"}
 GRAPH = '<meta property="og:title" content="G"><meta property="og:title" content=" G2 "><meta property="og:image" content="g.png"><meta property="product:price:amount" content="9.50"><meta property="og:availability" content="in stock">'
-STATE = '<script id="pdp-data">window.x.product.state = {"goodsNm": "S", "brandInfo": {"brandName": "SB"}, "goodsPrice": {"salePrice": 0, "normalPrice": 700}, "isOutOfStock": true};</script>'
+STATE = '<script id="pdp-data">window.__MSS_FE__.product.state = {"goodsNm": "S", "brandInfo": {"brandName": "SB"}, "goodsPrice": {"salePrice": 0, "normalPrice": 700}, "isOutOfStock": true};</script>'
 
 
 def facts(spark, *pages, lenient=False):
-    df = spark.createDataFrame([(f"https://www.shop{i}.co.kr/p", p) for i, p in enumerate(pages)], "url string, html string")
+    """By the site's label; the page with the state is one of the state's site."""
+    url = lambda i, p: f"https://www.shop{i}.co.kr/{'musinsa.com' if p and 'pdp-data' in p else 'p'}"
+    df = spark.createDataFrame([(url(i, p), p) for i, p in enumerate(pages)], "url string, html string")
     return {r["shop"]: r for r in html.products(df, lenient).collect()}
 
 
@@ -28,6 +30,24 @@ def test_readers(spark):
     assert e["title"] is None and f["title"] is None and g["title"] == "L"
 
 
+def test_the_url_decides_and_numbers_stay(spark):
+    linked = LINKED % json.dumps(PRODUCT | {"offers": {"price": 12.5}})
+    rows = [("https://x.example/2", STATE + linked), ("https://www.musinsa.com/3", linked), ("https://www.musinsa.com/4", STATE.replace("__MSS_FE__", "other")), ("https://www.musinsa.com/5", STATE.replace("700", "700.5")),
+            ("https://www.musinsa.com/6", STATE.replace('{"brandName": "SB"}', "null")), ("https://x.example/7", LINKED % json.dumps(PRODUCT | {"offers": {"price": "12.5"}})), (None, linked)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r["url"]: (r["title"], r["price"]) for r in html.products(df).collect()}
+    assert [got[u] for u, _ in rows] == [("L", "12.5"), (None, None), (None, None), ("S", "700.5"), (None, None), ("L", "125"), ("L", "12.5")]
+
+
+def test_public_suffixes(spark):
+    rules = spark.createDataFrame([("com",), ("kr",), ("co.kr",), ("*.ck",), ("!www.ck",), ("*.kobe.jp",), ("jp",), ("!city.kobe.jp",), ("com",)], "rule string")
+    want = {"http://a.b.example.com/x": ("example", "com"), "https://shop.co.kr": ("shop", "co.kr"), "https://x.shop.kr": ("shop", "kr"), "https://foo.ck": (None, "foo.ck"), "https://a.foo.ck": ("a", "foo.ck"), "https://www.ck": ("www", "ck"),
+            "https://a.b.kobe.jp": ("a", "b.kobe.jp"), "https://city.kobe.jp": ("city", "kobe.jp"), "https://a.zz": ("a", "zz"), "https://localhost/": (None, "localhost"), "https://1.2.3.4/x": ("1.2.3.4", None), "": (None, None), None: (None, None)}
+    got = sites.site_labels(spark.createDataFrame([(u, 1) for u in want] * 2, "url string, n int"), rules).collect()
+    assert len(got) == 2 * len(want) and {r["url"]: (r["site"], r["suffix"]) for r in got} == want
+    assert sites.site_labels(spark.createDataFrame([("https://a.b.com",)], "url string"), rules.limit(0)).first()["site"] == "b"
+
+
 def test_lenient_price_and_merge(spark):
     got = facts(spark, GRAPH, MARKED.replace("₩1,000", "") + GRAPH, lenient=True)
     assert got["shop0"]["price"] == "950"
