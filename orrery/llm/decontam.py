@@ -19,7 +19,7 @@ replaced keeps most of its weight then, which it wouldn't if a word's energy
 fell in proportion to its frequency.
 
 The benchmark is read in groups of bounded vocabulary. A group has one basis,
-made in two passes over its texts' numbers however many items it has; within it
+made in one pass over its texts' numbers however many items it has; within it
 items are compared in blocks, whose matrices are small.
 """
 
@@ -45,7 +45,7 @@ WORD = re.compile(rf"(?=[^\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 #: Words of half a passage; passages overlap by half.
 HALF = 16
 #: Leading directions; added for the randomised start; power iterations.
-RANK, MORE, POWER, SEED = 64, 8, 1, 11
+RANK, MORE, POWER, SEED = 48, 8, 1, 11
 #: Contaminated: so much of the item's words in order, or less with so much of its answer and a cosine of ``COSINE``.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 #: Cosine that answers need, as those of frequent words alone are found anywhere.
@@ -272,10 +272,11 @@ class Search:
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(block, and in arrays text, item, number of the first half, cosine) of passages near an item in either space."""
         for some, of in chunks(texts):
-            z = Passages(some, self.weights).times(self.weighted)
+            whole = Passages(some, self.weights)
+            z = whole.times(self.weighted)
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
             for b, space in enumerate(self.spaces):
-                p = Passages([space.local[t] for t in some], space.weights)  # -1 takes the last one, which is -1
+                p = whole if len(space.weights) == len(self.weights) else Passages([space.local[t] for t in some], space.weights)  # -1 takes the last one, which is -1
                 cosines = p.cosines(space)
                 row, item = np.nonzero((cosines >= self.full) | (z @ space.latent >= space.least))
                 half = p.lead[row]
@@ -292,7 +293,8 @@ class Search:
             for i in range(0, len(text), HITS):
                 some = slice(i, i + HITS)
                 of = text[some]
-                for k, share, answer in self.checks[b](codes, self.spaces[b].local, first[of], first[of + 1], first[of] + at[some] * HALF, item[some]):
+                needed = np.where(cosine[some] >= COSINE, LCS_WITH_ANSWER, LCS)  # an answer counts only from this cosine on
+                for k, share, answer in self.checks[b](codes, self.spaces[b].local, first[of], first[of + 1], first[of] + at[some] * HALF, item[some], needed):
                     near = min(1.0, float(cosine[i + k]))
                     if share >= LCS or answer >= ANSWER and near >= COSINE:
                         key = b, int(of[k]), int(item[i + k])
@@ -314,8 +316,8 @@ class Check:
                 np.bitwise_or.at(self.bits[:, k], own, np.left_shift(np.uint64(1), np.arange(len(own), dtype=np.uint64)))
         self.full = np.array([(1 << min(n, 64)) - 1 for n in self.size.tolist()], np.uint64)
 
-    def __call__(self, codes: np.ndarray, local: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, float, float]]:
-        """(hit, share of the subsequence, share of the answer) of hits that can be a leak.
+    def __call__(self, codes: np.ndarray, local: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, item: np.ndarray, share: np.ndarray | float = LCS_WITH_ANSWER) -> Iterator[tuple[int, float, float]]:
+        """(hit, share of the subsequence, share of the answer) of hits that can be a leak: whose subsequence has ``share`` of the item or more.
 
         A hit is a passage that starts at ``at`` in a text from ``low`` to
         ``high``; so many words as the item has before and after it count too.
@@ -326,8 +328,15 @@ class Check:
         place = at + offset
         inside = (place >= low) & (place < high) & (offset >= -size) & (offset < 2 * HALF + size)
         near = np.where(inside, local[codes[np.clip(place, 0, len(codes) - 1)]], -1)
+        found = self.bits[near, item]
+        # no subsequence is longer than the places of the item whose words are there at all
+        some = np.flatnonzero((np.bitwise_count(np.bitwise_or.reduce(found, axis=0)) >= share * size) | (size > 64))
+        if not len(some):
+            return
+        if len(some) < len(item):
+            found, near, size, item = found[:, some], near[:, some], size[some], item[some]
         state = self.full[item]
-        for row in self.bits[near, item]:
+        for row in found:
             both = state & row
             state = (state + both) | (state - both)
         length = size - np.bitwise_count(state & self.full[item])
@@ -336,7 +345,7 @@ class Check:
             length[k] = lcs(own, near[:, k].tolist())
         for k in np.flatnonzero(length >= LCS_WITH_ANSWER * size).tolist():
             tail = self.tails[item[k]]
-            yield k, float(length[k] / size[k]), (tail & Counter(near[:, k].tolist())).total() / tail.total()
+            yield int(some[k]), float(length[k] / size[k]), (tail & Counter(near[:, k].tolist())).total() / tail.total()
 
 
 def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -433,25 +442,31 @@ def directions(texts: DataFrame, weights: np.ndarray, rank: int = RANK, more: in
         return (Passages(some, weights) for some, _ in chunks(_codes(batch)))
 
     for _ in range(power_steps):
+        basis, _ = np.linalg.qr(basis)
         shared = context.broadcast((basis * weighted).astype(np.float32))
 
         def power(batch, total, shared=shared):
             for p in passages(batch):
                 p.add_transposed(p.times(shared.value), total)
 
-        basis, _ = np.linalg.qr(_summed(texts, power, (n, width)))
-    shared = context.broadcast((basis * weighted).astype(np.float32))
+        image = _summed(texts, power, (n, width))
+        start, basis = basis, image
+    vectors, values = nystrom(start, image)
+    noise = float(values[-1]) if width == rank + more else 0.0
+    return vectors[:, :rank] * np.maximum(0.0, 1 - noise / np.maximum(values[:rank], 1e-12))
+
 
-    def gram(batch, total):
-        for p in passages(batch):
-            x = p.times(shared.value)
-            total += x.T @ x
+def nystrom(start: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvectors, a column each, and eigenvalues, the largest first, of a positive matrix known by the ``image`` of orthonormal columns.
 
-    values, vectors = np.linalg.eigh(_summed(texts, gram, (width, width)))
-    order = np.argsort(-values)
-    noise = max(0.0, float(values[order[-1]])) if width == rank + more else 0.0
-    lead = order[:rank]
-    return (basis @ vectors[:, lead]) * np.maximum(0.0, 1 - noise / np.maximum(values[lead], 1e-12))
+    One pass over the passages is all that it takes: the matrix isn't multiplied again.
+    """
+    shift = 1e-7 * max(np.linalg.norm(image), 1e-12)
+    moved = image + shift * start
+    square = start.T @ moved
+    root = np.linalg.cholesky((square + square.T) / 2)
+    vectors, sizes, _ = np.linalg.svd(np.linalg.solve(root, moved.T).T, full_matrices=False)
+    return vectors, np.maximum(0.0, sizes**2 - shift)
 
 
 def space_of(block: Block, vocabulary: Vocabulary, weights: np.ndarray, vectors: np.ndarray) -> Space:

@@ -312,11 +312,12 @@ def test_no_passage_near_an_item_is_lost(spark):
 
 
 def paraphrases(rng):
-    """A corpus of topics, each with pairs of words that mean the same and stand in for each other; items with the first of
+    """A corpus of topics, each with pairs of words that mean the same and stand near each other; items with the first of
     each pair, and documents that tell an item again with the second ones. What both share are words that all documents have."""
     common = [f"c{i}" for i in range(30)]
     pairs = [[(f"t{t}a{i}", f"t{t}b{i}") for i in range(14)] for t in range(12)]
-    docs = [(d, " ".join(w for _ in range(rng.randint(4, 12)) for w in rng.sample([rng.choice(p) for p in pairs[d % 12]] + rng.sample(common, 18), 32))) for d in range(1500)]
+    passage = lambda own: rng.sample([w for p in rng.sample(own, 12) for w in p] + rng.sample(common, 8), 32)
+    docs = [(d, " ".join(w for _ in range(rng.randint(4, 12)) for w in passage(pairs[d % 12]))) for d in range(1500)]
     items, told = [], []
     for i, own in enumerate(pairs):
         plan = [(rng.choice(common),) * 2 if k % 5 < 3 else own[(3 * k) % 14] for k in range(40)]
