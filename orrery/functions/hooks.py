@@ -1,10 +1,15 @@
 """Models that a user plugs in: encoders and translators as Arrow functions, loaded once a worker."""
 
 import hashlib
+import random
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
@@ -26,6 +31,72 @@ def encoder(load: Callable[[], Callable[[list], list]]):
     return F.pandas_udf(run, ArrayType(FloatType()))
 
 
+@dataclass(frozen=True)
+class Patience:
+    """How calls that fail are treated.
+
+    A call takes ``batch`` values. One that fails is made again up to ``retries``
+    times, after a random part of ``base_delay`` seconds, twice as many each time;
+    then its values are halved and tried apart, so that only those that fail
+    alone are given up. ``calls`` are made at once by a task, and ``most_calls``
+    by all tasks together.
+    """
+
+    retries: int = 3
+    base_delay: float = 1.0
+    batch: int = 64
+    calls: int = 1
+    most_calls: int | None = None
+    seed: int = 0
+
+
+def attempted(model: Callable[[list], list], values: list, patience: Patience, fallback=None, rng: random.Random | None = None, wait: Callable[[float], None] = time.sleep) -> list[tuple]:
+    """(result, error) for each value; ``fallback`` is a value, or a function of the value, for those that fail."""
+    rng = rng or random.Random(patience.seed)
+    for tried in range(patience.retries + 1):
+        try:
+            got = list(model(values))[: len(values)]
+            return [(x, None) for x in got] + [(None, None)] * (len(values) - len(got))
+        except Exception as e:  # whatever a foreign service raises
+            error = f"{type(e).__name__}: {e}"[:500]
+        if tried < patience.retries:
+            wait(rng.uniform(0, patience.base_delay * 2**tried))
+    if len(values) == 1:
+        return [(fallback(values[0]) if callable(fallback) else fallback, error)]
+    half = len(values) // 2
+    return [x for part in (values[:half], values[half:]) for x in attempted(model, part, patience, fallback, rng, wait)]
+
+
+def encoded(rows: DataFrame, value: str, load: Callable[[], Callable[[list], list]], patience: Patience = Patience(), fallback=None, into: str = "vector") -> DataFrame:
+    """``rows`` with the model's vectors, and in ``<into>_error`` why a value has none or its fallback.
+
+    A failing call doesn't fail the task: see ``Patience``. Nulls aren't encoded and have neither; so has what the
+    model gives no vector for.
+    """
+    kind = f"struct<{into} array<float>, {into}_error string>"
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, task = load(), TaskContext.get()
+        rng = random.Random(f"{patience.seed}-{task.partitionId() if task else 0}")
+        with ThreadPoolExecutor(max(1, patience.calls)) as pool:
+            for batch in batches:
+                known = batch[batch.notna()]
+                parts = [known.iloc[i : i + patience.batch].tolist() for i in range(0, len(known), patience.batch)]
+                done = [x for part in pool.map(lambda p: attempted(model, p, patience, fallback, rng), parts) for x in part]
+                found = pd.DataFrame(done, columns=[into, f"{into}_error"], index=known.index, dtype=object)
+                yield found.reindex(batch.index).astype(object).where(lambda f: f.notna(), None)
+
+    if patience.most_calls:
+        rows = rows.coalesce(max(1, patience.most_calls // max(1, patience.calls)))
+    made = F.pandas_udf(run, kind)
+    return rows.withColumn("__made", made(value)).select(*rows.columns, f"__made.{into}", f"__made.{into}_error")
+
+
+def failures(encoded_rows: DataFrame, into: str = "vector") -> DataFrame:
+    """(error, n): how many values failed, and why."""
+    return encoded_rows.where(F.col(f"{into}_error").isNotNull()).groupBy(F.col(f"{into}_error").alias("error")).agg(F.count("*").alias("n"))
+
+
 def hashed_encoder(dim: int = 64) -> Callable[[], Callable[[list], list]]:
     """A stand-in model for tests: a unit vector that depends on the text alone."""
 

@@ -6,6 +6,8 @@ written in one commit. Every upsert is one full outer join on its key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +110,7 @@ def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, order: list[
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Rows of ``incoming`` whose key is new, the first by ``order``, added. A null in a key makes it unlike any other."""
-    null = F.greatest(*(F.col(k).isNull() for k in keys))
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     whole = incoming.where(~null)
     columns = [c for c in incoming.columns if c not in keys]
     if not columns:

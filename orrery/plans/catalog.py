@@ -311,9 +311,12 @@ def shop_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return merge.shop_ids(items, named.withColumn("id", F.col("id").cast("int"))).select("c_custkey", F.col("shop_id").cast("long").alias("shop_id"))
 
 
-@query("SELECT * FROM (VALUES ('UNKNOWN'), ('FRUITS FAMILY'), ('FETCHING'), ('EMPTY'), ('WORKSOUT'), ('8DIVISION'), ('IAMSHOP'), ('THE BOUNCE'), ('THE X SHOP'), ('COLLECTIV'), ('KREAM'), ('MUSINSA'), ('EQL'), ('29CM'), ('Bunjang'), ('Danggeun Market'), ('Joonggonara'), ('ZARA')) t(name)")
+@query("""SELECT name, bool_or(seed) AS seed FROM (SELECT s_name AS name, false AS seed FROM supplier UNION ALL SELECT unnest(['UNKNOWN', 'FRUITS FAMILY', 'FETCHING', 'EMPTY', 'WORKSOUT', '8DIVISION', 'IAMSHOP',
+'THE BOUNCE', 'THE X SHOP', 'COLLECTIV', 'KREAM', 'MUSINSA', 'EQL', '29CM', 'Bunjang', 'Danggeun Market', 'Joonggonara', 'ZARA']), true) GROUP BY name""")
 def shop_seed(spark: SparkSession, sf: str) -> DataFrame:
-    return seed_shops(spark).select("name")
+    """The shops that a catalog starts with join those that it has."""
+    there = shops(spark, sf).select("name", F.lit(False).alias("seed"))
+    return merge.insert_ignore(there, seed_shops(spark).select("name", F.lit(True).alias("seed")), ["name"])
 
 
 # Normalisation

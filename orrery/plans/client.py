@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 from orrery.functions import hooks
 from orrery.functions import normalize as N
 from orrery.functions import vectors as V
-from orrery.operators import brands, federated, feed, merge, notices, search
+from orrery.operators import brands, federated, feed, merge, notices, paging, search, titles
 from orrery.plans.catalog import USER, products, query, saves, shops
 from orrery.schemas import BRANDS, LIST_COLUMNS
 from orrery.sources.captured import table
+from orrery.sources.shared import new_folder
 
 
 @query("SELECT p_partkey AS product_id, p_type AS category FROM part WHERE p_type = 'PROMO' UNION ALL SELECT p_partkey + 1000000, p_type FROM part")
@@ -256,11 +259,66 @@ def wide_list(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("product_id", "title", F.when(F.col("title_vector").isNotNull(), F.size("title_vector")).otherwise(0).alias("n_title_vector"), "shop_id", "shop")
 
 
-@query("SELECT * FROM (VALUES ('id'), ('brand_name'), ('brand_name_eng'), ('keywords'), ('link'), ('target_group'), ('mean_price'), ('created_at')) t(name)")
+@query("SELECT p_brand AS brand_name, 'https://brands.example/' || min(p_partkey) AS link, count(*)::VARCHAR AS keywords, 8 AS columns FROM part GROUP BY p_brand")
 def brand_schema(spark: SparkSession, sf: str) -> DataFrame:
-    """The columns of an empty table of brands, made twice."""
-    empty = spark.createDataFrame([], BRANDS)
-    return spark.createDataFrame([(f.name,) for f in empty.unionByName(spark.createDataFrame([], BRANDS)).schema], "name string")
+    """An empty table of brands takes those of the parts: columns that they lack are null, all have the schema's types."""
+    found = table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand_name")).agg(
+        F.concat(F.lit("https://brands.example/"), F.min("p_partkey").cast("string")).alias("link"), F.count("*").cast("string").alias("keywords")
+    )
+    whole = spark.createDataFrame([], BRANDS).unionByName(found, allowMissingColumns=True)
+    return whole.select("brand_name", "link", "keywords", F.lit(len(whole.columns)).alias("columns"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 97 <> 5 THEN length(text)::DOUBLE WHEN doc_id % 2 = 0 THEN -1.0 END AS first, doc_id % 97 = 5 AS failed FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT -1, count(*)::DOUBLE, true FROM documents WHERE text IS NOT NULL AND doc_id % 97 = 5 HAVING count(*) > 0""")
+def encoded_with_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that refuses some texts, whatever they are sent with: only these have a fallback or nothing, and are counted."""
+
+    def load():
+        def model(texts: list) -> list:
+            if any(t.startswith("5#") for t in texts):
+                raise RuntimeError("refused")
+            return [[float(len(t.partition("#")[2]) - 1)] for t in texts]
+
+        return model
+
+    marked = F.concat((F.col("doc_id") % 97).cast("string"), F.lit("#"), (F.col("doc_id") % 2).cast("string"), "text")
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", marked.alias("t"))
+    made = hooks.encoded(docs, "t", load, hooks.Patience(retries=1, base_delay=0.0, batch=16, calls=2), fallback=lambda t: [-1.0] if t[2] == "0" else None)
+    each = made.select("doc_id", F.col("vector")[0].cast("double").alias("first"), F.col("vector_error").isNotNull().alias("failed"))
+    total = hooks.failures(made).select(F.lit(-1).cast("long").alias("doc_id"), F.col("n").cast("double").alias("first"), F.lit(True).alias("failed"))
+    return each.unionByName(total)
+
+
+WORDS_ASKED = """SELECT n_nationkey AS query_id, CASE n_nationkey % 6 WHEN 0 THEN ' ' || upper(w) || ' ' WHEN 1 THEN substr(w, 1, 2) WHEN 2 THEN substr(w, 1, 1) || '_' || substr(w, 3) WHEN 3 THEN substr(w, 1, 3) || '%e'
+WHEN 4 THEN 'no such title' END AS query FROM (SELECT n_nationkey, string_split((SELECT p_name FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part) + n_nationkey), ' ')[1] AS w FROM nation)"""
+
+
+@query(f"""
+SELECT query_id, p_partkey AS key, title, text_rank, rank FROM (SELECT query_id, p_partkey, p_name AS title, CASE WHEN lower(p_name) = q THEN 0 WHEN lower(p_name) LIKE q || '%' THEN 1 ELSE 2 END AS text_rank,
+row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lower(p_name) = q THEN 0 WHEN lower(p_name) LIKE q || '%' THEN 1 ELSE 2 END, p_size DESC, p_partkey)::INT AS rank
+FROM part JOIN (SELECT query_id, lower(trim(query)) AS q FROM ({WORDS_ASKED})) ON lower(p_name) LIKE '%' || q || '%') WHERE rank <= 20""")
+def text_search_many(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of queries: whole words, two characters, wildcards, what no title has, and nulls."""
+    names = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ")[0].alias("w"))
+    low = table(spark, sf, "part").agg(F.min("p_partkey").alias("low"))
+    nation = table(spark, sf, "nation").crossJoin(low)  # one row
+    w, k = F.col("w"), F.col("n_nationkey") % 6
+    cut = lambda a, n: F.substring(w, a, n)
+    text = F.when(k == 0, F.concat(F.lit(" "), F.upper("w"), F.lit(" "))).when(k == 1, cut(1, 2)).when(k == 2, F.concat(cut(1, 1), F.lit("_"), cut(3, 100))).when(k == 3, F.concat(cut(1, 3), F.lit("%e"))).when(k == 4, "no such title")
+    queries = nation.join(names, F.col("p_partkey") == F.col("low") + F.col("n_nationkey"), "left").select(F.col("n_nationkey").alias("query_id"), text.alias("query"))
+    folder = new_folder(spark, "titles")
+    titles.write_index(products(spark, sf), folder)
+    return titles.search_many(queries, products(spark, sf), spark.read.parquet(folder))
+
+
+@query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) // 50 + 1 AS page FROM orders QUALIFY page <= 5""")
+def list_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Five pages of a list, each from where the last one ended."""
+    folder = new_folder(spark, "list")
+    paging.write_list(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), folder, "o_orderdate", "o_orderkey")
+    found = [rows.select("o_orderkey", F.lit(number).cast("long").alias("page")) for number, rows, _ in paging.pages(spark, folder, 50, 5, "o_orderdate", "o_orderkey")]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS is_soldout FROM part")
