@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from orrery.sources.shared import written
 
+#: Queries that are sent to all tasks.
+MOST_SENT = 1 << 12
 #: Rows that cells are drawn around, at most.
 PIVOTS = 256
 #: Rows and queries of one cell that one piece compares, about.
@@ -59,7 +61,8 @@ def topk(table: DataFrame, vector: str, query: list[float], k: int, key: str) ->
 def topk_many(queries: DataFrame, table: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """(query, key, similarity, rank): the ``k`` rows of ``table`` with the largest cosine for each query, equal ones by key. Exact.
 
-    Queries and rows are tables alike. Rows of length one are dealt to the cell
+    Up to ``MOST_SENT`` queries go to all tasks, and one pass over the rows
+    answers them. Beyond, queries and rows are tables alike. Rows of length one are dealt to the cell
     of their nearest pivot; for each cell its size, its radius and its ``k``
     smallest distances to the pivot are known. By the triangle inequality these
     give each query a distance within which ``k`` rows lie for certain, and the
@@ -72,13 +75,46 @@ def topk_many(queries: DataFrame, table: DataFrame, k: int, query_key: str, key:
     """
     rows = table.select(F.col(key).cast("long").alias("key"), doubles(F.col(vector)).alias("v")).where("v IS NOT NULL")
     asked = queries.select(F.col(query_key).cast("long").alias("query"), doubles(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    few = asked.limit(MOST_SENT + 1).toArrow()
+    return _ranked(_scanned(rows, few, k) if few.num_rows <= MOST_SENT else _by_cells(rows, asked, k, pivots), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _scanned(rows: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """(query, key, similarity): the ``k`` best rows of each task for each of a few queries."""
+    columns = asked.combine_chunks()
+    names = columns["query"].to_numpy() if len(columns) else np.zeros(0, np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((names, _unit(_matrix(columns["v"].combine_chunks())) if len(columns) else np.zeros((0, 0))))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, m = shared.value
+        best_s, best_k = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            sim = m @ _unit(_matrix(batch.column(1))).T
+            best_s, best_k = np.c_[best_s, sim], np.c_[best_k, np.broadcast_to(batch.column(0).to_numpy(), sim.shape)]
+            top = np.lexsort((best_k, -best_s), axis=1)[:, :k]
+            best_s, best_k = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_k, top, 1)
+        yield pa.record_batch([pa.array(np.repeat(names, best_s.shape[1])), pa.array(best_k.ravel()), pa.array(best_s.ravel())], names=["query", "key", "similarity"])
+
+    return rows.mapInArrow(search, "query long, key long, similarity double")
+
+
+def _by_cells(rows: DataFrame, asked: DataFrame, k: int, pivots: int) -> DataFrame:
+    """(query, key, similarity): the ``k`` best rows of each piece of a cell for each query that visits it."""
+    spark = rows.sparkSession
     # pivots are rows that their hashes choose, as many as ``pivots`` at most
     chosen = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("key"), "key").limit(pivots).select("v").collect()
     if not chosen:  # no row has a direction
         chosen = [{"v": r["v"]} for r in rows.limit(1).select("v").collect()]
     if not chosen:
-        return table.sparkSession.createDataFrame([], "query long, key long, similarity double, rank int")
-    centres = table.sparkSession.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float64)))
+        return spark.createDataFrame([], "query long, key long, similarity double")
+    centres = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float64)))
     placed = written(_placed(rows, "key", centres), "placed")
     none = placed.where(F.col("cell") == -1).orderBy("key").limit(k)
     placed = written(placed.where("cell >= 0").unionByName(none), "cells")
@@ -89,7 +125,7 @@ def topk_many(queries: DataFrame, table: DataFrame, k: int, query_key: str, key:
     visits = _visits(asked, centres, {r["cell"]: (r["radius"], r["least"]) for r in cells}, k)
     visits = written(visits, "visits")
     # pieces: so many rows of a cell with so many queries that visit it
-    n_rows = table.sparkSession.createDataFrame([(r["cell"], r["rows"]) for r in cells], "cell int, rows long")
+    n_rows = spark.createDataFrame([(r["cell"], r["rows"]) for r in cells], "cell int, rows long")
     n_asked = visits.groupBy("cell").agg(F.count("*").alias("asked"))
     sizes = n_rows.join(n_asked, "cell").select("cell", F.ceil(F.col("rows") / ROWS_A_PIECE).cast("int").alias("r"), F.ceil(F.col("asked") / QUERIES_A_PIECE).cast("int").alias("q"))
     all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -97,9 +133,7 @@ def topk_many(queries: DataFrame, table: DataFrame, k: int, query_key: str, key:
     side_a = visits.join(F.broadcast(sizes), "cell").select("cell", F.explode(all_of("r")).alias("i"), part("query", "q").alias("j"), F.lit(0).alias("side"), F.col("query").alias("key"), "v", F.col("bound").alias("d"))
     side_b = placed.join(F.broadcast(sizes), "cell").select("cell", part("key", "r").alias("i"), F.explode(all_of("q")).alias("j"), F.lit(1).alias("side"), "key", "v", "d")
     dealt = side_a.unionByName(side_b).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "key")
-    found = dealt.mapInArrow(_compared(k), "query long, key long, similarity double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key")))
-    return ranked.where(F.col("rank") <= k)
+    return dealt.mapInArrow(_compared(k), "query long, key long, similarity double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

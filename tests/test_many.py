@@ -23,9 +23,10 @@ def brute_topk(queries, rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivots, piece", [(256, 1 << 16), (12, 40), (1, 7)])
-def test_nearest_rows_of_many_queries(spark, monkeypatch, pivots, piece):
-    """Clusters, equal rows, rows and queries of length zero, nulls; in pieces of a few rows and queries too."""
+@pytest.mark.parametrize("sent, pivots, piece", [(4096, 256, 1), (0, 256, 1 << 16), (0, 12, 40), (0, 1, 7)])
+def test_nearest_rows_of_many_queries(spark, monkeypatch, sent, pivots, piece):
+    """Clusters, equal rows, rows and queries of length zero, nulls; by one pass, and by cells, in pieces of a few rows and queries too."""
+    monkeypatch.setattr(V, "MOST_SENT", sent)
     monkeypatch.setattr(V, "ROWS_A_PIECE", piece)
     monkeypatch.setattr(V, "QUERIES_A_PIECE", max(3, piece // 5))
     rng = np.random.default_rng(pivots)
@@ -40,7 +41,9 @@ def test_nearest_rows_of_many_queries(spark, monkeypatch, pivots, piece):
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want))
 
 
-def test_nearest_rows_of_nothing(spark):
+@pytest.mark.parametrize("sent", [0, 4096])
+def test_nearest_rows_of_nothing(spark, monkeypatch, sent):
+    monkeypatch.setattr(V, "MOST_SENT", sent)
     kind = "id long, embedding array<double>"
     some, none, zero = spark.createDataFrame([(1, [1.0, 0.0])], kind), spark.createDataFrame([], kind), spark.createDataFrame([(5, [0.0, 0.0]), (6, [0.0, 0.0])], kind)
     assert V.topk_many(some, none, 3, "id", "id").count() == 0 and V.topk_many(none, some, 3, "id", "id").count() == 0
