@@ -62,7 +62,7 @@ BLOCK_ITEMS, BLOCK_WORDS, GROUP_WORDS = 256, 16_384, 65_536
 #: Words of texts that are worked on at once, a multiple of ``HALF``.
 STEP = 1 << 15
 #: Passages that are checked at once.
-HITS = 1 << 10
+HITS = 1 << 9
 #: Tasks whose matrices are added up in the first of two rounds.
 FIRST_ROUND = 64
 
@@ -289,7 +289,9 @@ class Search:
         best: dict[tuple[int, int, int], tuple[float, float, float]] = {}
         first = np.cumsum([0, *map(len, texts)])
         codes = np.concatenate([*texts, np.array([-1], np.int32)])
-        for b, text, item, at, cosine in self.hits(texts):
+        for b, *hit in self.hits(texts):
+            order = np.argsort(self.checks[b].size[hit[1]], kind="stable")  # items of about one length together, as the longest says how far to look
+            text, item, at, cosine = (x[order] for x in hit)
             for i in range(0, len(text), HITS):
                 some = slice(i, i + HITS)
                 of = text[some]
