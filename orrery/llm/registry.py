@@ -15,56 +15,69 @@ PSEUDONYM_KEY = "registered-query"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text, their digest and that of the text decoded from them; see ``bpe.digests``."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with pseudonyms for personal data; see ``pii.pseudonymised``."""
     return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components at three bits; see ``simhash.near_duplicates``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts with their places; see ``licenses.scan``."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets; see ``secrets.scan``."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which; see ``decontam.contaminated``."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition and the other rules of quality; see ``quality.verdicts``."""
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after those that others keep are dropped; see ``linededup.digests``."""
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written and read back; see ``tokenfile.write`` and ``read_all``."""
     to = shared_folder(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), to)
     return tokenfile.read_all(spark, to)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that is trained on the rows that aren't held out; see ``toxicity.predictions``."""
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each item, over an index built for it; see ``lexical.build`` and ``search``."""
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shared_folder(spark))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ; see ``divergence.audit``."""
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of three-word shingle sets at a similarity of 0.85; see ``minhash.near_duplicates``."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -176,7 +176,10 @@ def _dictionary_of(spark: SparkSession, at: str) -> bytes:
 
 
 def located(spark: SparkSession, at: str) -> DataFrame:
-    """The blocks with ``start``, the ids before each; the running total is over one row a partition."""
+    """The blocks with ``start``, the ids before each; the running total is over one row a partition.
+
+    Files of an empty table have no blocks.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(f"{at}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
@@ -184,7 +187,12 @@ def located(spark: SparkSession, at: str) -> DataFrame:
 
 
 def read_all(spark: SparkSession, at: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from its decompressed ids."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its decompressed ids.
+
+    A row for each row that was written, repeated ones too; of a null or empty
+    text the end id alone; a null id stays null and comes before all others.
+    Files of an empty table give an empty result.
+    """
     dictionary = _dictionary_of(spark, at)
 
     def rows(columns):

@@ -357,7 +357,13 @@ def _characters(text: str | None, listed: list[tuple[int, int, float]]) -> Itera
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted, passages): trained on the rows that aren't held out, applied to all."""
+    """(doc_id, held_out, score, predicted, passages): trained on the rows that aren't held out, applied to all.
+
+    A row for each row, repeated ones too. Null and empty texts have no tokens
+    and so the lowest score; a null id is never held out, nor trained on, as it
+    has no label; texts are scored whole. Without labels of both kinds all have
+    one score; an empty table gives an empty one; other columns don't matter.
+    """
     found = scores(docs, train(docs, labels, id_col, text_col), id_col, text_col)
     return found.select(
         "doc_id", F.coalesce(in_fold("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"

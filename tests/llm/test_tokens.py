@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import bpe, tokenfile
@@ -154,6 +155,19 @@ def test_digests_and_edge_rows(spark):
     assert back[1] == "hello there " and back[2] == "" and back[None] == "null id "
 
 
+def test_token_files_of_a_whole_table(spark, tmp_path):
+    """Every row against the library, from shuffled rows in many partitions, in many blocks."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tokenfile.write(rows.repartition(17, F.xxhash64("text")), PATH, str(tmp_path / "t"))
+    got = sorted(map(tuple, tokenfile.read_all(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
+    start, want = 0, []
+    for doc, text in sorted(map(tuple, rows.collect())):
+        i = [*ids(text or ""), 2]
+        want.append((doc, start, len(i), zlib.crc32(np.array(i, "<u4").tobytes())))
+        start += len(i)
+    assert got == want and len(got) >= 200
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, KIND).repartition(3)
     tokenfile.write(docs, PATH, str(tmp_path / "t"))
