@@ -21,6 +21,27 @@ def expanded(brands: DataFrame, edges: DataFrame, link_base: str) -> DataFrame:
     return first.select(F.col("__name").alias("brand_name"), F.col("first.name").alias("brand_name_eng"), brand_link(F.col("first.id"), link_base).alias("link"))
 
 
+def found_ids(answers: DataFrame, body: str = "body") -> DataFrame:
+    """(brand_name, brand_id, error) of captured answers (brand_name, body) to a look-up by name.
+
+    Only an answer of code 200 with a brand has an id; one that lists errors, or is no JSON, has an error instead, and
+    any other neither.
+    """
+    answer = F.from_json(body, "struct<errors: array<string>, data: struct<getBrandByNameResponse: struct<code: int, brand: struct<id: string>>>, _corrupt_record: string>")
+    reply = answer["data"]["getBrandByNameResponse"]
+    failed = answer["errors"].isNotNull() | answer["_corrupt_record"].isNotNull() | F.col(body).isNull()
+    error = F.when(failed, F.coalesce(F.to_json(answer["errors"]), F.lit("no answer")))
+    return answers.select("brand_name", F.when(~failed & (reply["code"] == 200), reply["brand"]["id"]).alias("brand_id"), error.alias("error"))
+
+
+def edges(found: DataFrame, answers: DataFrame, body: str = "body") -> DataFrame:
+    """(brand_name, id, name, name_kr) of captured answers (brand_id, body) on similar brands, for the brands whose id was found."""
+    similar = F.from_json(body, "struct<errors: array<string>, data: struct<getSimilarBrands: array<struct<id: long, name: string, name_kr: string>>>>")
+    near = answers.select("brand_id", F.when(similar["errors"].isNull(), similar["data"]["getSimilarBrands"]).alias("s"))
+    known = found.where("brand_id IS NOT NULL").select("brand_name", "brand_id")
+    return known.join(near, "brand_id").select("brand_name", F.explode("s").alias("s")).select("brand_name", "s.*")
+
+
 def inserted(brands: DataFrame, new: DataFrame) -> DataFrame:
     """``brands`` with the new ones, one for each name and link; rows without a link all stay."""
     return insert_ignore(brands, new, ["brand_name", "link"])

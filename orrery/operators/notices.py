@@ -15,6 +15,18 @@ def search_notices(items: DataFrame, user_id: int, page: int, failed: bool = Fal
     return each.unionByName(end).select(F.lit(user_id).alias("user_id"), "position", "type", F.lit(page).alias("page"), "payload")
 
 
+def messages(notices: DataFrame, error: str = "") -> DataFrame:
+    """(user_id, position, message) of search notices: the JSON that goes to the user's channel.
+
+    A result comes as a list of one that is added to what is shown (``is_append``), with its page; an error with its text; the end by itself.
+    """
+    result = F.concat(F.lit('{"type":"SEARCH_SUCCESS","results":['), F.col("payload"), F.lit('],"is_append":true,"page":'), F.col("page").cast("string"), F.lit("}"))
+    failed = F.to_json(F.struct(F.col("type"), F.lit(error).alias("message")))
+    end = F.to_json(F.struct("type"))
+    text = F.when(F.col("type") == "SEARCH_SUCCESS", result).when(F.col("type") == "SEARCH_ERROR", failed).otherwise(end)
+    return notices.select("user_id", "position", text.alias("message"))
+
+
 def crawl_notices(results: DataFrame) -> DataFrame:
     """(placeholder_id, type, payload) of rows (placeholder_id, error, and the saved product's columns)."""
     product = [c for c in results.columns if c not in ("placeholder_id", "error")]

@@ -14,7 +14,7 @@ from orrery.functions import vectors as V
 from orrery.operators import brands, federated, feed, merge, notices, paging, search, titles
 from orrery.plans.catalog import USER, products, query, saves, shops
 from orrery.schemas import BRANDS, LIST_COLUMNS
-from orrery.sources.captured import table
+from orrery.sources.captured import images, table
 from orrery.sources.shared import new_folder
 
 
@@ -347,3 +347,42 @@ def product_batch_upsert(spark: SparkSession, sf: str) -> DataFrame:
     )
     out = merge.upsert_products(existing, incoming, seq="seq")
     return out.select("source_url", "title", F.round(F.col("title_vector")[0], 6).alias("title_first"), F.round(F.col("image_vector")[0], 6).alias("image_first"), F.col("created_at").alias("created"))
+
+
+@query("""SELECT position, message, count(*) AS n FROM (SELECT 0 AS position, '{"type":"SEARCH_SUCCESS","results":[{"event_id":' || event_id || ',"image_url":"i"}],"is_append":true,"page":3}' AS message FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 1, '{"type":"SEARCH_ERROR","message":"a \\"b\\""}' UNION ALL SELECT 2, '{"type":"SEARCH_FINISHED"}') GROUP BY ALL""")
+def search_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes to a user's channel, word for word."""
+    items = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "").otherwise("i").alias("image_url"))
+    sent = notices.messages(notices.search_notices(items, USER, 3, failed=True), 'a "b"')
+    return sent.groupBy("position", "message").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name, p_brand, p_partkey % 5 AS kind FROM part)
+SELECT 'found' AS part, p_name || k AS brand_name, CASE WHEN kind IN (0, 4) THEN k::VARCHAR END AS value, kind IN (2, 3) AS failed FROM p
+UNION ALL SELECT 'edge', p_name || k, k + 1 || ' ' || p_brand || ' ' || coalesce(CASE WHEN k % 2 = 0 THEN 'k' END, '-'), false FROM p WHERE kind = 0""")
+def brand_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with a brand, with another code, with errors, broken and, for the last kind, with a brand whose similar ones couldn't be had."""
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 5
+    body = lambda code, brand: F.to_json(F.struct(F.struct(F.struct(F.lit(code).alias("code"), brand.alias("brand")).alias("getBrandByNameResponse")).alias("data")))
+    brand = F.struct(k.cast("string").alias("id"))
+    text = F.when(kind.isin(0, 4), body(200, brand)).when(kind == 1, body(404, brand)).when(kind == 2, F.lit('{"errors": ["x"], "data": null}')).otherwise(F.lit('{"data": '))
+    parts = table(spark, sf, "part").withColumn("brand_name", F.concat("p_name", k.cast("string")))
+    found = brands.found_ids(parts.select("brand_name", text.alias("body")))
+    near = F.array(F.struct((k + 1).alias("id"), F.col("p_brand").alias("name"), F.when(k % 2 == 0, "k").alias("name_kr")))
+    similar = F.when(kind == 4, F.lit('{"errors": ["y"]}')).otherwise(F.to_json(F.struct(F.struct(near.alias("getSimilarBrands")).alias("data"))))
+    linked = brands.edges(found, parts.select(k.cast("string").alias("brand_id"), similar.alias("body")))
+    shown = F.concat_ws(" ", F.col("id").cast("string"), "name", F.coalesce("name_kr", F.lit("-")))
+    first = found.select(F.lit("found").alias("part"), "brand_name", F.col("brand_id").alias("value"), F.col("error").isNotNull().alias("failed"))
+    return first.unionByName(linked.select(F.lit("edge").alias("part"), "brand_name", shown.alias("value"), F.lit(False).alias("failed")))
+
+
+@query("SELECT p_partkey, p_name AS title FROM part")
+def binary_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of bytes read whole, as images are: here each has the lines of some parts."""
+    folder = new_folder(spark, "files")
+    lines = table(spark, sf, "part").select(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name").alias("value"))
+    lines.repartition(8, "value").write.text(folder)
+    content = images(spark, f"{folder}/part-*").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    return content.select(F.split_part("line", F.lit("|"), F.lit(1)).cast("long").alias("p_partkey"), F.split_part("line", F.lit("|"), F.lit(2)).alias("title"))
