@@ -68,17 +68,17 @@ def slices(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES) -> Iterator[pa.
         yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple] | None], schema: str, most: int = 1 << 14) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple] | None], schema: str, most: int = 1 << 14, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """``rows(columns)`` over each Arrow batch of ``df``; its tuples make up the result.
 
-    A batch of more than ``BATCH_BYTES`` is taken in slices. At most ``most``
+    A batch of more than ``most_bytes`` is taken in slices. At most ``most``
     tuples are held before they go on as a batch.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, most_bytes):
                 held: list[tuple] = []
                 for row in rows([c.to_pylist() for c in some.columns]) or ():
                     held.append(row)

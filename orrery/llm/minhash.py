@@ -42,6 +42,8 @@ LOST = 1e-9
 BLOCK, BLOCK_BYTES = 256, 1 << 21
 #: Columns of the matrices in which overlaps are counted, at a time.
 COLUMNS = 1 << 13
+#: Words whose hashes are remembered; bytes of texts that are worked on at once, and whole sets that are held before they go on.
+KNOWN, TEXT_BYTES, SETS = 1 << 16, 1 << 23, 1 << 9
 #: Pairs whose union sketches are made at a time.
 PAIRS = 1 << 14
 
@@ -64,7 +66,7 @@ def shingle_set(text: str | None, known: dict[bytes, int] | None = None, shingle
     if not words:
         return np.zeros(0, np.uint64)
     known = {} if known is None else known
-    if len(known) > 1 << 20:
+    if len(known) > KNOWN:
         known.clear()
     for w in words:
         if w not in known:
@@ -105,7 +107,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, re
             yield doc, place, len(s), name_of(s), s[:listed].view(np.int64).tolist(), (s[:retained] >> np.uint64(32)).astype(np.uint32).tobytes()
 
     place = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_col, place), rows, "doc_id long, place long, n long, name string, first array<long>, sketch binary")
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_col, place), rows, "doc_id long, place long, n long, name string, first array<long>, sketch binary", 1 << 12, TEXT_BYTES)
 
 
 def _forest(near: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
@@ -267,7 +269,7 @@ def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col
             yield name_of(s), s.tobytes()
 
     texts = without(docs, written(groups.select("doc_id", "place"), "wanted"), keys, inside=True).select(text_col)
-    whole = map_batches(texts, rows, "name string, hashes binary").dropDuplicates(["name"])
+    whole = map_batches(texts, rows, "name string, hashes binary", SETS, TEXT_BYTES).dropDuplicates(["name"])
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes)))
     large = groups.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
     held = whole.join(groups.select("id", "name", "root"), "name").join(large, "root", "left")
