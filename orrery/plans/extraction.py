@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import normalize as N
 from orrery.operators import brands, federated, sites
 from orrery.plans.catalog import LISTING, query
-from orrery.sources import html
+from orrery.sources import html, selectors
 from orrery.sources.captured import item_records, state_items, table
 
 
@@ -223,3 +223,17 @@ def site_labels(spark: SparkSession, sf: str) -> DataFrame:
     host = host.when(k == 3, F.concat(name, F.lit(".ck."))).when(k == 4, "co.uk").when(k == 5, F.concat(F.lit("10.0.0."), text(F.col("s_suppkey") % 250))).otherwise(F.concat(F.lit("shop."), name, F.lit(".unknown")))
     urls = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("https://"), host, F.lit("/p?q=1")).alias("url"))
     return sites.site_labels(urls, rules).select("s_suppkey", "site", "suffix")
+
+
+@query("""
+SELECT p_partkey, place, CASE place WHEN 0 THEN '/b/' || p_partkey WHEN 2 THEN '/c?x=1&y=' || p_size END AS link, CASE place WHEN 0 THEN p_brand || chr(10) || p_type WHEN 1 THEN 'only & name' END AS name,
+CASE place WHEN 2 THEN 'k' || p_size END AS mark FROM part, range(3) t(place)""")
+def page_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and their fields by selectors: children, descendants, attributes by their start, elements that are left open, and gaps."""
+    first = F.concat(F.lit('<div class="x brand_con"><p>no</p><div class="brand_image"><span><a href="/b/'), text("p_partkey"), F.lit('">i</a></span></div><div class="brand_dec"><p> '),
+                     F.col("p_brand"), F.lit("<br>"), F.col("p_type"), F.lit("</p><p>later</p></div></div>"))
+    second = F.lit('<div class="brand_con"><a href="/no">x</a><div class="brand_dec"><p>only &amp; name</div></div><div class="brand"><div class="brand_image"><a href="/no">y</a></div></div>')
+    third = F.concat(F.lit('<section><div id="z" class="brand_con"><div class="brand_image"><a href="/c?x=1&amp;y='), text("p_size"), F.lit('"></a></div><b data-kind="mark:1" data-v="k'), text("p_size"), F.lit('"></b>'))
+    pages = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("<html><body>"), first, second, third).alias("html"))
+    fields = {"link": ".brand_image a@href", "name": ".brand_dec > p", "mark": 'b[data-kind^="mark:"]@data-v'}
+    return selectors.selected(pages, "div.brand_con", fields, keep=["p_partkey"]).select("p_partkey", F.col("at").cast("long").alias("place"), *fields)

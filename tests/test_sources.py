@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from orrery.functions import hooks
 from orrery.operators import brands, notices, sites
-from orrery.sources import captured, html
+from orrery.sources import captured, html, selectors
 
 MARKED = '<h1 class="Product-title"> A <b>b</b></h1><div class="big Product-price">₩1,000</div><h2 class="Product-brand">X</h2><img class="Product-image" src="i.png"><div class="Product-buy">구매하기</div>'
 LINKED = '<script type="application/ld+json">%s</script>'
@@ -96,3 +98,19 @@ def test_notices(spark):
     assert [r["type"] for r in notices.search_notices(items, 1, 2, failed=True).orderBy("position").collect()] == ["SEARCH_SUCCESS", "SEARCH_ERROR", "SEARCH_FINISHED"]
     results = spark.createDataFrame([(-1, None, 5), (-2, "gone", None)], "placeholder_id long, error string, product_id int")
     assert {r["placeholder_id"]: (r["type"], r["payload"]) for r in notices.crawl_notices(results).collect()} == {-1: ("CRAWL_SUCCESS", '{"product_id":5}'), -2: ("CRAWL_ERROR", '{"error":"gone"}')}
+
+
+def test_selectors():
+    page = ('<ul><li class="menu x"><a class="view" href="/b1">비<br>B</a></li><li class="menu"><p><a class="view" href="/deep">d</a></p></li><li class="menu"><a href="/no">x</a></li>'
+            '<li class="menu" id="last"><a class="view big" href="/open">o &amp; p</ul><div data-a="og:t" class="menu">z')
+    assert selectors.records(page, "li.menu > a.view", {"t": "", "h": "@href"}) == [{"t": "비\nB", "h": "/b1"}, {"t": "o & p", "h": "/open"}]
+    assert selectors.records(page, "li.menu", {"t": "a.view", "h": "a@href", "n": "b"}) == [
+        {"t": "비\nB", "h": "/b1", "n": None}, {"t": "d", "h": "/deep", "n": None}, {"t": None, "h": "/no", "n": None}, {"t": "o & p", "h": "/open", "n": None}]
+    assert [r["t"] for r in selectors.records(page, "#last a, div[data-a^='og:']", {"t": ""})] == ["o & p", "z"]
+    assert [r["t"] for r in selectors.records(page, "ul .view.big", {"t": ""})] == ["o & p"] and selectors.records(page, "ul > a", {"t": ""}) == []
+    nested = '<div class="i"><b>1</b><div class="i"><b>2</b></div></div><img class="i" src="s"><b>3</b>'
+    assert selectors.records(nested, ".i", {"t": "b", "s": "@src"}) == [{"t": "1", "s": None}, {"t": "2", "s": None}, {"t": None, "s": "s"}]
+    assert selectors.records(None, "*", {"t": ""}) == [] and selectors.records("</p><<<b", "p", {"t": ""}) == []
+    for wrong in ("", ">", "a >", "a:hover", "a[", "a + b"):
+        with pytest.raises(ValueError):
+            selectors.compiled(wrong)
