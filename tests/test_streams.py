@@ -129,3 +129,21 @@ def test_finished_categories_are_not_read_again(spark, tmp_path, captured):
     watched = captured.withColumn("body", F.when(F.col("url") == "c0", F.lit(None)).otherwise(F.col("body")))  # would end c with no page, were it read
     frontier.crawl(store, watched, buckets=2)
     assert stands(store) == {"c": (1, True), "e": (2, True)}
+
+
+def test_rounds_grow_with_the_logarithm_of_a_list(spark, tmp_path):
+    """Each round takes twice as many pages; a list that comes back to itself goes on, bounded by the pages that there are."""
+    rows = [captured_page(f"l{i}", [(f"p{i}", str(i)), ("same", f"l{i}")], f"l{i + 1}" if i < 40 else None) for i in range(41)]
+    rows += [captured_page("x0", [("q0", "x")], "x1"), captured_page("x1", [("q1", "x")], "x0")]
+    df = spark.createDataFrame(rows, "url string, body string")
+    store = Store(spark, str(tmp_path / "store"))
+    frontier.start(store, spark.createDataFrame([("l", "l0")], "category string, url string"), 2)
+    assert frontier.crawl(store, df, most_rounds=1, pages_a_round=3, buckets=2) == 1 and stands(store) == {"l": (3, False)}
+    assert frontier.crawl(store, df, pages_a_round=3, buckets=2) == 4  # 3, 6, 12 and 24 pages; one by one it would be 13
+    assert stands(store) == {"l": (41, True)}
+    assert {r["source_url"]: r["title"] for r in store.read("products").collect()} == {**{f"p{i}": str(i) for i in range(41)}, "same": "l40"}
+    loop = frontier.Links(frontier.links(df))
+    begun = spark.createDataFrame([("x", "x1", 5, False)], frontier.FRONTIER)
+    pages, moved = frontier.reached(begun, loop, 5)
+    assert sorted((r["number"], r["url"]) for r in pages.collect()) == [(6, "x1"), (7, "x0"), (8, "x1"), (9, "x0"), (10, "x1")]
+    assert list(map(tuple, moved.collect())) == [("x", "x0", 10, False)]
