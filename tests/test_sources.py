@@ -127,3 +127,11 @@ def test_titles_are_those_of_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     want = duckdb.sql(f"WITH pages AS (FROM '{tmp_path}/pages.parquet/*.parquet') {catalog.ORACLES['html_extract'].strip().replace('WITH t AS', ', t AS', 1)}").fetchall()
     assert sorted(map(tuple, catalog.QUERIES["html_extract"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_pages_are_dealt_to_all_tasks(spark):
+    """Pages that a scan gives as one part are parsed by as many tasks as shuffles have."""
+    df = spark.range(400).coalesce(1).selectExpr("concat('u', id) AS url", "concat('<title>', id, '</title><p class=x>', id, '</p>') AS html")
+    for rows in (selectors.selected(df, "p.x", {"t": ""}, keep=["url"]), html.parsed(df), html.anchors(df)):
+        assert rows.rdd.getNumPartitions() >= 4
+    assert {(r["url"], r["t"]) for r in selectors.selected(df, "p.x", {"t": ""}, keep=["url"]).collect()} == {(f"u{i}", str(i)) for i in range(400)}
