@@ -9,11 +9,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from orrery.sources.shared import slices
+
+#: Values that are held with their vectors at a time.
+PIECE = 1024
+
 
 def encoder(load: Callable[[], Callable[[list], list]]):
     """A vectorised function from texts, or image bytes, to vectors. ``load`` gives a function from a list to a list.
@@ -21,14 +27,28 @@ def encoder(load: Callable[[], Callable[[list], list]]):
     Nulls aren't encoded and stay null; so does what the model gives no vector for.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
-        for batch in batches:
-            known = batch[batch.notna()]
-            vectors = pd.Series(list(model(known.tolist())), index=known.index, dtype=object) if len(known) else pd.Series(dtype=object)
-            yield vectors.reindex(batch.index).where(lambda s: s.notna(), None)
+        for values in (some for batch in batches for some in pieces(batch)):
+            known = [v for v in values if v is not None]
+            vectors = list(model(known)) if known else []
+            if len(vectors) != len(known):
+                raise ValueError(f"{len(vectors)} vectors of {len(known)} values")
+            rest = iter(vectors)
+            yield _vectors([None if v is None else next(rest) for v in values])
+
+    return F.arrow_udf(run, ArrayType(FloatType()))
+
+
+def pieces(batch: pa.Array, most: int = PIECE) -> Iterator[list]:
+    """The values of an Arrow batch, of few bytes and ``most`` at a time: what is held doesn't grow with the batch."""
+    for some in slices(batch):
+        for at in range(0, len(some), most):
+            yield some.slice(at, most).to_pylist()
+
 
-    return F.pandas_udf(run, ArrayType(FloatType()))
+def _vectors(vectors: list) -> pa.Array:
+    return pa.array([None if v is None else np.asarray(v, np.float32) for v in vectors], pa.list_(pa.float32()))
 
 
 @dataclass(frozen=True)
@@ -75,20 +95,22 @@ def encoded(rows: DataFrame, value: str, load: Callable[[], Callable[[list], lis
     """
     kind = f"struct<{into} array<float>, {into}_error string>"
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, task = load(), TaskContext.get()
         rng = random.Random(f"{patience.seed}-{task.partitionId() if task else 0}")
+        most = patience.batch * max(1, PIECE // patience.batch, patience.calls)
         with ThreadPoolExecutor(max(1, patience.calls)) as pool:
-            for batch in batches:
-                known = batch[batch.notna()]
-                parts = [known.iloc[i : i + patience.batch].tolist() for i in range(0, len(known), patience.batch)]
-                done = [x for part in pool.map(lambda p: attempted(model, p, patience, fallback, rng), parts) for x in part]
-                found = pd.DataFrame(done, columns=[into, f"{into}_error"], index=known.index, dtype=object)
-                yield found.reindex(batch.index).astype(object).where(lambda f: f.notna(), None)
+            for values in (some for batch in batches for some in pieces(batch, most)):
+                known = [v for v in values if v is not None]
+                parts = [known[i : i + patience.batch] for i in range(0, len(known), patience.batch)]
+                rest = (x for part in pool.map(lambda p: attempted(model, p, patience, fallback, rng), parts) for x in part)
+                done = [(None, None) if v is None else next(rest) for v in values]
+                errors = pa.array([e for _, e in done], pa.string())
+                yield pa.StructArray.from_arrays([_vectors([v for v, _ in done]), errors], names=[into, f"{into}_error"])
 
     if patience.most_calls:
         rows = rows.coalesce(max(1, patience.most_calls // max(1, patience.calls)))
-    made = F.pandas_udf(run, kind)
+    made = F.arrow_udf(run, kind)
     return rows.withColumn("__made", made(value)).select(*rows.columns, f"__made.{into}", f"__made.{into}_error")
 
 

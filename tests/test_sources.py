@@ -135,3 +135,20 @@ def test_pages_are_dealt_to_all_tasks(spark):
     for rows in (selectors.selected(df, "p.x", {"t": ""}, keep=["url"]), html.parsed(df), html.anchors(df)):
         assert rows.rdd.getNumPartitions() >= 4
     assert {(r["url"], r["t"]) for r in selectors.selected(df, "p.x", {"t": ""}, keep=["url"]).collect()} == {(f"u{i}", str(i)) for i in range(400)}
+
+
+def test_a_model_is_given_few_values_at_a_time(spark):
+    """However large an Arrow batch is: texts and vectors are held in pieces, and each row keeps its own."""
+    seen = lambda texts: [[float(len(texts)), float(t[1:] or 0)] for t in texts]
+    df = spark.range(5000).coalesce(1).selectExpr("id", "CASE WHEN id % 7 <> 3 THEN concat('t', id) END AS t")
+    plain = df.select("id", "t", hooks.encoder(lambda: seen)("t").alias("vector"))
+    tried = hooks.encoded(df, "t", lambda: seen, hooks.Patience(batch=4096))
+    for rows, most in ((plain, hooks.PIECE), (tried, 4096)):
+        got = rows.collect()
+        assert len(got) == 5000 and all((r["vector"] is None) == (r["t"] is None) for r in got)
+        assert all(r["vector"][1] == r["id"] and r["vector"][0] <= most for r in got if r["t"])
+    import pyarrow as pa
+
+    lengths = list(map(len, hooks.pieces(pa.array(["x" * 10_000] * 5000), 2048)))
+    assert sum(lengths) == 5000 and max(lengths) < 450  # 4 MB at a time
+    assert max(map(len, hooks.pieces(pa.array(["x"] * 5000), 2048))) == 2048
