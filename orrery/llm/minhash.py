@@ -13,8 +13,10 @@ hashes of both, can be one of a link (a link falls under it with a chance of
 pairs; what they connect are the candidate groups.
 
 Within candidate groups, and only there, whole sets are made again from the
-texts and compared exactly. Long lists and large groups are cut into blocks, and
-each pair of blocks is one piece of work.
+texts and compared exactly. Long lists and large groups are cut into blocks.
+First each block meets one of them, which ties a group of near copies with about
+twice its rows; only what is apart then meets in pairs of blocks, so that no
+link is lost.
 """
 
 from __future__ import annotations
@@ -196,15 +198,47 @@ def linked(rows: list[np.ndarray], block: np.ndarray, numerator: int = NUMERATOR
     return _forest(100 * common >= numerator * (sizes[:, None] + sizes[None, :] - common), block)
 
 
-def _pieces(rows: DataFrame, key: list[str], blocks: Column, payload: list[str]) -> DataFrame:
-    """``rows`` (with ``id``) dealt to the pieces of their ``key``: each pair of blocks, of which there are ``blocks``, is one."""
-    rows = rows.withColumn("__blocks", blocks.cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")
-    # a row of block i goes to the pieces (i, j) and (j, i), one for each other block j
-    dealt = F.when(F.col("__blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    )
-    return rows.select(*key, "id", own.alias("own"), *payload, F.explode(dealt).alias("__p")).select(*key, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"), "id", "own", *payload)
+def _against_first(members: DataFrame, key: list[str]) -> DataFrame:
+    """``members`` (key, id, parts) dealt to pieces of their ``key``: each block, of which there are ``parts``, with the first one.
+
+    The first block's rows alone are copied to all, so that about twice the rows come out, however large a group is.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = F.when((own > 0) | (F.col("parts") == 1), F.array(own)).otherwise(F.sequence(F.lit(1), F.col("parts") - 1))
+    return members.select(*key, F.lit(0).alias("i"), F.explode(dealt).alias("j"), "id", F.lit(0).alias("own"))
+
+
+def _still_apart(members: DataFrame, key: list[str], tied: DataFrame) -> DataFrame:
+    """``members`` dealt to the pieces that can still join something, where ``tied`` (node, root) is known.
+
+    Of a key, the rows of the root that has most of them are the bulk: no two of
+    these need to meet. The others meet each other and the bulk, in pairs of
+    blocks. Of a group that is tied nothing is left, and few others make few copies.
+    """
+    roots = members.join(tied.select(F.col("node").alias("id"), F.col("root").alias("__tied")), "id", "left").withColumn("__tied", F.coalesce("__tied", "id"))
+    counts = roots.groupBy(*key, "parts", "__tied").agg(F.count("*").alias("__n"))
+    bulk = counts.groupBy(*key, "parts").agg(F.max_by("__tied", F.struct("__n", "__tied")).alias("__bulk"), F.sum("__n").alias("__all"), F.max("__n").alias("__most"))
+    share = lambda n: F.ceil(n * F.col("parts") / F.col("__all")).cast("int")
+    bulk = bulk.where("__all > __most").select(*key, "__bulk", share(F.col("__all") - F.col("__most")).alias("__others"), share(F.col("__most")).alias("__bulks"))
+    rows, place = roots.join(bulk, key), F.xxhash64("id")
+    inside = F.col("__tied") == F.col("__bulk")
+    own = F.when(inside, F.col("__others") + F.pmod(place, F.col("__bulks"))).otherwise(F.pmod(place, F.col("__others"))).cast("int")
+    upto = F.when(inside, F.col("__others")).otherwise(F.col("__others") + F.col("__bulks"))
+    dealt = F.transform(F.sequence(F.lit(0), upto - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    return rows.select(*key, F.explode(dealt).alias("__p"), "id", own.alias("own")).select(*key, "__p.i", "__p.j", "id", "own")
+
+
+def _links_of(members: DataFrame, key: list[str], loaded: Callable[[DataFrame], DataFrame], links: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that connect what ``links`` connects of all members (key, id, parts) of a key; ``loaded`` adds to dealt ids what is compared.
+
+    First each block meets one of them; what this leaves apart meets in a second pass.
+    """
+    first = written(_by_piece(loaded(_against_first(members, key)), len(key), links), "first")
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return first
+    rest = written(_still_apart(large, key, components(first)), "apart")
+    return first if rest.isEmpty() else first.union(_by_piece(loaded(rest), len(key), links))
 
 
 def _by_piece(dealt: DataFrame, n_keys: int, links: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
@@ -246,14 +280,17 @@ def candidate_links(distinct: DataFrame, retained: int = RETAINED, numerator: in
     lists = F.array(F.struct(F.col("class").alias("class"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("class"), F.lit(True).alias("guest")))
     listed = written(heads.join(common, "value").select("value", "id", F.explode(lists).alias("x")).select("value", "id", "x.*"), "lists")
     sizes = listed.groupBy("value", "class").agg(F.count("*").alias("rows"), F.count_if(~F.col("guest")).alias("hosts")).where("rows > 1 and hosts > 0")
-    rows = listed.join(sizes, ["value", "class"]).join(distinct.select("id", "n", "sketch"), "id")
-    dealt = _pieces(rows, ["value", "class"], F.ceil(F.col("rows") / F.lit(block)), ["n", "sketch"])
+    members = listed.join(sizes, ["value", "class"]).select("value", "class", "id", F.ceil(F.col("rows") / F.lit(block)).cast("int").alias("parts"))
+    sketches = distinct.select("id", "n", "sketch")
+
+    def loaded(dealt: DataFrame) -> DataFrame:
+        return dealt.join(sketches, "id").select(*dealt.columns, "n", "sketch")
 
     def links(columns: list[list]) -> list[tuple[int, int]]:
         own, sizes, sketches = columns
         return candidates(np.array(sizes), [np.frombuffer(s, np.uint32) for s in sketches], np.array(own), retained, numerator, lost)
 
-    return _by_piece(dealt, 2, links)
+    return _links_of(members, ["value", "class"], loaded, links)
 
 
 def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col: str, shingle: int = SHINGLE, numerator: int = NUMERATOR, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -268,18 +305,21 @@ def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col
             s = shingle_set(text, known, shingle)
             yield name_of(s), s.tobytes()
 
-    texts = without(docs, written(groups.select("doc_id", "place"), "wanted"), keys, inside=True).select(text_col)
-    whole = map_batches(texts, rows, "name string, hashes binary", SETS, TEXT_BYTES).dropDuplicates(["name"])
+    def loaded(dealt: DataFrame) -> DataFrame:
+        wanted = groups.join(dealt.select("id").distinct(), "id", "left_semi")
+        texts = without(docs, written(wanted.select("doc_id", "place"), "wanted"), keys, inside=True).select(text_col)
+        whole = map_batches(texts, rows, "name string, hashes binary", SETS, TEXT_BYTES).dropDuplicates(["name"])
+        return dealt.join(whole.join(groups.select("id", "name"), "name").select("id", "hashes"), "id").select(*dealt.columns, "hashes")
+
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes)))
     large = groups.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
-    held = whole.join(groups.select("id", "name", "root"), "name").join(large, "root", "left")
-    dealt = _pieces(held, ["root"], F.coalesce("blocks", F.lit(1)), ["hashes"])
+    members = groups.select("id", "root").join(large, "root", "left").select("root", "id", F.coalesce(F.col("blocks").cast("int"), F.lit(1)).alias("parts"))
 
     def links(columns: list[list]) -> list[tuple[int, int]]:
         own, hashes = columns
         return linked([np.frombuffer(h, np.uint64) for h in hashes], np.array(own), numerator)
 
-    return _by_piece(dealt, 1, links)
+    return _links_of(members, ["root"], loaded, links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:

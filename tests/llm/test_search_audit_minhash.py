@@ -260,3 +260,23 @@ def test_bound_of_sketches():
     shared = rng.binomial(minhash.RETAINED, 0.85, 2_000_000)
     assert (shared < minhash.least_shared()).sum() == 0 and minhash.least_shared() >= 0.5 * minhash.RETAINED
 
+
+
+def test_a_large_group_is_dealt_by_its_rows(spark):
+    """The first pass makes two rows of each at most; the second has only what is apart, and what is apart meets all."""
+    members = spark.range(4000).selectExpr("0 AS root", "id", "20 AS parts")
+    assert minhash._against_first(members, ["root"]).count() < 2 * 4000 * 1.2
+    tied = lambda n: spark.range(n).selectExpr("id AS node", "0L AS root")
+    assert minhash._still_apart(members, ["root"], tied(4000)).count() == 0
+    few = minhash._still_apart(members, ["root"], tied(3990))
+    assert few.count() < 4500
+    met = {(r["i"], r["j"], r["id"]) for r in few.collect()}
+    at = {}
+    for i, j, x in met:
+        at.setdefault(x, set()).add((i, j))
+    assert all(at[x] & at[y] for x in range(3990, 4000) for y in range(4000))
+    none = minhash._still_apart(members.where("id < 60").selectExpr("root", "id", "3 AS parts"), ["root"], tied(0))
+    at = {}
+    for r in none.collect():
+        at.setdefault(r["id"], set()).add((r["i"], r["j"]))
+    assert all(at[x] & at[y] for x in range(60) for y in range(60))
