@@ -31,6 +31,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,7 +100,10 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {self.vocab[a] << 32 | self.vocab[b]: i for i, (a, b) in enumerate(self.merges)}
+        self.rank: list[dict[int, int]] = [{}] * (max(self.vocab.values(), default=-1) + 1)  # by the left part, then the right one: small numbers, none of which needs to be made
+        for i, (a, b) in enumerate(self.merges):
+            self.rank[self.vocab[a]] = self.rank[self.vocab[a]] or {}
+            self.rank[self.vocab[a]][self.vocab[b]] = i
         self.made = [self.vocab[a + b] for a, b in self.merges]
         chars = byte_symbols()
         self.inner = [self.vocab[chars[b]] for b in range(256)]
@@ -124,35 +128,35 @@ class Encoder:
         """All merges of a sequence of symbols."""
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank, none = self.rank, len(self.made)
-        ranks = [rank.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        rank, made, none = self.rank, self.made, len(self.made)
+        ranks = [rank[a].get(b, none) for a, b in pairwise(ids)]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            ids[i] = self.made[best]
+            ids[i] = new = made[best]
             del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get(ids[i] << 32 | ids[i + 1], none)
+                ranks[i] = rank[new].get(ids[i + 1], none)
             if i:
-                ranks[i - 1] = rank.get(ids[i - 1] << 32 | ids[i], none)
+                ranks[i - 1] = rank[ids[i - 1]].get(new, none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         rank, made, n = self.rank, self.made, len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := rank[ids[i]].get(ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or rank.get(ids[i] << 32 | ids[j]) != r:
+            if ids[i] < 0 or j < 0 or rank[ids[i]].get(ids[j]) != r:
                 continue
             ids[i], ids[j] = made[r], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if (q := rank.get(ids[i] << 32 | ids[after[i]])) is not None:
+                if (q := rank[ids[i]].get(ids[after[i]])) is not None:
                     heapq.heappush(heap, (q, i))
-            if (p := before[i]) >= 0 and (q := rank.get(ids[p] << 32 | ids[i])) is not None:
+            if (p := before[i]) >= 0 and (q := rank[ids[p]].get(ids[i])) is not None:
                 heapq.heappush(heap, (q, p))
         return [x for x in ids if x >= 0]
 

@@ -185,3 +185,18 @@ def test_token_files(spark, tmp_path):
         tokenfile.Block(data, b"another dictionary")
     tokenfile.write(docs.limit(0), PATH, str(tmp_path / "e"))
     assert tokenfile.read_all(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_merges_are_looked_up_by_small_numbers():
+    """Ranks by left and right part say what the merge list says, for short words and long ones."""
+    import public_tokenizers
+
+    from orrery.llm import bpe
+
+    e = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(map(len, {id(d): d for d in e.rank}.values())) == len({(a, b) for a, b in e.merges})
+    assert all(e.rank[e.vocab[a]][e.vocab[b]] == i for i, (a, b) in list(enumerate(e.merges))[::97])
+    for word in ("understanding", "x", "erreouti", "fürscheräch" * 9):
+        b = word.encode()
+        ids = [*(e.inner[x] for x in b[:-1]), e.final[b[-1]]]
+        assert e.merge(list(ids)) == e._merge_long(list(ids)) == e.library().encode(word, add_special_tokens=False).ids
