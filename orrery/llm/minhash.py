@@ -5,7 +5,10 @@ sketch is the ``RETAINED`` smallest hashes, and all of them of a smaller set.
 Equal sets are one from the start. Sets meet in the inverted lists of their
 ``LISTED`` smallest hashes: of two whose similarity is J, none of these is
 shared with a chance of (1 - J)^LISTED at most, 1.3e-10 at 0.85; sets of no more
-than ``LISTED`` hashes are listed whole, and so can't miss each other. In a list
+than ``LISTED`` hashes are listed whole, and so can't miss each other. A set
+whose smallest hashes are in many others, as those of a phrase that a corpus
+repeats, is listed by rarer ones of its ``HEADS`` smallest instead (see
+``listed_of``), and of lists with the same members one is enough. In a list
 the overlaps of all sketches are counted at once, and a pair goes on if the
 similarity estimated from the sketch of its union, the ``RETAINED`` smallest
 hashes of both, can be one of a link (a link falls under it with a chance of
@@ -38,6 +41,8 @@ SHINGLE = 3
 NUMERATOR = 85
 #: Hashes of a sketch, and those of them that have inverted lists.
 RETAINED, LISTED = 64, 12
+#: Smallest hashes among which sets look for rarer ones than the first; frequent hashes that are known as such, at most.
+HEADS, FREQUENT = 32, 1 << 16
 #: The chance that a link is taken for none by its sketches.
 LOST = 1e-9
 #: Sets of a list or group that are one block, and bytes of whole sets of one.
@@ -99,14 +104,52 @@ def least_shared(sketch: int = RETAINED, numerator: int = NUMERATOR, lost: float
     return sketch
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, retained: int = RETAINED, listed: int = LISTED) -> DataFrame:
-    """(doc_id, place, n, name, first, sketch): number and name of each row's set, its hashes that have lists, and its sketch; ``place`` is a hash of the text."""
+def least_free(heads: int = HEADS, listed: int = LISTED, numerator: int = NUMERATOR) -> int:
+    """Of ``heads`` hashes, as many as must not be frequent for a set to do without lists of frequent ones.
+
+    A link is missed only if all of them are among the hashes that the two sets
+    don't share, of the ``heads`` smallest of their union: a chance no larger
+    than that of sharing none of ``listed`` hashes.
+    """
+    apart, above = 1 - numerator / 100, 0.0
+    for x in range(heads, -1, -1):
+        above += math.comb(heads, x) * apart**x * (1 - apart) ** (heads - x)
+        if above > apart**listed:
+            return x + 1
+    return 0
+
+
+def listed_of(n: int, first: np.ndarray, frequent: np.ndarray, listed: int = LISTED, heads: int = HEADS, numerator: int = NUMERATOR) -> np.ndarray:
+    """The hashes in whose lists a set of ``n`` is, by its ``heads`` smallest ones; ``frequent`` are sorted, and may be any.
+
+    A set without frequent ones among the ``listed`` smallest has the lists of
+    these. Others have those of all their hashes that aren't frequent, and the
+    smallest besides if too few are left: two of these meet by the smallest,
+    one of these and any other by what isn't frequent.
+    """
+    rare = ~_within(first, frequent)
+    if rare[:listed].all():
+        return first[:listed]
+    small = 100 * n <= numerator * heads and numerator * rare.sum() > (100 - numerator) * n  # a link's union is among the heads, so what isn't shared is few
+    if small or rare.sum() >= least_free(heads, listed, numerator):
+        return first[rare]
+    rare[:listed] = True
+    return first[rare]
+
+
+def _within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in a sorted array."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, retained: int = RETAINED, heads: int = HEADS) -> DataFrame:
+    """(doc_id, place, n, name, first, sketch): number and name of each row's set, its smallest hashes, and its sketch; ``place`` is a hash of the text."""
 
     def rows(columns):
         known: dict[bytes, int] = {}
         for doc, text, place in zip(*columns):
             s = shingle_set(text, known, shingle)
-            yield doc, place, len(s), name_of(s), s[:listed].view(np.int64).tolist(), (s[:retained] >> np.uint64(32)).astype(np.uint32).tobytes()
+            yield doc, place, len(s), name_of(s), s[:heads].view(np.int64).tolist(), (s[:retained] >> np.uint64(32)).astype(np.uint32).tobytes()
 
     place = F.xxhash64(F.coalesce(text_col, F.lit("")))
     return map_batches(docs.select(F.col(id_col).cast("long"), text_col, place), rows, "doc_id long, place long, n long, name string, first array<long>, sketch binary", 1 << 12, TEXT_BYTES)
@@ -272,14 +315,26 @@ def candidate_links(distinct: DataFrame, retained: int = RETAINED, numerator: in
 
     Lists are kept by size: a set of size class c is in the lists of c and, as a
     guest, of c + 1, as those of a link are of one class or of two that follow
-    each other. Only lists in which sets meet carry sketches.
+    each other. Only lists in which sets meet carry sketches, and of lists with
+    the same members only one.
     """
     size_class = F.floor(F.ln("n") / F.lit(1.0001 * math.log(100 / numerator))).cast("int")  # a little wider than the sizes of a link can be apart
-    heads = distinct.where("n > 0").select("id", size_class.alias("class"), F.explode("first").alias("value"))
+    counts = distinct.select(F.explode("first").alias("value")).groupBy("value").agg(F.count("*").alias("sets")).where(F.col("sets") > block)
+    frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("sets"), "value").limit(FREQUENT).collect()], np.int64))
+    shared = distinct.sparkSession.sparkContext.broadcast(frequent)
+
+    def chosen(columns):
+        for id_, own, n, first in zip(*columns):
+            yield id_, own, listed_of(n, np.array(first, np.int64), shared.value, numerator=numerator).tolist()
+
+    some = map_batches(distinct.where("n > 0").select("id", size_class.alias("class"), "n", "first"), chosen, "id long, class int, listed array<long>", 1 << 12, TEXT_BYTES)
+    heads = written(some, "listed").select("id", "class", F.explode("listed").alias("value"))
     common = heads.groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1").select("value")
     lists = F.array(F.struct(F.col("class").alias("class"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("class"), F.lit(True).alias("guest")))
     listed = written(heads.join(common, "value").select("value", "id", F.explode(lists).alias("x")).select("value", "id", "x.*"), "lists")
-    sizes = listed.groupBy("value", "class").agg(F.count("*").alias("rows"), F.count_if(~F.col("guest")).alias("hosts")).where("rows > 1 and hosts > 0")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]  # 128 bits of a list's members
+    sizes = listed.groupBy("value", "class").agg(F.count("*").alias("rows"), F.count_if(~F.col("guest")).alias("hosts"), *marks).where("rows > 1 and hosts > 0")
+    sizes = written(sizes.groupBy("class", "rows", "mark0", "mark1").agg(F.min("value").alias("value")), "sizes")
     members = listed.join(sizes, ["value", "class"]).select("value", "class", "id", F.ceil(F.col("rows") / F.lit(block)).cast("int").alias("parts"))
     sketches = distinct.select("id", "n", "sketch")
 
@@ -309,7 +364,8 @@ def exact_links(groups: DataFrame, docs: DataFrame, keys: list[Column], text_col
         wanted = groups.join(dealt.select("id").distinct(), "id", "left_semi")
         texts = without(docs, written(wanted.select("doc_id", "place"), "wanted"), keys, inside=True).select(text_col)
         whole = map_batches(texts, rows, "name string, hashes binary", SETS, TEXT_BYTES).dropDuplicates(["name"])
-        return dealt.join(whole.join(groups.select("id", "name"), "name").select("id", "hashes"), "id").select(*dealt.columns, "hashes")
+        named = dealt.join(groups.select("id", "name"), "id")  # the small side goes to the names, where the sets are already
+        return named.join(whole, "name").select(*dealt.columns, "hashes")
 
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_bytes)))
     large = groups.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")

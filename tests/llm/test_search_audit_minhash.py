@@ -280,3 +280,63 @@ def test_a_large_group_is_dealt_by_its_rows(spark):
     for r in none.collect():
         at.setdefault(r["id"], set()).add((r["i"], r["j"]))
     assert all(at[x] & at[y] for x in range(60) for y in range(60))
+
+
+def phrase_corpus(rng, n):
+    """Texts that share a phrase and are apart else, with an edited copy of every fifth."""
+    phrase = [f"p{i}" for i in range(14)]
+    own = [phrase + [f"{k}z{j}" for j in range(70)] for k in range(n)]
+    return [" ".join(w) for w in own] + [" ".join(edited(rng, w, 0.01)) for w in own[::5]]
+
+
+def listed_rows(spark, monkeypatch, texts):
+    """How many rows the two passes deal, and the groups of ``near_duplicates`` over ``texts``."""
+    dealt = {"_against_first": 0, "_still_apart": 0}
+    for name in dealt:
+
+        def counted(members, key, *more, f=getattr(minhash, name), name=name):
+            out = f(members, key, *more)
+            dealt[name] += out.count() if key == ["value", "class"] else 0
+            return out
+
+        monkeypatch.setattr(minhash, name, counted)
+    found = minhash.near_duplicates(documents(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()
+    monkeypatch.undo()
+    return dealt, sorted(map(tuple, found), key=str)
+
+
+def test_a_phrase_of_many_texts_makes_no_long_lists(spark, monkeypatch):
+    """What shares a hash and is apart else meets nowhere, so that nothing grows with the square of its number; edited copies are found."""
+    texts = phrase_corpus(random.Random(12), 700)
+    dealt, found = listed_rows(spark, monkeypatch, texts)
+    assert dealt["_still_apart"] == 0 and dealt["_against_first"] < 2 * len(texts)
+    assert found == brute_near(list(enumerate(texts))) and sum(not r[3] for r in found) > 40
+
+
+def test_lists_with_the_same_members_are_one(spark, monkeypatch):
+    texts = [" ".join(f"{k}z{j}" for j in range(60 + more)) for k in range(30) for more in (0, 1)]
+    dealt, found = listed_rows(spark, monkeypatch, texts)
+    assert dealt["_against_first"] <= 4 * len(texts) and sum(r[3] for r in found) == 30
+
+
+@pytest.mark.parametrize("numerator", [80, 85, 90])
+def test_links_meet_whatever_is_frequent(numerator):
+    """Sets of any size, and any hashes taken for frequent: each two that link are in one list."""
+    rng = np.random.default_rng(numerator)
+    met = 0
+    for trial in range(4000):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 62, n))
+        gone = int(rng.integers(0, (100 - numerator) * len(a) // 100 + 1))
+        b = np.sort(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 62, int(rng.integers(0, 3)))])
+        common = len(np.intersect1d(a, b))
+        if 100 * common < numerator * (len(a) + len(b) - common):
+            continue
+        frequent = np.sort(rng.permutation(a)[: int(rng.integers(0, len(a) + 1))])
+        x, y = (minhash.listed_of(len(s), s[: minhash.HEADS], frequent, numerator=numerator) for s in (a, b))
+        assert len(np.intersect1d(x, y)), (n, gone)
+        met += 1
+    assert met > 1000
+    apart = 1 - numerator / 100
+    missed = sum(math.comb(minhash.HEADS, x) * apart**x * (1 - apart) ** (minhash.HEADS - x) for x in range(minhash.least_free(numerator=numerator), minhash.HEADS + 1))
+    assert missed <= apart**minhash.LISTED
