@@ -36,7 +36,7 @@ from itertools import pairwise
 import numpy as np
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import map_batches
+from orrery.llm.common import kept, map_batches
 
 #: Symbols of a word that are read before stable tokens are emitted.
 BLOCK = 4096
@@ -409,15 +409,14 @@ class Decoder:
         return out
 
 
-_READY: dict[str, tuple[Encoder, Decoder]] = {}
-
-
 def ready(path: str) -> tuple[Encoder, Decoder]:
-    """A worker's encoder and decoder, kept between batches."""
-    if path not in _READY:
+    """A worker's encoder and decoder, kept between tasks."""
+
+    def made() -> tuple[Encoder, Decoder]:
         e = Encoder(path)
-        _READY[path] = e, Decoder(e)
-    return _READY[path]
+        return e, Decoder(e)
+
+    return kept("bpe", path, made)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,7 +432,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             b = b"".join(encoder.encode(text))
             yield doc, len(b) // 4, b
 
-    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, n_tokens long, ids binary", most=256)
+    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, n_tokens long, ids binary", most=256, keeps="bpe")
 
 
 def decode(encoded: DataFrame, path: str, raw: bool = True) -> DataFrame:
@@ -445,7 +444,7 @@ def decode(encoded: DataFrame, path: str, raw: bool = True) -> DataFrame:
         for doc, b in zip(*columns):
             yield doc, "".join(decoder.push(x) for x in _id_lists(b)) + decoder.close()
 
-    return map_batches(encoded.select("doc_id", "ids"), rows, "doc_id long, text string", most=256)
+    return map_batches(encoded.select("doc_id", "ids"), rows, "doc_id long, text string", most=256, keeps="bpe")
 
 
 def _id_lists(b: bytes | None, step: int = 1 << 16) -> Iterator[list[int]]:
@@ -474,4 +473,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             back.update(decoder.close().encode())
             yield doc, n, ids.hexdigest(), back.hexdigest()
 
-    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps="bpe")

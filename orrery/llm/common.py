@@ -20,7 +20,7 @@ SPACES = r"\x20\x09-\x0D"
 #: Rows of keys that are sent to all tasks; more are joined by shuffle.
 MOST_SENT = 1 << 19
 #: Bytes of an Arrow batch that are turned into Python objects at once.
-BATCH_BYTES = 1 << 25
+BATCH_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,15 +70,36 @@ def slices(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES) -> Iterator[pa.
         yield batch.slice(at, rows)
 
 
-def map_batches(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple] | None], schema: str, most: int = 1 << 14, most_bytes: int = BATCH_BYTES) -> DataFrame:
+#: What a worker keeps from one task to the next, by the operator that made it.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key: object, make: Callable[[], object]):
+    """What ``make`` gave for ``key`` in an earlier task of this worker, or gives now; of a ``name`` one thing is kept."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = key, make()
+    return _KEPT[name][1]
+
+
+def forget(but: str | None = None) -> None:
+    """Drops what other operators than ``but`` have kept: a session's operators share its workers."""
+    for name in [n for n in _KEPT if n != but]:
+        del _KEPT[name]
+
+
+def map_batches(
+    df: DataFrame, rows: Callable[[list[list]], Iterable[tuple] | None], schema: str, most: int = 1 << 14, most_bytes: int = BATCH_BYTES, keeps: str | None = None
+) -> DataFrame:
     """``rows(columns)`` over each Arrow batch of ``df``; its tuples make up the result.
 
     A batch of more than ``most_bytes`` is taken in slices. At most ``most``
-    tuples are held before they go on as a batch.
+    tuples are held before they go on as a batch. ``keeps`` names what ``rows``
+    has ``kept``.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for batch in batches:
             for some in slices(batch, most_bytes):
                 held: list[tuple] = []
@@ -95,7 +116,8 @@ def map_batches(df: DataFrame, rows: Callable[[list[list]], Iterable[tuple] | No
 
 
 def released() -> None:
-    """Gives what a task has freed back to the system, where the C library can: the stages of a session share their workers."""
+    """Gives what a task has freed back to the system, Arrow's pool and where the C library can: the stages of a session share their workers."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
     if trim:
         trim(0)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches, written
+from orrery.llm.common import map_batches, released, slices, written
 
 #: Characters of scripts without blanks are words of their own (Thai, Lao, Burmese, Khmer, kana, Han).
 UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -405,6 +405,7 @@ def _summed(table: DataFrame, partial, shape: tuple[int, int], rows: int = 512)
         for i in range(0, shape[0], rows):
             if (some := total[i : i + rows]).any():
                 yield packed(i // rows, TaskContext.get().partitionId() // FIRST_ROUND, some)
+        released()
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so that one sum is held at a time."""
@@ -509,6 +510,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows = [(ids[text], *found) for text, *found in shared.value.found(_codes(batch))]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
+            released()
 
         out = out.union(written(texts.mapInArrow(check, RESULT)))
     return out
@@ -529,10 +531,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, search = shared.value
             for batch in batches:
-                found = search.found([vocabulary.codes(t) for t in batch.column(place).to_pylist()])
-                clean = np.ones(batch.num_rows, bool)
-                clean[list({text for text, *_ in found})] = False
-                yield batch.filter(pa.array(clean))
+                for some in slices(batch):
+                    found = search.found([vocabulary.codes(t) for t in some.column(place).to_pylist()])
+                    clean = np.ones(some.num_rows, bool)
+                    clean[list({text for text, *_ in found})] = False
+                    yield some.filter(pa.array(clean))
+            released()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

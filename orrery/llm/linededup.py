@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from orrery.llm.common import map_batches, slices, written
+from orrery.llm.common import forget, map_batches, released, slices, written
 
 STRIP = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -101,15 +101,19 @@ def seen_twice(docs: DataFrame, text_col: str, bits: int, least: int) -> np.ndar
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        forget()
         zip_ = zstandard.ZstdCompressor(level=1).compress
         filters = Filters(bits)
         for batch in batches:
-            filters.add(np.array([h for t in batch.column(0).to_pylist() for h in _hashes(keys_of(t, least))], np.uint64))
+            for some in slices(batch):
+                filters.add(np.array([h for t in some.column(0).to_pylist() for h in _hashes(keys_of(t, least))], np.uint64))
         part = TaskContext.get().partitionId() // FIRST_ROUND
         for s in range(0, bits // 8, SEGMENT):
             pair = [x[s : s + SEGMENT] for x in (filters.once, filters.twice)]
             if pair[0].any():
                 yield pa.record_batch([pa.array([s // SEGMENT], pa.int32()), pa.array([part], pa.int32()), *(pa.array([zip_(x.tobytes())], pa.binary()) for x in pair)], names=["segment", "part", "once", "twice"])
+        del filters
+        released()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -209,6 +213,7 @@ def _rewritten(docs: DataFrame, id_col: str, text_col: str, emit: Emit, schema,
                 for some in slices(batch):
                     rows = zip(some.column(id_at).to_pylist(), some.column(text_at).to_pylist())
                     yield emit(some, [_kept(text, lambda key, doc=doc: keeper(_digest(key), doc) != doc, least_chars) for doc, text in rows])
+            released()
 
         return docs.mapInArrow(run, schema)
     mark, drop = f"__{uuid.uuid4().hex}", f"__{uuid.uuid4().hex}"

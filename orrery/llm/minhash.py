@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches, slices, without, written
+from orrery.llm.common import map_batches, released, slices, without, written
 from orrery.llm.components import components
 
 SHINGLE = 3
@@ -306,6 +306,8 @@ def _by_piece(dealt: DataFrame, n_keys: int, links: Callable[[list[list]], list[
                         last, held = mark, []
                     held.append(row)
         yield from out()
+        last, held = None, []
+        released()
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 

@@ -57,7 +57,7 @@ def train(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         for doc, text in zip(*columns):
             yield doc, _pieces(_ids(encoder, text, end_id).astype(width))
 
-    sample = map_batches(docs.where(F.col(id_col).isin(chosen)).select(id_col, text_col), rows, "doc_id long, ids binary", most=64)
+    sample = map_batches(docs.where(F.col(id_col).isin(chosen)).select(id_col, text_col), rows, "doc_id long, ids binary", most=64, keeps="bpe")
     once = sample.groupBy("doc_id").agg(F.min("ids").alias("ids"))  # however many rows have the id
     return _dictionary([bytes(r[1]) for r in sorted(once.collect())])
 
@@ -158,9 +158,9 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: str = "d
         if held:
             yield _row(held, state, digest, width)
 
-    frames = written(map_batches(docs, encode, "doc_id long, tie long, n_tokens long, frame binary", most=256))  # as the ranges' bounds are sampled first
+    frames = written(map_batches(docs, encode, "doc_id long, tie long, n_tokens long, frame binary", most=256, keeps="bpe"))  # as the ranges' bounds are sampled first
     ordered = frames.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n_tokens", "frame")
-    map_batches(ordered, pack_rows, BLOCKS, most=4).write.parquet(f"{to}/blocks")
+    map_batches(ordered, pack_rows, BLOCKS, most=4, keeps="bpe").write.parquet(f"{to}/blocks")
 
 
 def _row(held: list, state: dict, digest: bytes, width: int) -> tuple:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_batches, slices, written
+from orrery.llm.common import forget, kept, map_batches, released, slices, written
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -333,19 +333,12 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             listed = [s for s in found if evidence(s[2], n, model.decay) > -np.log(CHANCE)]
             yield doc, model.score(best, n), n, ",".join(f"{a}:{b}" for a, b in _characters(text, listed))
 
-    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, score double, n_tokens long, passages string")
-
-
-_SCORERS: dict[int, Scorer] = {}
+    return map_batches(docs.select(id_col, text_col), rows, "doc_id long, score double, n_tokens long, passages string", keeps="toxicity")
 
 
 def _scorer(shared) -> Scorer:
-    """A worker's scorer for one broadcast."""
-    weights = shared.value[0]
-    known = _SCORERS.get(0)
-    if known is None or known.weights is not weights:
-        known = _SCORERS[0] = Scorer(weights, shared.value[1].drift)
-    return known
+    """A worker's scorer for one broadcast; it holds the weights, so that no others have their identity."""
+    return kept("toxicity", id(shared.value[0]), lambda: Scorer(shared.value[0], shared.value[1].drift))
 
 
 def _characters(text: str | None, listed: list[tuple[int, int, float]]) -> Iterator[tuple[int, int]]:
@@ -380,9 +373,11 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit:
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("toxicity")
         scorer, model = _scorer(shared), shared.value[1]
         for batch in batches:
             for some in slices(batch):
                 yield some.filter(pa.array([model.score(*scorer.best(t)[:2]) < limit for t in some.column(place).to_pylist()], pa.bool_()))
+        released()
 
     return docs.mapInArrow(keep, docs.schema)
