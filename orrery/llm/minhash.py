@@ -417,7 +417,7 @@ def _roots(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shing
     tied = components(exact_links(wanted, docs, keys, text_col, shingle, numerator))
     shared = distinct.join(tied, distinct["id"] == tied["node"], "left").where("rows > 1 or root is not null")
     shared = written(shared.select("name", F.coalesce("root", "id").alias("root"), "doc_id"), "shared")
-    least = shared.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # so that the join can split a large group
     return shared.join(least, "root").select("name", "root", "component_id")
 
 

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from orrery.llm import common, linededup, simhash
+from orrery.llm import components as rounds
 from orrery.llm.components import components
 
 
@@ -111,6 +112,50 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_roots(edges):
+    root = {v: v for e in edges for v in e}
+    while True:
+        before = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+def test_components_of_links_that_tasks_see_apart(spark, monkeypatch):
+    rng = random.Random(2)
+    order = rng.sample(range(-40, 40), 50)
+    edges = list(zip(order, order[1:])) + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300 + i) for i in range(1, 40)]
+    edges = [e for e in edges if e[0] != e[1]]
+    rng.shuffle(edges)
+    links = spark.createDataFrame([*edges, *edges[:9], (None, 1), (1, None)], "a long, b long")
+    monkeypatch.setattr(rounds, "TIED", 2)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        got = components(links.repartition(12)).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(map(tuple, got)) == sorted(brute_roots(edges).items())
+
+
+def test_components_of_a_large_group_take_few_steps(spark, monkeypatch):
+    """Each step is a job over all shuffle partitions, whatever it holds: 9 and more of them, before tasks tied their own links."""
+    rng = random.Random(3)
+    stars = [(m, x) for _ in range(40) for m in [rng.randrange(2000)] for x in rng.sample(range(2000), 100) if x != m]
+    steps = []
+
+    def counted(df, *more, f=common.written):
+        steps.append(1)
+        return f(df, *more)
+
+    monkeypatch.setattr(rounds, "written", counted)
+    got = components(spark.createDataFrame(stars, "a long, b long").repartition(40)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_roots(stars).items())
+    assert len(steps) <= 7
+
+
 LINE = "  A line of well over forty characters number {}\t"
 
 
