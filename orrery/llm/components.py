@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     Links of a node to itself and repeated links do no harm; an empty table gives an empty one.
     """
     ends = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
-    links = written(_tied(links.where("a <> b").select(*ends)))
+    links = written(_tied(written(links.where("a <> b").select(*ends))))  # a task needn't run Python twice at once, for these and for what gives them
     while True:
         links = written(_small_star(_tied(links)))
         nodes = written(_nodes(links))
